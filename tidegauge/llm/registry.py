@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import url_filter
+from tidegauge.llm import bpe, packing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_harmonic_packing": packing.op2_harmonic_packing,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
 }
 
 SQL: dict[str, str] = {
