@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import SLICE_ROWS, slices, table, text_or_empty
+from tidegauge.llm.common import SLICE_ROWS, map_arrow, slices, table, text_or_empty
 from tidegauge.llm.pretokens import BoundedCache, ranks, splitter, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -209,13 +209,13 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
     limit and one block of texts.
     """
     path = vocabulary or vocabulary_path(VOCABULARY)
-    return _chosen(docs, id_col, text_col).mapInArrow(lambda b: encode_partition(b, path, True), "doc_id long, ids array<int>, decoded binary")
+    return map_arrow(_chosen(docs, id_col, text_col), lambda b: encode_partition(b, path, True), "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``encode``, but only token counts and the digests of ids and decoded bytes leave the workers."""
     path = vocabulary or vocabulary_path(VOCABULARY)
-    return _chosen(docs, id_col, text_col).mapInArrow(lambda b: encode_partition(b, path, False), SCHEMA)
+    return map_arrow(_chosen(docs, id_col, text_col), lambda b: encode_partition(b, path, False), SCHEMA)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import slices, table, text_or_empty
+from tidegauge.llm.common import map_arrow, slices, table, text_or_empty
 from tidegauge.llm.pretokens import BoundedCache, splitter, vocabulary_path
 
 CAPACITY = 1024
@@ -186,7 +186,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     """
     path = vocabulary or vocabulary_path(VOCABULARY)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return chosen.mapInArrow(lambda batches: _pack_partition(batches, path, capacity), SCHEMA)
+    return map_arrow(chosen, lambda batches: _pack_partition(batches, path, capacity), SCHEMA)
 
 
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
