@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import bloom_lm, bpe, packing, simhash, url_filter
+from tidegauge.llm import ann, bloom_lm, bpe, packing, quality, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_harmonic_packing": packing.op2_harmonic_packing,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_importance_resampling": quality.op4_importance_resampling,
+    "op5_adaptive_scan": ann.op5_adaptive_scan,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op10_bloom_lm": bloom_lm.op10_bloom_lm,
