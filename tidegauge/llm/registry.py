@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import ann, bloom_lm, bpe, packing, quality, simhash, url_filter
+from tidegauge.llm import ann, bloom_lm, bpe, packing, pii, quality, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_semi_markov_pii": pii.op1_semi_markov_pii,
     "op2_harmonic_packing": packing.op2_harmonic_packing,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_importance_resampling": quality.op4_importance_resampling,
