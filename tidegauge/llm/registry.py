@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import ann, bloom_lm, bpe, order_minhash, packing, pii, quality, simhash, url_filter
+from tidegauge.llm import ann, bloom_lm, bpe, order_minhash, packing, pii, quality, secrets, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_semi_markov_pii": pii.op1_semi_markov_pii,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_importance_resampling": quality.op4_importance_resampling,
     "op5_adaptive_scan": ann.op5_adaptive_scan,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_secret_forest": secrets.op7_secret_forest,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_order_minhash": order_minhash.op9_order_minhash,
     "op10_bloom_lm": bloom_lm.op10_bloom_lm,
