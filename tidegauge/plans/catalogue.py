@@ -6,6 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "skill_report"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from tidegauge.plans import reporting
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**reporting.QUERIES}
+SQL: dict[str, str] = {**reporting.SQL}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and skill of the baseline forecasts by arm, signal and horizon, on a six-hour grid."""
+    return reporting.skill_report(spark, sf_dir)
