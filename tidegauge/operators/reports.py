@@ -79,8 +79,8 @@ def diebold_mariano(rows: DataFrame, arm: str, reference: str, scope: Sequence[s
 
 
 def calibration_curve(rows: DataFrame, bins: int = 5, by: Sequence[str] = ("signal",)) -> DataFrame:
-    """Coverage by quantile bins of interval width (the last bin closed); nothing for groups under four rows a bin."""
-    widths = rows.filter("lo IS NOT NULL AND hi IS NOT NULL AND actual IS NOT NULL").withColumn("width", F.col("hi") - F.col("lo"))
+    """Coverage by quantile bins of interval width (the last bin closed), compared to nine digits; nothing for groups under four rows a bin."""
+    widths = rows.filter("lo IS NOT NULL AND hi IS NOT NULL AND actual IS NOT NULL").withColumn("width", F.round(F.col("hi") - F.col("lo"), 9))
     edges = widths.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile("width", [i / bins for i in range(1, bins)]).alias("_edges")).filter(F.col("_n") >= 4 * bins)
     part = F.aggregate("_edges", F.lit(0), lambda s, e: s + (F.col("width") >= e).cast("int"))
     inside = ((F.col("actual") >= F.col("lo")) & (F.col("actual") <= F.col("hi"))).cast("double")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.plans import reporting
+from tidegauge.plans import reporting, sequential
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**reporting.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**reporting.QUERIES, **sequential.QUERIES}
 SQL: dict[str, str] = {**reporting.SQL}
 
 

@@ -98,7 +98,7 @@ def interval_coverage(spark, sf_dir):
     return rounded(reports.interval_quality(bounded(spark, sf_dir), ["signal"]), ["coverage", "mean_width"])
 
 
-CURVE_SQL = f"""{WIDTH_SQL}, b AS (SELECT signal, predicted - width AS lo, predicted + width AS hi, actual, (predicted + width) - (predicted - width) AS wd FROM widths WHERE width IS NOT NULL),
+CURVE_SQL = f"""{WIDTH_SQL}, b AS (SELECT signal, predicted - width AS lo, predicted + width AS hi, actual, round((predicted + width) - (predicted - width), 9) AS wd FROM widths WHERE width IS NOT NULL),
 e2 AS (SELECT signal, count(*) AS n, quantile_cont(wd, [0.2, 0.4, 0.6, 0.8]) AS edges FROM b GROUP BY signal)"""
 
 
