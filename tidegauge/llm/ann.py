@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import map_arrow, materialise, ship, table
+from tidegauge.llm.common import map_arrow, materialise, table
+from tidegauge.session import ship
 
 K = 20
 QUERY_STEP = 20
