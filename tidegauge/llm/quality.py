@@ -11,8 +11,9 @@ samples k documents without replacement in proportion to their weights.
 k is not a fixed share: the sampling keeps as many documents as score above a
 level that is calibrated on the labelled sample, so the k greatest are exactly
 the documents above it and no global sort is needed. The level is the one that
-best separates labelled good from labelled bad documents, good ones counting
-``GOOD_WEIGHT`` times, so that clean documents stay.
+best separates labelled good from labelled bad documents, each scored by a model
+fitted without its fold, good ones counting ``GOOD_WEIGHT`` times, so that clean
+documents stay.
 """
 
 from __future__ import annotations
@@ -33,9 +34,13 @@ BUCKETS = 10_000
 #: At most so many labelled rows are used, chosen by a hash of their id.
 LABELLED_ROWS = 20_000
 GOOD_WEIGHT = 20.0
-#: Counts added to each bucket of either model.
+#: The target model's prior, in counts a bucket, is dealt out as the raw model has it, so that buckets without
+#: evidence tell for neither model.
 SMOOTHING = 1.0
 SEED = 17
+#: Labelled documents are scored for calibration by models fitted without their fold.
+FOLDS = 2
+TARGETS = tuple(f"target{n}" for n in range(FOLDS))
 CACHE_TOKENS = 400_000
 
 #: The bigram of a token and itself, whatever the token: repetition is one feature.
@@ -74,38 +79,50 @@ def _digest(token: str) -> bytes:
 
 
 def sampled_labels(labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
-    """(doc_id, good) of at most ``rows`` labelled rows, the least by a hash of the id; a document labelled both ways is bad."""
+    """(doc_id, good, fold) of at most ``rows`` labelled rows, the least by a hash of the id; a document labelled both ways is bad."""
     one = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    one = one.withColumn("fold", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(FOLDS)).cast("int"))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
 def _fit_partition(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Bucket counts of this partition: all of its texts, and its labelled good ones."""
+    """Bucket counts of this partition: all of its texts, and the labelled good ones of each fold."""
     of = BucketCounts(buckets)
-    raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+    raw, target = np.zeros(buckets, np.int64), np.zeros((FOLDS, buckets), np.int64)
     for batch in slices(batches):
-        for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts = np.bincount(of(text).astype(np.int64), minlength=buckets)
             raw += counts
-            if good:
-                target += counts
+            if fold is not None:
+                target[fold] += counts
     used = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "raw", "target"])
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), *(pa.array(t[used]) for t in target)], names=["bucket", "raw", *TARGETS])
 
 
-def fit(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """log(target / raw) of each bucket. The labelled sample is bounded, so it is broadcast to the documents."""
+def fit(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, list[np.ndarray]]:
+    """log(target / raw) of each bucket, from all good labelled documents and from all but those of each fold.
+
+    ``sample`` has doc_id, good and fold; it is bounded, so it is broadcast to the documents.
+    """
     rows = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(sample), "doc_id", "left")
-    rows = rows.select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    counts = map_arrow(rows, lambda b: _fit_partition(b, buckets), "bucket long, raw long, target long")
-    summed = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.full(buckets, SMOOTHING), np.full(buckets, SMOOTHING)
+    rows = rows.select("text", F.when(F.col("good"), F.col("fold")).alias("fold"))
+    counts = map_arrow(rows, lambda b: _fit_partition(b, buckets), ", ".join(f"{c} long" for c in ("bucket", "raw", *TARGETS)))
+    summed = counts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", *TARGETS)]).toArrow()
     at = summed.column(0).to_numpy()
-    raw[at] += summed.column(1).to_numpy()
-    target[at] += summed.column(2).to_numpy()
-    if not summed.column(2).to_numpy().sum():
-        return np.zeros(buckets)
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    raw, target = np.zeros(buckets), np.zeros((FOLDS, buckets))
+    raw[at] = summed.column(1).to_numpy()
+    for n in range(FOLDS):
+        target[n, at] = summed.column(2 + n).to_numpy()
+    whole = target.sum(axis=0)
+    return _log_ratio(whole, raw), [_log_ratio(whole - t, raw) for t in target]
+
+
+def _log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    if not target.sum():
+        return np.zeros(len(raw))
+    share = (raw + 1) / (raw + 1).sum()
+    prior = SMOOTHING * len(raw)
+    return np.log((target + prior * share) / (target.sum() + prior)) - np.log(share)
 
 
 def gumbel(doc_id: Column, seed: int = SEED) -> Column:
@@ -158,11 +175,15 @@ def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelle
     """
     sample = sampled_labels(labels, labelled_rows)
     ids = sample.toArrow()
-    local = docs.sparkSession.createDataFrame(ids) if ids.num_rows else sample
-    ratio = fit(docs, local, buckets)
+    local = docs.sparkSession.createDataFrame(ids).toDF("doc_id", "good", "fold") if ids.num_rows else sample
+    ratio, without = fit(docs, local, buckets)
     scored = weigh(docs, ratio)
-    known = docs.join(F.broadcast(local), "doc_id", "left_semi").select("doc_id", "text")
-    seen = weigh(known, ratio).select(F.col("row.doc_id").alias("doc_id"), "score").join(F.broadcast(local), "doc_id").select("score", "good").toArrow()
+    known = docs.select("doc_id", "text").join(F.broadcast(local), "doc_id").select("doc_id", "text", "good", "fold")
+    seen = None
+    for n in range(FOLDS):
+        part = weigh(known.filter(F.col("fold") == n), without[n]).select(F.col("row.good").alias("good"), "score")
+        seen = part if seen is None else seen.unionByName(part)
+    seen = seen.select("score", "good").toArrow()
     level = calibrate(seen.column(0).to_numpy(), seen.column(1).to_numpy(zero_copy_only=False).astype(bool))
     return scored.withColumn("kept", F.col("score") >= F.lit(level))
 

@@ -12,7 +12,8 @@ Each task builds the BK-tree of a shard, children keyed by integer Hamming
 distance to their parent, and searches it with every member, following only
 edges within the radius. Exact copies meet once, as one fingerprint. A shard of
 more than ``HOT_SHARD`` fingerprints (a large group of near copies) is dealt
-again by the bands of its other bits, which loses no pair either.
+again by bands of its other bits, by the same principle, which loses no pair
+either.
 
 Links leave a task as a spanning forest: a link whose ends the shard has
 already connected adds nothing to components. Components come from alternating
@@ -222,21 +223,41 @@ def _search(sharded: DataFrame, words: list[str], radius: int) -> DataFrame:
     return map_arrow(rows, run, "u long, v long")
 
 
-def link_fingerprints(prints: DataFrame, words: list[str], bands: list[Column], radius: int, hot_shard: int = HOT_SHARD) -> DataFrame:
+def link_fingerprints(prints: DataFrame, words: list[str], bands: list[Column], radius: int, again: Callable[[int], list[Column]], hot_shard: int = HOT_SHARD) -> DataFrame:
     """Links (u, v) within ``radius`` bits among distinct fingerprints (fid and ``words``) that share a band's value.
 
-    Shards above ``hot_shard`` are dealt again by the bands that they do not
-    share already.
+    Shards above ``hot_shard`` are dealt again by ``again(band)``: values that
+    two members within the radius share at least one of.
     """
-    key = lambda n: F.lit(n).cast("long") * (1 << 32) + bands[n]
-    keyed = prints.select("fid", *words, F.inline(F.array(*[F.struct(key(n).alias("s1"), F.lit(n).alias("band")) for n in range(len(bands))])))
+    keys = lambda columns: [F.lit(n).cast("long") * (1 << 32) + c for n, c in enumerate(columns)]
+    keyed = prints.select("fid", *words, F.inline(F.array(*[F.struct(k.alias("s1"), F.lit(n).alias("band")) for n, k in enumerate(keys(bands))])))
     sizes = keyed.groupBy("s1").agg(F.count("*").alias("n")).filter(F.col("n") > hot_shard).select("s1", F.lit(True).alias("hot"))
     keyed = keyed.join(sizes, "s1", "left")
-    second = F.array_compact(F.array(*[F.when(F.col("band") != n, key(n)) for n in range(len(bands))]))
-    sub = F.when(F.col("hot"), second).otherwise(F.array(F.lit(-1).cast("long")))
+    sub = F.array(F.lit(-1).cast("long"))
+    for n in range(len(bands)):
+        sub = F.when(F.col("hot") & (F.col("band") == n), F.array(*keys(again(n)))).otherwise(sub)
     return _search(keyed.select("s1", F.explode(sub).alias("s2"), "fid", *words), words, radius)
 
 
+def disjoint_bands(radius: int) -> tuple[list[Column], Callable[[int], list[Column]]]:
+    """Bands of a 64-bit fingerprint that two within ``radius`` share one of, and, of the bits outside a band, again such bands."""
+    parts = radius + 1
+    edges = [BITS * n // parts for n in range(parts + 1)]
+    bands = [_band(["f0"], a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+    def again(n: int) -> list[Column]:
+        # The bits outside band n, put side by side.
+        low, width = edges[n], edges[n + 1] - edges[n]
+        f = F.col("f0")
+        below = f.bitwiseAND(F.lit((1 << low) - 1)) if low else F.lit(0).cast("long")
+        above = F.shiftleft(F.shiftrightunsigned(f, low + width), low) if low + width < BITS else F.lit(0).cast("long")
+        rest, left = below.bitwiseOR(above), BITS - width
+        cuts = [left * k // parts for k in range(parts + 1)]
+        return [F.shiftrightunsigned(rest, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    return bands, again
+
+
 def components(links: DataFrame) -> DataFrame:
     """(fid, root): each linked id and the least id that it reaches, by alternating large-star and small-star steps."""
     edges = checkpointed(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -281,10 +302,9 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = RADIUS,
     Repeated rows give repeated rows, null ids stay null, an empty table gives
     an empty result, other columns are ignored.
     """
-    step = BITS // (radius + 1)
-    bands = [_band(["f0"], n * step, step if n < radius else BITS - n * step) for n in range(radius + 1)]
+    bands, again = disjoint_bands(radius)
     prints = materialise(fingerprints(docs, shingle, 1, id_col, text_col), "simhash")
-    found = cluster(prints, ["f0"], lambda distinct: link_fingerprints(distinct, ["f0"], bands, radius))
+    found = cluster(prints, ["f0"], lambda distinct: link_fingerprints(distinct, ["f0"], bands, radius, again))
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -324,7 +344,9 @@ def near_duplicates(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int =
     """
     names = [f"f{n}" for n in range(WIDE_WORDS)]
     prints = materialise(fingerprints(docs, shingle, WIDE_WORDS, id_col, text_col), "simhash")
-    found = cluster(prints, names, lambda distinct: link_fingerprints(distinct, names, wide_bands(names), radius, WIDE_HOT_SHARD))
+    bands = wide_bands(names)
+    others = lambda n: [b for k, b in enumerate(bands) if k != n]
+    found = cluster(prints, names, lambda distinct: link_fingerprints(distinct, names, bands, radius, others, WIDE_HOT_SHARD))
     return found.select("doc_id", "component_id")
 
 
