@@ -29,8 +29,16 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     return builder.getOrCreate()
 
 
+#: Rows that the engine hands to a Python worker at once. Texts are long, so its default of 10,000 rows is lowered
+#: where the user has not set it.
+BATCH_ROWS = 1_000
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the session's Python workers, once: they need not have it installed."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
