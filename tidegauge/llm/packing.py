@@ -33,8 +33,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: A piece of a class from here on is not cut again; a bin of class j wastes under 1/(j+1).
 MAX_CLASS = 24
-#: Pieces of text whose ids a worker remembers; about 100 MB.
-CACHE_PIECES = 400_000
+#: Pieces of text whose ids a worker remembers; about 60 MB.
+CACHE_PIECES = 250_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -77,10 +77,21 @@ class Ids:
             return b"".join([memo[p] for p in pieces])
         except KeyError:
             fresh = {p for p in pieces if p not in memo}
-        memo.room_for(len(fresh))
-        known = {p: self._piece(p) for p in (fresh if memo else set(pieces))}
+        known = {p: self._piece(p) if p in fresh else memo[p] for p in set(pieces)}
+        memo.room_for(len(known))
         memo.update(known)
-        return b"".join([memo[p] for p in pieces])
+        return b"".join([known[p] for p in pieces])
+
+
+#: One encoder a worker process, so that its memo serves later tasks too.
+_WORKER: dict[str, Ids] = {}
+
+
+def _encoder(path: str) -> Ids:
+    if path not in _WORKER:
+        _WORKER.clear()
+        _WORKER[path] = Ids(path)
+    return _WORKER[path]
 
 
 def harmonic_cuts(size: int, capacity: int = CAPACITY, max_class: int = MAX_CLASS) -> list[tuple[int, int]]:
@@ -139,7 +150,7 @@ class HarmonicPacker:
 
 
 def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    ids, packer = Ids(path), HarmonicPacker(capacity)
+    ids, packer = _encoder(path), HarmonicPacker(capacity)
     first = TaskContext.get().partitionId() << 36
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 

@@ -41,7 +41,7 @@ SEED = 17
 #: Labelled documents are scored for calibration by models fitted without their fold.
 FOLDS = 2
 TARGETS = tuple(f"target{n}" for n in range(FOLDS))
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 150_000
 
 #: The bigram of a token and itself, whatever the token: repetition is one feature.
 _REPEAT = np.uint64(0x2545F4914F6CDD1D)
@@ -60,11 +60,10 @@ class BucketCounts:
         try:
             raw = [memo[t] for t in tokens]
         except KeyError:
-            memo.room_for(len(tokens))
-            for t in tokens:
-                if t not in memo:
-                    memo[t] = int.from_bytes(_digest(t), "little")
-            raw = [memo[t] for t in tokens]
+            known = {t: memo[t] if t in memo else int.from_bytes(_digest(t), "little") for t in set(tokens)}
+            memo.room_for(len(known))
+            memo.update(known)
+            raw = [known[t] for t in tokens]
         h = np.array(raw, np.uint64)
         with np.errstate(over="ignore"):
             pairs = finalise(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])

@@ -359,7 +359,8 @@ def keep_one_of_each(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int =
     groups = materialise(groups, "groups")
     lost = groups.filter("doc_id <> component_id").select("doc_id")
     repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    kept = docs.join(lost.distinct(), "doc_id", "left_anti").select(docs.columns)
+    # A merge join at every size: the list of lost ids grows with the corpus, so it is not broadcast.
+    kept = docs.join(lost.distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
     if repeated.take(1):
         once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
         kept = kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
