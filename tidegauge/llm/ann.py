@@ -8,10 +8,11 @@ dimensions are a fair sample of the distance.
 
 Search. Each probed list is scanned in blocks of columns. After d dimensions a
 candidate is abandoned when the hypothesis that it is within the query's bound
-r is rejected: ``sqrt(D/d) * partial > (1 + EPSILON/sqrt(d)) * r``. The bound is
-the distance of the query's k-th nearest among ``ANCHORS`` rows. Survivors (and
-the anchors themselves) get their exact inner product on the original vectors
-in double precision.
+r is rejected: ``sqrt(D/d) * partial > (1 + EPSILON/sqrt(d)) * r``. A query's
+``FIRST_LISTS`` nearest lists are scanned first, bound by its k-th nearest among
+``ANCHORS`` rows; the others are bound by the k-th nearest found by then, so
+they give few candidates. Survivors (and the anchors themselves) get their exact
+inner product on the original vectors in double precision.
 
 How many lists are probed is measured, not guessed: for a bounded sample of
 queries the exact neighbours among all rows are found, and the least number of
@@ -41,6 +42,7 @@ QUERY_STEP = 20
 FIT_ROWS, ANCHORS, MEASURED = 20_000, 1_024, 256
 MAX_LISTS = 2_048
 RECALL = 0.97
+FIRST_LISTS = 8
 EPSILON = 2.1
 FIRST_BLOCK, BLOCK = 16, 16
 CHUNK, QUERY_BLOCK = 2_048, 4_096
@@ -199,11 +201,27 @@ def search(embeddings: DataFrame, k: int = K, query_step: int = QUERY_STEP, reca
         for batch in batches:
             q = _matrix(batch.column(1), dim)
             at = nearest_centroids(index.asked(q), index.centroids, probes) if len(q) else np.zeros((0, probes), np.int64)
-            n = at.shape[1]
-            who = np.repeat(np.arange(len(q)), n)
-            yield pa.RecordBatch.from_arrays([pa.array(at.ravel(), pa.int32()), batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who))], names=["list", "query_id", "v"])
+            who, place = np.repeat(np.arange(len(q)), at.shape[1]), np.tile(np.arange(at.shape[1]), len(q))
+            yield pa.RecordBatch.from_arrays([pa.array(at.ravel(), pa.int32()), pa.array(place, pa.int32()), batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who))], names=["list", "place", "query_id", "v"])
 
-    routed = map_arrow(asked, route, "list int, query_id long, v array<double>")
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _found(*sent.value.anchored(batch.column(0).to_numpy(), _matrix(batch.column(1), dim), k)[1])
+
+    routed = map_arrow(asked, route, "list int, place int, query_id long, v array<double>")
+    near = _scan_lists(indexed, routed.filter(F.col("place") < FIRST_LISTS).withColumn("kth", F.lit(None).cast("double")), sent, dim, k)
+    first = materialise(_top(near.unionByName(map_arrow(asked, anchors, FOUND)), k), "nearest")
+    if probes > FIRST_LISTS:
+        kth = first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+        rest = _scan_lists(indexed, routed.filter(F.col("place") >= FIRST_LISTS).join(kth, "query_id", "left"), sent, dim, k)
+        first = _top(first.select("query_id", "vec_id", "score").unionByName(rest), k)
+    return first.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _scan_lists(indexed: DataFrame, routed: DataFrame, sent, dim: int, k: int) -> DataFrame:
+    """The k best that each cell has for each of its queries; ``routed`` has list, query_id, v and kth, the k-th best score known so far (or null)."""
+    spark = indexed.sparkSession
     # One row a list: sizes of both sides, from which the grid of chunks and query blocks follows.
     sizes = indexed.groupBy("list").agg(F.count("*").alias("n")).join(routed.groupBy("list").agg(F.count("*").alias("q")), "list")
     sizes = sizes.select("list", F.ceil(F.col("n") / CHUNK).alias("chunks"), F.ceil(F.col("q") / QUERY_BLOCK).alias("blocks"))
@@ -211,7 +229,7 @@ def search(embeddings: DataFrame, k: int = K, query_step: int = QUERY_STEP, reca
     stored = indexed.join(grid, "list").select(
         "list", F.pmod(F.xxhash64("vec_id"), "chunks").alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
     queries = routed.join(grid, "list").select(
-        "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("query_id"), "blocks").alias("block"), "query_id", "v")
+        "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("query_id"), "blocks").alias("block"), "query_id", "v", "kth")
     cell = ["list", "chunk", "block"]
 
     def scan_cell(base: pa.Table, ask: pa.Table) -> pa.Table:
@@ -221,9 +239,14 @@ def search(embeddings: DataFrame, k: int = K, query_step: int = QUERY_STEP, reca
             vec_ids, x = base.column("vec_id").to_numpy(), _matrix(base.column("v").combine_chunks(), dim)
             turned = index.stored(x)
             q_ids, q = ask.column("query_id").to_numpy(), _matrix(ask.column("v").combine_chunks(), dim)
+            kth = ask.column("kth").cast(pa.float64()).fill_null(float("nan")).to_numpy()
             for at in range(0, len(q), 256):
-                part, ids = q[at : at + 256], q_ids[at : at + 256]
-                bound, _ = index.anchored(ids, part, k)
+                part, ids, known = q[at : at + 256], q_ids[at : at + 256], kth[at : at + 256]
+                # Stored vectors all have the greatest norm, so a score is a distance.
+                bound = (part**2).sum(1) + index.greatest - 2 * known + 1e-9
+                missing = np.isnan(known)
+                if missing.any():
+                    bound[missing] = index.anchored(ids[missing], part[missing], k)[0]
                 who, place = scan(index.asked(part), bound, turned)
                 other = ids[who] != vec_ids[place]
                 who, place = who[other], place[other]
@@ -232,15 +255,7 @@ def search(embeddings: DataFrame, k: int = K, query_step: int = QUERY_STEP, reca
                 out.append(_found(ids[who[chosen]], vec_ids[place[chosen]], score[chosen]))
         return pa.Table.from_batches(out, schema=_found(np.zeros(0), np.zeros(0), np.zeros(0)).schema)
 
-    scanned = stored.groupBy(*cell).cogroup(queries.groupBy(*cell)).applyInArrow(scan_cell, FOUND)
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield _found(*sent.value.anchored(batch.column(0).to_numpy(), _matrix(batch.column(1), dim), k)[1])
-
-    found = scanned.unionByName(map_arrow(asked, anchors, FOUND))
-    return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return stored.groupBy(*cell).cogroup(queries.groupBy(*cell)).applyInArrow(scan_cell, FOUND)
 
 
 def exact(indexed: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
