@@ -223,37 +223,45 @@ def _search(sharded: DataFrame, words: list[str], radius: int) -> DataFrame:
     return map_arrow(rows, run, "u long, v long")
 
 
-def link_fingerprints(prints: DataFrame, words: list[str], bands: list[Column], radius: int, again: Callable[[int], list[Column]], hot_shard: int = HOT_SHARD) -> DataFrame:
+def _keys(columns: list[Column]) -> list[Column]:
+    """Values of several bands, told apart by the band's number."""
+    return [F.lit(n).cast("long") * (1 << 32) + c for n, c in enumerate(columns)]
+
+
+def link_fingerprints(prints: DataFrame, words: list[str], bands: list[Column], radius: int, again: Callable[[Column], Column], hot_shard: int = HOT_SHARD) -> DataFrame:
     """Links (u, v) within ``radius`` bits among distinct fingerprints (fid and ``words``) that share a band's value.
 
-    Shards above ``hot_shard`` are dealt again by ``again(band)``: values that
-    two members within the radius share at least one of.
+    Shards above ``hot_shard`` are dealt again by ``again(band)``: an array of
+    values of which two members of the band's shard share at least one.
     """
-    keys = lambda columns: [F.lit(n).cast("long") * (1 << 32) + c for n, c in enumerate(columns)]
-    keyed = prints.select("fid", *words, F.inline(F.array(*[F.struct(k.alias("s1"), F.lit(n).alias("band")) for n, k in enumerate(keys(bands))])))
+    keyed = prints.select("fid", *words, F.inline(F.array(*[F.struct(k.alias("s1"), F.lit(n).alias("band")) for n, k in enumerate(_keys(bands))])))
     sizes = keyed.groupBy("s1").agg(F.count("*").alias("n")).filter(F.col("n") > hot_shard).select("s1", F.lit(True).alias("hot"))
     keyed = keyed.join(sizes, "s1", "left")
-    sub = F.array(F.lit(-1).cast("long"))
-    for n in range(len(bands)):
-        sub = F.when(F.col("hot") & (F.col("band") == n), F.array(*keys(again(n)))).otherwise(sub)
+    sub = F.when(F.col("hot"), again(F.col("band"))).otherwise(F.array(F.lit(-1).cast("long")))
     return _search(keyed.select("s1", F.explode(sub).alias("s2"), "fid", *words), words, radius)
 
 
-def disjoint_bands(radius: int) -> tuple[list[Column], Callable[[int], list[Column]]]:
+def disjoint_bands(radius: int) -> tuple[list[Column], Callable[[Column], Column]]:
     """Bands of a 64-bit fingerprint that two within ``radius`` share one of, and, of the bits outside a band, again such bands."""
     parts = radius + 1
     edges = [BITS * n // parts for n in range(parts + 1)]
     bands = [_band(["f0"], a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
-    def again(n: int) -> list[Column]:
-        # The bits outside band n, put side by side.
+    def outside(n: int) -> Column:
+        # The bits outside band n, put side by side, cut into bands.
         low, width = edges[n], edges[n + 1] - edges[n]
         f = F.col("f0")
         below = f.bitwiseAND(F.lit((1 << low) - 1)) if low else F.lit(0).cast("long")
         above = F.shiftleft(F.shiftrightunsigned(f, low + width), low) if low + width < BITS else F.lit(0).cast("long")
         rest, left = below.bitwiseOR(above), BITS - width
         cuts = [left * k // parts for k in range(parts + 1)]
-        return [F.shiftrightunsigned(rest, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return F.array(*_keys([F.shiftrightunsigned(rest, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]))
+
+    def again(band: Column) -> Column:
+        found = outside(0)
+        for n in range(1, parts):
+            found = F.when(band == n, outside(n)).otherwise(found)
+        return found
 
     return bands, again
 
@@ -345,7 +353,7 @@ def near_duplicates(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int =
     names = [f"f{n}" for n in range(WIDE_WORDS)]
     prints = materialise(fingerprints(docs, shingle, WIDE_WORDS, id_col, text_col), "simhash")
     bands = wide_bands(names)
-    others = lambda n: [b for k, b in enumerate(bands) if k != n]
+    others = lambda band: F.array_compact(F.array(*[F.when(band != n, k) for n, k in enumerate(_keys(bands))]))
     found = cluster(prints, names, lambda distinct: link_fingerprints(distinct, names, bands, radius, others, WIDE_HOT_SHARD))
     return found.select("doc_id", "component_id")
 
