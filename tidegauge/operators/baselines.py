@@ -65,7 +65,8 @@ def resolve(predictions: DataFrame, actuals: DataFrame, interval: float, keys: S
     A prediction whose target no tick has reached stays unresolved.
     """
     tolerance = max(1.5 * interval, 2.0)
-    ticks = actuals.select(*keys, F.col("ts").alias("_ts"), F.col("value").alias("_value"), F.floor(F.col("ts") / tolerance).alias("_bucket"))
+    following = F.lead("ts").over(Window.partitionBy(*keys).orderBy("ts"))
+    ticks = actuals.select(*keys, F.col("ts").alias("_ts"), F.col("value").alias("_value"), following.alias("_following"), F.floor(F.col("ts") / tolerance).alias("_bucket"))
     asked = predictions.withColumn("_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("ts_target") / tolerance) + d)))
     here = F.col("_ts").between(F.col("ts_target") - tolerance, F.col("ts_target") + tolerance)
     joined = asked.join(ticks, [*keys, "_bucket"], "left")
@@ -74,13 +75,16 @@ def resolve(predictions: DataFrame, actuals: DataFrame, interval: float, keys: S
     # Ticks of a tolerance on either side are few: 2 * tolerance / interval.
     found = joined.groupBy(*predictions.columns).agg(
         F.max(F.when(usable & (F.col("_ts") < F.col("ts_target")), row)).alias("_before"),
+        F.max(F.when(here & (F.col("_ts") < F.col("ts_target")), F.struct("_ts", "_following"))).alias("_last"),
         F.min(F.when(here & (F.col("_ts") >= F.col("ts_target")), row)).alias("_first"),
         F.min(F.when(usable & (F.col("_ts") >= F.col("ts_target")), row)).alias("_after"))
     before, first, after = F.col("_before"), F.col("_first"), F.col("_after")
     later = first["v"].isNotNull() & (before.isNull() | (F.abs(first["t"] - F.col("ts_target")) <= F.abs(before["t"] - F.col("ts_target"))))
-    chosen = F.when(first.isNull(), None).when(later, first).when(before.isNotNull(), before).otherwise(after)
-    seen = F.when(first.isNull(), None).when(first["v"].isNotNull() | before.isNotNull(), first["t"]).otherwise(after["t"])
-    return found.withColumns({"actual": chosen["v"], "resolved_ts": seen}).drop("_before", "_first", "_after")
+    # The first tick at or after the target may lie beyond the tolerance; then only what came before counts.
+    reached = F.coalesce(first["t"], F.col("_last")["_following"])
+    chosen = F.when(reached.isNull(), None).when(later, first).when(before.isNotNull(), before).otherwise(after)
+    seen = F.when(reached.isNull(), None).when(first["v"].isNotNull() | before.isNotNull(), reached).otherwise(after["t"])
+    return found.withColumns({"actual": chosen["v"], "resolved_ts": seen}).drop("_before", "_last", "_first", "_after")
 
 
 def scored(resolved: DataFrame, arms: Sequence[str] = ARMS) -> DataFrame:
