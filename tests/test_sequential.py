@@ -143,3 +143,9 @@ def test_scenarios_repeat_and_stay_in_range():
     assert {r[1] for r in scenarios.rows("idle_to_build")} == {"idle", "build", "idle_after"}
     ticks = {r[2] for r in scenarios.rows("gappy_idle")}
     assert len(ticks) < 540
+
+
+def test_keyed_hysteresis(spark):
+    raw = ["unknown", "a", "b", "b", "b", "unknown", "c", "c", "c"]
+    df = spark.createDataFrame([("r", n, x) for n, x in enumerate(raw)], "run string, k long, raw string")
+    assert [r.regime for r in replay.settled(df).orderBy("k").collect()] == ["unknown", "unknown", "unknown", "unknown", "b", "b", "b", "b", "c"]

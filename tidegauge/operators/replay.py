@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.operators.sequential import AdaptiveInterval, AdaptiveWindow, Cooldown, FeatureShift, PageHinkley, RecursiveLeastSquares, ScopeLearner
+from tidegauge.operators.sequential import AdaptiveInterval, AdaptiveWindow, Cooldown, FeatureShift, Hysteresis, PageHinkley, RecursiveLeastSquares, ScopeLearner
 from tidegauge.session import ship
 
 
@@ -139,3 +139,8 @@ def adaptation(examples: DataFrame, x: Sequence[str], arms: Sequence[str] = tupl
 
     schema = "arm string, signal string, ts_target double, event int, predicted double, width double, actual double, decision string, version int, held_out boolean"
     return stepped(made.unionByName(come), ["arm", "signal"], ["at", "event", "ts_target"], ["ts_target", "event"], make, step, schema).filter("event = 0").drop("event")
+
+
+def settled(rows: DataFrame, key: str = "run", order: str = "k", raw: str = "raw", needed: int = 3) -> DataFrame:
+    """(run, k, raw, regime): hysteresis in its keyed form, exact with ``unknown`` labels too."""
+    return stepped(rows.select(key, order, raw), [key], [order], [order, raw], lambda _: Hysteresis(needed), lambda state, row: (state.step(row[raw]),), f"{key} string, {order} long, {raw} string, regime string")

@@ -325,3 +325,25 @@ class ScopeLearner:
         self.model, self.buffer.absorbed = candidate, mark
         self.version += 1
         return "promoted"
+
+
+class Hysteresis:
+    """A label that changes after ``needed`` ticks of another in a row; while nothing is known the next label is taken at once."""
+
+    def __init__(self, needed: int = 3):
+        self.needed = needed
+        self.label = self.candidate = "unknown"
+        self.streak = 0
+
+    def step(self, raw: str) -> str:
+        if self.label == "unknown" and self.streak == 0:
+            self.label = self.candidate = raw
+            self.streak = 1
+        elif raw == self.label:
+            self.candidate, self.streak = raw, 0
+        else:
+            self.streak = self.streak + 1 if raw == self.candidate else 1
+            self.candidate = raw
+            if self.streak >= self.needed:
+                self.label, self.streak = raw, 0
+        return self.label

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.operators import replay, reports
-from tidegauge.plans.telemetry import HOUR, SIGNALS, examples, hourly, scored
+from tidegauge.operators import baselines, replay, reports
+from tidegauge.plans.telemetry import examples, raw_regimes, scored
+from tidegauge.session import shared_dir
+from tidegauge.sources import scenarios
+from tidegauge.streaming import drivers
 
 X = ("x_ma", "x_ewma", "x_trend")
 
@@ -50,5 +55,29 @@ def experiment_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.with_skill(reports.metrics(both, ["arm", "signal"]), ["signal"])
 
 
-QUERIES = {f.__name__: f for f in (drift_page_hinkley, drift_adwin, drift_feature_shift, conformal_aci, rls_online, adaptation_replay, experiment_core)}
-__all__ = ["HOUR", "QUERIES", "SIGNALS", "hourly"]
+def regime_hysteresis_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.settled(raw_regimes(spark, sf_dir).withColumn("run", F.lit("all")))
+
+
+def streaming_page_hinkley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drift detector over a stream of the errors, read and written in the shared folder."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    errors = _errors(spark, sf_dir)
+    errors.repartition("signal").sortWithinPartitions("ts_target").write.parquet(f"{root}/in")
+    stream = drivers.drift(spark.readStream.schema(errors.schema).parquet(f"{root}/in"))
+    return drivers.run_once(stream, f"{root}/out", f"{root}/check")
+
+
+def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baseline accuracy on the made-up scenarios: cpu, five minutes ahead."""
+    parts = [scenarios.scenario(spark, name) for name in scenarios.SCENARIOS]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    cpu = rows.filter("signal = 'cpu.util_pct'").select(F.col("scenario").alias("signal"), F.col("tick").alias("k"), "ts", "value")
+    made = baselines.forecasts(cpu, 300, 300, 120, 0, 100)
+    scored_ = baselines.scored(baselines.resolve(made, cpu, scenarios.INTERVAL))
+    return reports.with_skill(reports.metrics(scored_, ["arm", "signal"]), ["signal"])
+
+
+QUERIES = {f.__name__: f for f in (regime_hysteresis_keyed, streaming_page_hinkley, scenario_metrics, drift_page_hinkley, drift_adwin, drift_feature_shift, conformal_aci, rls_online, adaptation_replay, experiment_core)}

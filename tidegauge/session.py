@@ -49,3 +49,13 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(root.rglob("*.py")):
             out.write(path, path.relative_to(root.parent))
     context.addPyFile(str(archive))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="tidegauge-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
