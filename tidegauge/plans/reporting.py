@@ -311,9 +311,9 @@ def feedback_summary(spark, sf_dir):
 
 
 @query("window_facts", f"""WITH {GRID}, p AS (SELECT * FROM grid WHERE ts BETWEEN {NOW - 86400} AND {NOW + 1} AND value IS NOT NULL)
-SELECT signal, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high, round(arg_max(value, ts) - arg_min(value, ts), 6) + 0.0 AS change FROM p GROUP BY signal HAVING count(*) >= 2""")
+SELECT signal, count(*) AS n, round(avg(value), 9) AS mean, round(min(value), 9) AS low, round(max(value), 9) AS high, round(arg_max(value, ts) - arg_min(value, ts), 9) + 0.0 AS change FROM p GROUP BY signal HAVING count(*) >= 2""")
 def window_facts(spark, sf_dir):
-    return rounded(evidence.window_facts(hourly(spark, sf_dir), NOW, 86400), ["mean", "low", "high", "change"])
+    return rounded(evidence.window_facts(hourly(spark, sf_dir), NOW, 86400), ["mean", "low", "high", "change"], 9)
 
 
 @query("battery_rate", f"""WITH {GRID}, f AS (SELECT signal, regr_slope(value, ts) * 60 AS per_minute, arg_max(value, ts) AS last FROM grid WHERE value IS NOT NULL GROUP BY signal)

@@ -137,10 +137,10 @@ SPAN = 6 * HOUR
 SPAN_W = f"(PARTITION BY signal ORDER BY ts RANGE BETWEEN {SPAN} PRECEDING AND CURRENT ROW)"
 
 
-@query("span_mean_std", f"""WITH {GRID} SELECT signal, k, round(coalesce(avg(value) OVER {SPAN_W}, avg(value) OVER {BUF}, 0.5), 6) AS span_mean,
-round(coalesce(stddev_pop(value) OVER {SPAN_W}, 0), 6) AS span_std FROM grid""")
+@query("span_mean_std", f"""WITH {GRID} SELECT signal, k, round(coalesce(avg(value) OVER {SPAN_W}, avg(value) OVER {BUF}, 0.5), 9) AS span_mean,
+round(coalesce(stddev_pop(value) OVER {SPAN_W}, 0), 9) AS span_std FROM grid""")
 def span_mean_std(spark, sf_dir):
-    return rounded(features.span_stats(hourly(spark, sf_dir), SPAN).select("signal", "k", "span_mean", "span_std"), ["span_mean", "span_std"])
+    return rounded(features.span_stats(hourly(spark, sf_dir), SPAN).select("signal", "k", "span_mean", "span_std"), ["span_mean", "span_std"], 9)
 
 
 @query("span_slope", f"""WITH {GRID} SELECT signal, k, round(CASE WHEN count(value) OVER {SPAN_W} >= 2 THEN coalesce(regr_slope(value, ts) OVER {SPAN_W}, 0) ELSE 0 END * 60, 9) AS span_slope FROM grid""")
