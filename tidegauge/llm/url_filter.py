@@ -58,7 +58,7 @@ def rule_table(rules: DataFrame) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
-    """Judge every URL of ``pages``; returns id, host, path, rule, verdict, candidates.
+    """Judge every URL of ``pages``; returns id, host, path, rule, verdict and n_rules, how many rules fit.
 
     A rule fits its host and every subdomain when the URL's path starts with
     the rule's path. The longest rule (host and path together) wins; between
