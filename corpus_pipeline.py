@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import packing, pii, quality, simhash
+from tidegauge.llm import near_dedup, packing, pii, quality
 from tidegauge.llm.common import materialise, table
 
 
@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, resemblance of 0.8 or more."""
-    return simhash.keep_one_of_each(docs)
+    return near_dedup.keep_one_of_each(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
