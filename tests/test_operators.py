@@ -174,6 +174,17 @@ def test_numbers(spark):
     assert got[:4] == [71.0, 11.0, 42.0, 63.0] and 1204.0 in got
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("1,234.5 and -3", [1234.5, -3.0]), ("open 24/7, top 1 of v001, top 12", []), ("TOP 3, 2nd, 21st, top 2", [21.0, 2.0]), ("top 1,204 of 1,2,3", [1.0, 2.0, 3.0]), ("124/7 at +24/7", [124.0, 24.0]), ("", []),
+])
+def test_numbers_of_whole_text(spark, tmp_path, text, want):
+    from tidegauge.plans import catalogue
+
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = catalogue.QUERIES["number_extraction_text"](spark, str(tmp_path)).first()
+    assert (row.n, row.total) == (len(want), sum(want))
+
+
 @pytest.mark.parametrize(("text", "want"), [("Why is it hot?", "cause"), ("What will it be?", "forecast"), ("ok", "status")])
 def test_intents(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(evidence.intent("t")).first()[0] == want

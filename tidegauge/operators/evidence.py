@@ -66,10 +66,15 @@ def regime_spells(rows: DataFrame, regime: str = "regime", order: str = "k", by:
 NUMBER = r"(?<![A-Za-z0-9.])[-+]?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?(?![0-9])|(?<![A-Za-z0-9.])[-+]?[0-9]+(?:\.[0-9]+)?"
 
 
+#: Where a number starts that is part of a fixed phrase (top 1, top 3, 1st, 2nd, 3rd, 24/7); v001 and v002 have a letter before them.
+EXEMPT = r"(?:(?<=top )(?=[13])|(?=1st|2nd|3rd|24/7)|(?<=24/)(?=7))"
+
+
 def numbers(text: Column | str) -> Column:
-    """Numbers said in a text, thousands separators removed."""
+    """Numbers said in a text, thousands separators removed, those of fixed phrases left out."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda s: F.replace(s, F.lit(","), F.lit("")).try_cast("double"))
+    found = F.regexp_extract_all(text, F.lit(f"(?i){EXEMPT}(?:{NUMBER})|({NUMBER})"), F.lit(1))
+    return F.filter(F.transform(found, lambda s: F.replace(s, F.lit(","), F.lit("")).try_cast("double")), lambda x: x.isNotNull())
 
 
 def grounded(said: Column, surface: Column) -> Column:

@@ -367,6 +367,13 @@ def number_extraction(spark, sf_dir):
     return rows.select("doc_id", F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
+@query("number_extraction_text")
+def number_extraction_text(spark, sf_dir):
+    """Numbers of the whole text, with signs, decimals and exempt phrases, which the SQL of number_extraction leaves out."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", evidence.numbers(F.coalesce("text", F.lit(""))).alias("v"))
+    return rows.select("doc_id", F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
 @query("groundedness", """SELECT event_id, CAST(len(list_filter([value, value * 1.03, value + 50], lambda s: list_bool_or(list_transform([round(value, 1), 400.0], lambda v: abs(s - v) <= greatest(0.15, 0.06 * abs(s)) OR abs(abs(s) - abs(v)) <= greatest(0.15, 0.06 * abs(s)))))) AS INTEGER) AS grounded FROM events""")
 def groundedness(spark, sf_dir):
     v = F.col("value")
