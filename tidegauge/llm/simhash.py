@@ -316,64 +316,5 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = RADIUS,
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: 64-bit words, and bits that differ at a similarity of 0.8. Two texts whose shingles have a
-#: resemblance r have cosine 2r / (1 + r), and a bit differs with probability acos(cosine) / pi: 39 of 256 at 0.8,
-#: with a deviation of 6.
-WIDE_WORDS = 4
-WIDE_RADIUS = 42
-WIDE_SHINGLE = 5
-#: A band takes ``CHUNK_BITS`` bits of each word; its chunks step through the words by one of ``STRIDES``.
-CHUNK_BITS = 5
-CHUNKS = 12
-STRIDES = (0, 1, 5, 7)
-WIDE_HOT_SHARD = 1_024
-
-
-def wide_bands(words: list[str]) -> list[Column]:
-    """Bands of 20 bits drawn from all words: a pair of resemblance 0.8 shares one in six times out of seven, of 0.9 nearly always."""
-    out = []
-    for stride in STRIDES:
-        for a in range(CHUNKS):
-            chunks = [F.shiftleft(_band(words, 64 * w + CHUNK_BITS * ((a + w * stride) % CHUNKS), CHUNK_BITS), CHUNK_BITS * w) for w in range(len(words))]
-            value = chunks[0]
-            for c in chunks[1:]:
-                value = value.bitwiseOR(c)
-            out.append(value)
-    return out
-
-
-def near_duplicates(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) by wide fingerprints: groups of texts whose shingles resemble each other by 0.8 or more.
-
-    64 bits within 3 of each other find texts that hardly differ at all; at a
-    resemblance of 0.8 about 8 of 64 bits differ. Four words tell 0.8 from
-    chance, and bands over all words find such pairs; unlike the four bands of
-    ``simhash_components`` they find them with high probability, not surely.
-    """
-    names = [f"f{n}" for n in range(WIDE_WORDS)]
-    prints = materialise(fingerprints(docs, shingle, WIDE_WORDS, id_col, text_col), "simhash")
-    bands = wide_bands(names)
-    others = lambda band: F.array_compact(F.array(*[F.when(band != n, k) for n, k in enumerate(_keys(bands))]))
-    found = cluster(prints, names, lambda distinct: link_fingerprints(distinct, names, bands, radius, others, WIDE_HOT_SHARD))
-    return found.select("doc_id", "component_id")
-
-
-def keep_one_of_each(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS) -> DataFrame:
-    """The columns of ``docs``, with one document, that of the least id, of each group of near duplicates.
-
-    Rows without an id cannot be named and stay. Of rows that repeat an id one stays.
-    """
-    groups = near_duplicates(docs.select("doc_id", "text"), shingle, radius).filter("doc_id IS NOT NULL")
-    groups = materialise(groups, "groups")
-    lost = groups.filter("doc_id <> component_id").select("doc_id")
-    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    # A merge join at every size: the list of lost ids grows with the corpus, so it is not broadcast.
-    kept = docs.join(lost.distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    if repeated.take(1):
-        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-        kept = kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
-    return kept
-
-
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), shingle=3, radius=3)
