@@ -65,12 +65,16 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 class BoundedCache(dict):
-    """A memo of at most ``limit`` entries: when full it starts again, which costs time and changes nothing."""
+    """A memo of ``make(key)`` with at most ``limit`` entries: when full it starts again, which costs time and changes nothing."""
 
-    def __init__(self, limit: int):
+    def __init__(self, limit: int, make: Callable | None = None):
         super().__init__()
-        self.limit = limit
+        self.limit, self.make = limit, make
 
-    def room_for(self, n: int) -> None:
-        if len(self) + n > self.limit:
+    def __missing__(self, key):
+        if self.make is None:
+            raise KeyError(key)
+        if len(self) >= self.limit:
             self.clear()
+        value = self[key] = self.make(key)
+        return value
