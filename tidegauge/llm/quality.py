@@ -1,6 +1,7 @@
 """Quality by importance resampling of hashed n-gram models (operator 4).
 
-Texts are split into words and runs of punctuation; unigrams and bigrams are
+Texts are split into words and runs of punctuation, where a token equal to the
+one before it reads as one token "again"; unigrams and bigrams are
 hashed into ``BUCKETS`` buckets. Two generative models are fitted: ``target``
 on labelled good documents (a bounded sample of labelled rows) and ``raw`` on
 all documents. A document's log weight is the log of its probability under
@@ -8,12 +9,12 @@ all documents. A document's log weight is the log of its probability under
 document's id, so that it is the same in every run) and taking the k greatest
 samples k documents without replacement in proportion to their weights.
 
-k is not a fixed share: the sampling keeps as many documents as score above a
-level that is calibrated on the labelled sample, so the k greatest are exactly
-the documents above it and no global sort is needed. The level is the one that
-best separates labelled good from labelled bad documents, each scored by a model
+``resample`` takes k. Where it is not given, k is the size that the labelled
+sample calls for: the number of documents whose score reaches the level that best
+separates labelled good from labelled bad documents, each scored by a model
 fitted without its fold, good ones counting ``GOOD_WEIGHT`` times, so that clean
-documents stay.
+documents stay. The k-th greatest score is found by counting scores in bins of a
+narrowing range, so there is no global sort.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import map_arrow, slices, table, text_or_empty
+from tidegauge.llm.common import map_arrow, materialise, slices, table, text_or_empty
 from tidegauge.llm.pretokens import BoundedCache
 from tidegauge.llm.word_hash import finalise
 
@@ -43,8 +45,8 @@ FOLDS = 2
 TARGETS = tuple(f"target{n}" for n in range(FOLDS))
 CACHE_TOKENS = 150_000
 
-#: The bigram of a token and itself, whatever the token: repetition is one feature.
-_REPEAT = np.uint64(0x2545F4914F6CDD1D)
+#: What a token equal to the one before it reads as.
+AGAIN = np.uint64(0x2545F4914F6CDD1D)
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -53,28 +55,19 @@ class BucketCounts:
 
     def __init__(self, buckets: int = BUCKETS):
         self.buckets = np.uint64(buckets)
-        self.memo = BoundedCache(CACHE_TOKENS)
+        self.memo = BoundedCache(CACHE_TOKENS, _hash)
 
     def __call__(self, text: str) -> np.ndarray:
-        tokens, memo = _TOKENS.findall(text.lower()), self.memo
-        try:
-            raw = [memo[t] for t in tokens]
-        except KeyError:
-            known = {t: memo[t] if t in memo else int.from_bytes(_digest(t), "little") for t in set(tokens)}
-            memo.room_for(len(known))
-            memo.update(known)
-            raw = [known[t] for t in tokens]
-        h = np.array(raw, np.uint64)
+        tokens = _TOKENS.findall(text.lower())
+        h = np.fromiter(map(self.memo.__getitem__, tokens), np.uint64, len(tokens))
+        h[1:][h[1:] == h[:-1]] = AGAIN
         with np.errstate(over="ignore"):
             pairs = finalise(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-        pairs[h[:-1] == h[1:]] = _REPEAT
         return np.concatenate([h, pairs]) % self.buckets
 
 
-def _digest(token: str) -> bytes:
-    import xxhash
-
-    return xxhash.xxh64_digest(token, 3)
+def _hash(token: str) -> int:
+    return xxhash.xxh64_intdigest(token, 3)
 
 
 def sampled_labels(labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
@@ -130,8 +123,8 @@ def gumbel(doc_id: Column, seed: int = SEED) -> Column:
     return -F.log(-F.log(unit))
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` packed in ``row``, with the log weight and the Gumbel-perturbed score."""
+def weigh(docs: DataFrame, ratio: np.ndarray, carried: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ``carried`` columns of ``docs`` (all, unless given) packed in ``row``, with the log weight and the Gumbel-perturbed score."""
     buckets = len(ratio)
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
 
@@ -141,12 +134,34 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
             sums = [float(values[of(t).astype(np.int64)].sum()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.float64())], names=["row", "log_weight"])
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty(text_col).alias("text"))
-    kind = docs.schema.simpleString()
-    weighed = map_arrow(packed, run, f"row {kind}, log_weight double")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried or docs.columns]).alias("row"), text_or_empty(text_col).alias("text"))
+    weighed = map_arrow(packed, run, f"row {packed.schema['row'].dataType.simpleString()}, log_weight double")
     return weighed.withColumn("score", F.col("log_weight") + gumbel(F.col("row")[id_col]))
 
 
+def kth_greatest(scored: DataFrame, k: int, column: str = "score", bins: int = 4_096, few: int = 10_000) -> float:
+    """The k-th greatest value (the least of all where there are fewer; infinite for k under 1).
+
+    Each round counts the values of the range left in at most ``bins`` bins and
+    keeps the bin that the k-th lies in; at most ``few`` values come to the driver.
+    """
+    ends = scored.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count(column).alias("n")).first()
+    if k < 1 or not ends.n:
+        return np.inf
+    low, high, n, k = ends.low, ends.high, ends.n, min(k, ends.n)
+    while low < high:
+        part = scored.filter(F.col(column).between(low, high)).select(F.col(column).alias("x"))
+        if n <= few:
+            return sorted((r.x for r in part.collect()), reverse=True)[k - 1]
+        place = F.least(F.floor((F.col("x") - low) / ((high - low) / bins)), F.lit(bins - 1))
+        for r in part.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy(F.desc("bin")).collect():
+            if k <= r.n:
+                low, high, n = r.low, r.high, r.n
+                break
+            k -= r.n
+    return low
+
+
 def calibrate(scores: np.ndarray, good: np.ndarray, good_weight: float = GOOD_WEIGHT) -> float:
     """The level between two labelled scores at which fewest good (times ``good_weight``) and bad documents are on the wrong side."""
     if not len(scores) or good.all() or not good.any():
@@ -163,36 +178,47 @@ def calibrate(scores: np.ndarray, good: np.ndarray, good_weight: float = GOOD_WE
     return float(np.inf) if at == len(s) else float((s[at - 1] + s[at]) / 2)
 
 
-def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
-    """``row`` (the columns of ``docs``), log_weight, score and ``kept`` of every document.
+def labelled_level(docs: DataFrame, local: DataFrame, without: list[np.ndarray]) -> float:
+    """The level between labelled good and bad documents, each scored by the model fitted without its fold."""
+    known = docs.select("doc_id", "text").join(F.broadcast(local), "doc_id").select("doc_id", "text", "good", "fold")
+    parts = [weigh(known.filter(F.col("fold") == n), ratio).select(F.col("row.good").alias("good"), "score") for n, ratio in enumerate(without)]
+    seen = parts[0]
+    for part in parts[1:]:
+        seen = seen.unionByName(part)
+    seen = seen.select("score", "good").toArrow()
+    return calibrate(seen.column(0).to_numpy(), seen.column(1).to_numpy(zero_copy_only=False).astype(bool))
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, carried: list[str] | None = None, buckets: int = BUCKETS, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
+    """``row`` (the ``carried`` columns of ``docs``; all, unless given), log_weight, score, k, and ``kept``: whether the score is among the k greatest.
 
-    Null and empty texts have weight 0, a text without a word likewise; ties
-    fall on the same side of the level. Repeated rows with one id share a
-    Gumbel variate. Without usable labels every document is kept. Documents
-    need ``doc_id`` and ``text``; other columns, whatever their names, are
-    carried through.
+    Null and empty texts have weight 0, a text without a word likewise; scores
+    equal to the k-th greatest are all kept. Repeated rows with one id share a
+    Gumbel variate. Without usable labels, and without k, every document is
+    kept. Documents need ``doc_id`` and ``text``; other columns, whatever their
+    names, are carried through.
     """
     sample = sampled_labels(labels, labelled_rows)
     ids = sample.toArrow()
     local = docs.sparkSession.createDataFrame(ids).toDF("doc_id", "good", "fold") if ids.num_rows else sample
     ratio, without = fit(docs, local, buckets)
-    scored = weigh(docs, ratio)
-    known = docs.select("doc_id", "text").join(F.broadcast(local), "doc_id").select("doc_id", "text", "good", "fold")
-    seen = None
-    for n in range(FOLDS):
-        part = weigh(known.filter(F.col("fold") == n), without[n]).select(F.col("row.good").alias("good"), "score")
-        seen = part if seen is None else seen.unionByName(part)
-    seen = seen.select("score", "good").toArrow()
-    level = calibrate(seen.column(0).to_numpy(), seen.column(1).to_numpy(zero_copy_only=False).astype(bool))
-    return scored.withColumn("kept", F.col("score") >= F.lit(level))
-
-
-def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    # Scored once: the level, k and the choice all read this table.
+    scored = materialise(weigh(docs, ratio, carried), "weighed")
+    if k is None:
+        reached = F.col("score") >= F.lit(labelled_level(docs, local, without))
+        size = scored.agg(F.count_if(reached).alias("k"), F.min(F.when(reached, F.col("score"))).alias("least")).first()
+        k, least = size.k, np.inf if size.least is None else size.least
+    else:
+        least = kth_greatest(scored, k)
+    return scored.withColumns({"k": F.lit(k).cast("long"), "kept": F.col("score") >= F.lit(float(least))})
+
+
+def keep(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """The documents that the resampling keeps, with their own columns."""
-    kept = resample(docs, labels).filter("kept")
+    kept = resample(docs, labels, k).filter("kept")
     return kept.select([F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select(F.col("row.doc_id").alias("doc_id"), "log_weight", "score", "kept")
+    judged = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carried=["doc_id"])
+    return judged.select(F.col("row.doc_id").alias("doc_id"), "log_weight", "score", "k", "kept")
