@@ -62,7 +62,8 @@ def test_search_is_exact():
     base = r.integers(0, 1 << 60, 80, dtype=np.uint64)
     sets = [np.unique(np.r_[r.choice(base, 76, replace=False), r.integers(0, 1 << 60, 4, dtype=np.uint64)]) for _ in range(40)]
     up = list(range(40))
-    for i, j in near_dedup.resembling(sets):
+    of = Fingerprints(5, near_dedup.PRINT_WORDS)
+    for i, j in near_dedup.resembling([near_dedup.set_print(of, s) for s in sets], sets):
         assert len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9
         up = [up[i] if u == up[j] else u for u in up]
     for i in range(40):
@@ -96,3 +97,23 @@ def test_rows_not_ids(spark):
 def test_set_of_short_texts():
     of = Fingerprints(5)
     assert len(near_dedup.shingle_set(of, "")) == 0 and len(near_dedup.shingle_set(of, "one two")) == 1
+
+
+@pytest.mark.parametrize(("shared", "extra"), [(4, 1), (8, 2), (12, 3), (160, 40), (800, 200)])
+def test_radius_reaches_resemblance(shared, extra):
+    """Sets of resemblance 0.8, one holding the other, lie within the radius."""
+    r, of, far, n = np.random.default_rng(shared), Fingerprints(5, near_dedup.PRINT_WORDS), 0, 300
+    for _ in range(n):
+        h = r.integers(0, 1 << 63, shared + extra, dtype=np.uint64)
+        a, b = (int.from_bytes(near_dedup.set_print(of, x), "little") for x in (h[:shared], h))
+        far += (a ^ b).bit_count() > near_dedup.RADIUS
+    assert far <= 1
+
+
+def test_keep_one_of_each(spark, docs, empty):
+    out = near_dedup.keep_one_of_each(docs)
+    assert out.columns == docs.columns
+    ids = [r.doc_id for r in out.collect()]
+    assert ids.count(1) == 1 and 2 not in ids and 3 not in ids and ids.count(12) == 1 and {4, 5, 13, 15, 20, 21, 40} <= set(ids)
+    assert ids.count(None) == 2 and [i for i in ids if i in (6, 7, 8)] == [6]
+    assert near_dedup.keep_one_of_each(empty).collect() == []

@@ -59,6 +59,24 @@ def test_without_labels_all_stay(spark, docs, labels, texts):
     assert out.count() == len(texts) and out.columns == docs.columns
 
 
+def test_k_greatest(spark, docs, labels):
+    """An explicit k against a plain sort, in few and in many rounds."""
+    for k in (1, 7):
+        rows = quality.resample(docs, labels, k=k).collect()
+        level = sorted((r.score for r in rows), reverse=True)[k - 1]
+        assert all(r.kept == (r.score >= level) and r.k == k for r in rows)
+    values = [float(v) for v in np.random.default_rng(3).standard_t(2, 500)] + [2.5] * 40
+    df = spark.createDataFrame([(v,) for v in values], "score double")
+    for k in (1, 2, 37, 250, 540, 900):
+        assert quality.kth_greatest(df, k, bins=8, few=3) == sorted(values, reverse=True)[min(k, 540) - 1]
+    assert quality.kth_greatest(df, 0) == np.inf
+
+
+def test_repeated_tokens_read_as_one():
+    of = quality.BucketCounts()
+    assert len(of("so so so")) == 5 and list(of("x x")[1:2]) == list(of("y y")[1:2]) and len(of("")) == 0
+
+
 def test_keep_carries_all_columns(spark, docs, labels):
     out = quality.keep(docs, labels)
     assert out.columns == docs.columns and out.dtypes == docs.dtypes

@@ -1,11 +1,11 @@
-"""Operator 6 against brute force, and the pipeline's wide fingerprints against exact resemblance."""
+"""Operator 6 against brute force."""
 
 import random
 import re
 
+import pytest
 import xxhash
 
-from tests.llm.conftest import prose
 from tidegauge.llm import simhash
 
 
@@ -59,7 +59,8 @@ def test_edge_rows(spark, docs, texts):
     assert {r.component_id for r in rows if r.fingerprint == "0" * 16} == {min(i for i, p in prints.items() if p == 0)}
 
 
-def test_hot_shards_lose_no_link(spark):
+@pytest.mark.parametrize("block", [4, simhash.BLOCK])
+def test_hot_shards_lose_no_link(spark, block):
     """A chain and a cloud of fingerprints that crowd into the same bands."""
     r = random.Random(4)
     base, prints = r.getrandbits(64), {}
@@ -73,7 +74,7 @@ def test_hot_shards_lose_no_link(spark):
     signed = [(i, v - 2**64 if v >= 2**63 else v) for i, v in prints.items()]
     df = spark.createDataFrame(signed, "doc_id long, f0 long").repartition(4)
     bands, again = simhash.disjoint_bands(3)
-    found = simhash.cluster(df, ["f0"], lambda d: simhash.link_fingerprints(d, ["f0"], bands, 3, again, hot_shard=8))
+    found = simhash.cluster(df, ["f0"], lambda d: simhash.link_fingerprints(d, ["f0"], bands, 3, again, hot_shard=8, block=block))
     assert {x.doc_id: x.component_id for x in found.collect()} == components(prints)
 
 
@@ -95,28 +96,24 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_empty_table(empty):
-    assert simhash.simhash_components(empty).collect() == [] and simhash.keep_one_of_each(empty).collect() == []
-
-
-def altered(text, share, seed):
-    r = random.Random(seed)
-    return " ".join("changed" + str(r.random())[2:6] if r.random() < share else w for w in text.split())
-
-
-def test_near_duplicates_by_resemblance(spark):
-    rows, groups = [], 25
-    for g in range(groups):
-        base = prose(100 + g, 300)
-        rows += [(10 * g, base), (10 * g + 1, base), (10 * g + 2, altered(base, 0.01, g)), (10 * g + 3, altered(base, 0.3, g)), (10 * g + 4, prose(900 + g, 300))]
-    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    close = sum(found[10 * g + 2] == 10 * g for g in range(groups))
-    assert all(found[10 * g + 1] == 10 * g for g in range(groups)) and close >= 0.9 * groups
-    assert all(found[10 * g + n] == 10 * g + n for g in range(groups) for n in (3, 4))
-
-
-def test_keep_one_of_each(spark, docs, texts):
-    out = simhash.keep_one_of_each(docs)
-    assert out.columns == docs.columns
-    ids = [r.doc_id for r in out.collect()]
-    assert ids.count(1) == 1 and 2 not in ids and 3 not in ids and ids.count(12) == 1 and {4, 5, 13, 15, 20, 21, 40} <= set(ids)
-    assert ids.count(None) == 2 and [i for i in ids if i in (6, 7, 8)] == [6]
+    assert simhash.simhash_components(empty).collect() == []
+
+
+def test_every_shard_is_searched_by_its_tree(monkeypatch):
+    """Each member of a shard of any size is one search of the shard's tree, and nothing else compares fingerprints."""
+    searched = []
+    add = simhash.BkTree.add_and_search
+    monkeypatch.setattr(simhash.BkTree, "add_and_search", lambda tree, value, radius: searched.append(value) or add(tree, value, radius))
+    for size in (2, 3, 40):
+        searched.clear()
+        list(simhash.shard_links(list(range(size)), 3))
+        assert searched == list(range(size))
+
+
+def test_tree_follows_only_edges_within_the_radius():
+    r = random.Random(9)
+    tree, values = simhash.BkTree(), [r.getrandbits(64) for _ in range(400)]
+    for n, v in enumerate(values):
+        assert sorted(tree.add_and_search(v, 3)) == [i for i in range(n) if (values[i] ^ v).bit_count() <= 3]
+    for node, kids in enumerate(tree.children):
+        assert all((tree.values[node] ^ tree.values[k]).bit_count() == d for d, k in kids.items())

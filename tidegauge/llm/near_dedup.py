@@ -1,19 +1,25 @@
-"""Near-duplicate texts by exact resemblance (the pipeline's second stage).
+"""Near-duplicate texts by BK-trees over SimHash fingerprints and exact resemblance (operator 6 at 0.8; the pipeline's second stage).
 
 Two texts are linked when their sets of five-word shingles have a resemblance
 (shared over all shingles) of at least ``LEAST``; linked texts form components.
 
-Candidates. A set has ``BANDS`` keys, each of ``ROWS`` independent least hashes,
-so two sets of resemblance r share a key with probability
-``1 - (1 - r**ROWS)**BANDS``: 0.9993 at 0.8, 0.99999 at 0.85. Sets that share a
-key form a shard; of shards with the same members one is searched. Equal sets
-are one member.
-
-Search. A shard's members bring their shingle hashes, and resemblance is counted
-exactly, so a link is never an estimate. A member is compared with those that
-the shard has not connected to it yet; links leave as a spanning forest. A
-shard of more than ``HOT_SHARD`` members is cut into blocks, and every pair of
-blocks is searched as a shard of its own: no pair is left out at any size.
+Shards. SimHash bits of texts at 0.8 differ so often (about 39 of 256) that
+bands of them would have to be short and many, and shards would grow with the
+square of the corpus. A shard is therefore dealt by the text's shingles: a set has
+``BANDS`` keys, each of ``ROWS`` independent least hashes, so two sets of
+resemblance r share a key with probability ``1 - (1 - r**ROWS)**BANDS``: 0.9993
+at 0.8, 0.99999 at 0.85. Of shards with the same members one is searched. Equal
+sets are one member.
+
+Search, as in ``simhash``: a task builds the BK-tree of a shard's ``PRINT_WORDS``
+* 64 bit SimHash fingerprints and searches it with every member, following only
+edges within ``RADIUS``. The radius is wide: at 0.8 a pair of long texts
+differs in 39 bits with a deviation of 6, one of five and four shingles in 48
+with a deviation of 6. What the tree finds is confirmed by counting the two
+sets' common shingles exactly, so a link is never an estimate. Members that the
+shard has connected already are not confirmed again; links leave as a spanning
+forest. A shard of more than ``HOT_SHARD`` members is cut into blocks, and every
+pair of blocks is searched as a shard of its own: no pair is left out at any size.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import map_arrow, materialise, slices, text_or_empty
-from tidegauge.llm.simhash import Fingerprints, Forest, components, mix
+from tidegauge.llm.simhash import BkTree, Fingerprints, Forest, block_pairs, components, mix
 
 SHINGLE = 5
 LEAST = 0.8
@@ -35,8 +41,10 @@ ROWS = 6
 BANDS = 24
 #: Members above which a shard is searched in pairs of blocks.
 HOT_SHARD = 1_024
-#: Shards of at most so many members are compared pair by pair.
-FEW = 6
+PRINT_WORDS = 4
+RADIUS = 72
+#: Candidates confirmed at once.
+AT_ONCE = 16
 #: Shingles hashed at once.
 CHUNK = 512
 
@@ -65,38 +73,33 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return keys
 
 
-def resembling(sets: list[np.ndarray], least: float = LEAST) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs of places whose sets resemble each other by ``least`` or more."""
+def set_print(of: Fingerprints, hashes: np.ndarray) -> bytes:
+    """The SimHash fingerprint of a set."""
+    return b"".join([w.to_bytes(8, "little") for w in of.of_hashes(hashes)])
+
+
+def resembling(prints: list[bytes], sets: list[np.ndarray], least: float = LEAST, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs of places whose sets resemble each other by ``least`` or more, found by a BK-tree over their fingerprints."""
     sizes = np.array([len(s) for s in sets])
-    if len(sets) <= FEW:
-        forest = Forest(len(sets))
-        for j in range(len(sets)):
-            for i in range(j):
-                if min(sizes[i], sizes[j]) >= least * max(sizes[i], sizes[j]) - 1e-9 and forest.root(i) != forest.root(j):
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if both >= least * (sizes[i] + sizes[j] - both) - 1e-9:
-                        forest.join(i, j)
-                        yield i, j
-        return
-    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.r_[0, np.cumsum(sizes)]
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(len(names), np.int32)
-    left = np.arange(len(sets))
-    while len(left) > 1:
-        reached, left = [int(left[0])], left[1:]
-        within = np.concatenate([codes[starts[i] : starts[i + 1]] for i in left])
-        while reached and len(left):
-            q = reached.pop()
-            own = codes[starts[q] : starts[q + 1]]
-            mark[own] = 1
-            both = np.add.reduceat(mark[within], np.r_[0, np.cumsum(sizes[left])[:-1]])
-            mark[own] = 0
-            hit = both >= least * (sizes[q] + sizes[left] - both) - 1e-9
+    forest, tree = Forest(len(sets)), BkTree()
+    for i, p in enumerate(prints):
+        own = codes[starts[i] : starts[i + 1]]
+        near = [j for j in tree.add_and_search(int.from_bytes(p, "little"), radius) if sizes[i] >= least * sizes[j] - 1e-9 and sizes[j] >= least * sizes[i] - 1e-9]
+        mark[own] = 1
+        while near:
+            part, near = np.array(near[:AT_ONCE]), near[AT_ONCE:]
+            both = np.add.reduceat(mark[np.concatenate([codes[starts[j] : starts[j + 1]] for j in part])], np.r_[0, np.cumsum(sizes[part])[:-1]])
+            hit = both >= least * (sizes[i] + sizes[part] - both) - 1e-9
+            for j in part[hit].tolist():
+                if forest.join(i, j):
+                    yield j, i
             if hit.any():
-                for i in left[hit].tolist():
-                    reached.append(i)
-                    yield q, i
-                within, left = within[np.repeat(~hit, sizes[left])], left[~hit]
+                at = forest.root(i)
+                near = [j for j in near if forest.root(j) != at]
+        mark[own] = 0
 
 
 def keyed_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -116,39 +119,42 @@ def keyed_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def packed_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(sid, held) of rows (sid, text): the shingle hashes as bytes."""
+    """(sid, print, held) of rows (sid, text): the fingerprint and the shingle hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Fingerprints(shingle)
+        of = Fingerprints(shingle, PRINT_WORDS)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(of, t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["sid", "held"])
+            sets = [shingle_set(of, t) for t in batch.column(1).to_pylist()]
+            prints = [set_print(of, s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "print", "held"])
 
-    return map_arrow(texts.select("sid", "text"), run, "sid long, held binary")
+    return map_arrow(texts.select("sid", "text"), run, "sid long, print binary, held binary")
 
 
 def search(members: DataFrame, least: float) -> DataFrame:
-    """Links (u, v) among rows (s1, s2, sid, held) that share (s1, s2)."""
+    """Links (u, v) among rows (s1, s2, sid, print, held) that share (s1, s2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by shard; a shard may span batches.
-        shard, ids, sets = None, [], []
+        shard, ids, prints, sets = None, [], [], []
 
         def links() -> pa.RecordBatch:
-            found = list(resembling(sets, least)) if len(sets) > 1 else []
+            found = list(resembling(prints, sets, least)) if len(sets) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            for s1, s2, sid, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for s1, s2, sid, print_, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (s1, s2) != shard:
                     if (found := links()).num_rows:
                         yield found
-                    shard, ids, sets = (s1, s2), [], []
+                    shard, ids, prints, sets = (s1, s2), [], [], []
                 ids.append(sid)
+                prints.append(print_)
                 sets.append(np.frombuffer(held, np.uint64))
         if (found := links()).num_rows:
             yield found
 
-    rows = members.select("s1", "s2", "sid", "held").repartition("s1", "s2").sortWithinPartitions("s1", "s2", "sid")
+    rows = members.select("s1", "s2", "sid", "print", "held").repartition("s1", "s2").sortWithinPartitions("s1", "s2", "sid")
     return map_arrow(rows, run, "u long, v long")
 
 
@@ -161,11 +167,7 @@ def set_links(distinct: DataFrame, texts: DataFrame, shingle: int, least: float,
     wanted = distinct.join(members.select("sid").distinct().hint("merge"), "sid", "left_semi").select("sid", F.col("row.doc_id").alias("_id"), F.col("row.tk").alias("_tk"))
     found = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk"))).select("sid", "text")
     held = packed_sets(found, shingle).dropDuplicates(["sid"])
-    blocks = F.ceil(F.col("n") / F.lit(hot_shard)).cast("long")
-    own = F.pmod(F.xxhash64("sid", F.lit(1)), blocks)
-    others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: j != own)
-    pairs = F.when(F.col("n") > hot_shard, F.transform(others, lambda j: F.least(own, j) * (1 << 32) + F.greatest(own, j))).otherwise(F.array(F.lit(0).cast("long")))
-    dealt = members.join(held.hint("merge"), "sid").select("s1", F.explode(pairs).alias("s2"), "sid", "held")
+    dealt = members.join(held.hint("merge"), "sid").select("s1", F.explode(block_pairs(F.col("sid"), F.col("n"), hot_shard)).alias("s2"), "sid", "print", "held")
     return search(dealt, least)
 
 

@@ -10,10 +10,12 @@ can leave: by the pigeonhole principle two fingerprints within ``radius`` bits
 agree on at least one of ``radius + 1`` bands, so a shard is a (band, value).
 Each task builds the BK-tree of a shard, children keyed by integer Hamming
 distance to their parent, and searches it with every member, following only
-edges within the radius. Exact copies meet once, as one fingerprint. A shard of
-more than ``HOT_SHARD`` fingerprints (a large group of near copies) is dealt
-again by bands of its other bits, by the same principle, which loses no pair
-either.
+edges within the radius; every comparison of two fingerprints is a step of such
+a search. Exact copies meet once, as one fingerprint. A shard of more than
+``HOT_SHARD`` fingerprints (a large group of near copies) is dealt again by
+bands of its other bits, by the same principle; what is still larger than
+``BLOCK`` then is cut into blocks, and every pair of blocks is a shard of its
+own. Neither loses a pair, and both bound a task's tree.
 
 Links leave a task as a spanning forest: a link whose ends the shard has
 already connected adds nothing to components. Components come from alternating
@@ -37,9 +39,9 @@ SEED = 42
 RADIUS = 3
 BITS = 64
 #: Members above which a shard is dealt again by its other bits.
-HOT_SHARD = 256
-#: Shards smaller than this are compared pair by pair; a tree costs more there.
-TREE_FROM = 12
+HOT_SHARD = 512
+#: Members of a shard dealt again above which it is searched in pairs of blocks.
+BLOCK = 1_024
 
 
 def byte_bits() -> np.ndarray:
@@ -74,7 +76,9 @@ class Fingerprints:
         return np.array([digest(s, seed) for s in map(b" ".join, zip(*[words[i:] for i in range(k)], strict=False))], np.uint64)
 
     def __call__(self, text: str) -> tuple[int, ...]:
-        h = self.hashes(text)
+        return self.of_hashes(self.hashes(text))
+
+    def of_hashes(self, h: np.ndarray) -> tuple[int, ...]:
         if not len(h):
             return (0,) * self.words
         streams = h[:, None] if self.words == 1 else np.stack([h, *(mix(h, n) for n in range(1, self.words))], axis=1)
@@ -163,14 +167,7 @@ class Forest:
 
 def shard_links(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links within ``radius`` among distinct ``values``, as pairs of places."""
-    forest = Forest(len(values))
-    if len(values) < TREE_FROM:
-        for i, v in enumerate(values):
-            for j in range(i):
-                if (v ^ values[j]).bit_count() <= radius and forest.join(i, j):
-                    yield j, i
-        return
-    tree = BkTree()
+    forest, tree = Forest(len(values)), BkTree()
     for i, v in enumerate(values):
         for j in tree.add_and_search(v, radius):
             if forest.join(i, j):
@@ -228,17 +225,33 @@ def _keys(columns: list[Column]) -> list[Column]:
     return [F.lit(n).cast("long") * (1 << 32) + c for n, c in enumerate(columns)]
 
 
-def link_fingerprints(prints: DataFrame, words: list[str], bands: list[Column], radius: int, again: Callable[[Column], Column], hot_shard: int = HOT_SHARD) -> DataFrame:
+def block_pairs(member: Column, n: Column, block: int) -> Column:
+    """The pairs of blocks, of about ``block`` of the shard's ``n`` members, that ``member`` takes part in; one value for a shard of one block."""
+    blocks = F.greatest(F.ceil(n / F.lit(block)).cast("long"), F.lit(1).cast("long"))
+    own = F.pmod(F.xxhash64(member, F.lit(1)), blocks)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: j != own)
+    return F.when(blocks > 1, F.transform(others, lambda j: F.least(own, j) * (1 << 32) + F.greatest(own, j))).otherwise(F.array(F.lit(-1).cast("long")))
+
+
+def link_fingerprints(prints: DataFrame, words: list[str], bands: list[Column], radius: int, again: Callable[[Column], Column], hot_shard: int = HOT_SHARD, block: int = BLOCK) -> DataFrame:
     """Links (u, v) within ``radius`` bits among distinct fingerprints (fid and ``words``) that share a band's value.
 
     Shards above ``hot_shard`` are dealt again by ``again(band)``: an array of
-    values of which two members of the band's shard share at least one.
+    values of which two members of the band's shard share at least one. Those
+    are searched in pairs of blocks where they hold over ``block`` members.
     """
     keyed = prints.select("fid", *words, F.inline(F.array(*[F.struct(k.alias("s1"), F.lit(n).alias("band")) for n, k in enumerate(_keys(bands))])))
-    sizes = keyed.groupBy("s1").agg(F.count("*").alias("n")).filter(F.col("n") > hot_shard).select("s1", F.lit(True).alias("hot"))
-    keyed = keyed.join(sizes, "s1", "left")
-    sub = F.when(F.col("hot"), again(F.col("band"))).otherwise(F.array(F.lit(-1).cast("long")))
-    return _search(keyed.select("s1", F.explode(sub).alias("s2"), "fid", *words), words, radius)
+    none = F.lit(-1).cast("long")
+    hot = checkpointed(keyed.groupBy("s1").agg(F.count("*").alias("n")).filter(F.col("n") > hot_shard).select("s1"))
+    if not hot.take(1):
+        return _search(keyed.select("s1", none.alias("s2"), "fid", *words), words, radius)
+    usual = keyed.join(hot, "s1", "left_anti").select("s1", none.alias("s2"), "fid", *words)
+    dealt = materialise(keyed.join(hot, "s1").select(F.explode(again(F.col("band"))).alias("s2"), "s1", "fid", *words), "dealt")
+    # A shard dealt again is named by one number, so that its pairs of blocks have the other.
+    dealt = dealt.select(F.xxhash64("s1", "s2").alias("s1"), "fid", *words)
+    sizes = dealt.groupBy("s1").agg(F.count("*").alias("n")).filter("n > 1")
+    parts = dealt.join(sizes.hint("merge"), "s1").select("s1", F.explode(block_pairs(F.col("fid"), F.col("n"), block)).alias("s2"), "fid", *words)
+    return _search(usual, words, radius).unionByName(_search(parts, words, radius))
 
 
 def disjoint_bands(radius: int) -> tuple[list[Column], Callable[[Column], Column]]:
