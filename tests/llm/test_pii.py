@@ -81,3 +81,52 @@ def test_mask_of_overlapping_spans():
 
 def test_empty_table(empty):
     assert pii.find(empty).collect() == [] and pii.redact(empty).collect() == []
+
+
+def test_long_words_are_masked_whole():
+    """Windows end between words: a long domain is one token, and none of it stays."""
+    weights = dict(pii.train())
+    for text in ("bob (at) " + "a" * 70 + "longdomain.com", "mail ann [at] " + "b" * 200 + " [dot] com", "x" * 300 + " bob [at] mail [dot] com " + "y" * 300):
+        (kind, start, end), = pii.all_spans(text, weights)[1]
+        assert kind == "email" and text[start:end].endswith("com") and text[start:].startswith(("bob", "ann"))
+    assert pii.mask(text, pii.all_spans(text, weights)[1]) == "x" * 300 + " <EMAIL> " + "y" * 300
+
+
+def test_windows_take_linear_time():
+    start = time.time()
+    for text in (("x1234" + "y" * 100) * 5_000, "a" * 500_000 + "1234" + "b" * 500_000, "1 2 3 4 " * 60_000):
+        found = pii.windows(text)
+        assert all(a[1] < b[0] for a, b in zip(found, found[1:], strict=False))
+    assert time.time() - start < 20
+
+
+def segmentations(segments):
+    """Every set of disjoint candidates, in order."""
+    def go(at, taken):
+        yield list(taken)
+        for n, (i, j, _, _) in enumerate(segments.found):
+            if i >= at:
+                yield from go(j, [*taken, n])
+    return go(0, [])
+
+
+def test_dynamic_programs_against_all_segmentations():
+    import math
+
+    r = random.Random(3)
+    segments = pii.Segments("123 456 7890 or 555 123 4567", 0, 28, [])
+    assert 3 <= len(segments.found) <= 40
+    scores = [r.uniform(-2, 2) for _ in segments.found]
+    moves = [[r.uniform(-1, 1) for _ in pii.STATES] for _ in pii.STATES]
+
+    def value(chosen):
+        states = ["none", *(segments.found[n][2] for n in chosen)]
+        return sum(scores[n] for n in chosen) + sum(moves[pii.STATES.index(a)][pii.STATES.index(b)] for a, b in zip(states, states[1:], strict=False))
+
+    every = list(segmentations(segments))
+    assert value(segments.best(scores, moves)) == max(map(value, every))
+    whole = sum(math.exp(value(c)) for c in every)
+    chances, expected = segments.marginals(scores, moves)
+    for n in range(len(segments.found)):
+        assert abs(chances[n] - sum(math.exp(value(c)) for c in every if n in c) / whole) < 1e-9
+    assert abs(sum(map(sum, expected)) - sum(math.exp(value(c)) * len(c) for c in every) / whole) < 1e-9

@@ -4,8 +4,10 @@ Base spans follow the four patterns exactly. Around digit runs, at-signs and
 spelled-out at-signs a semi-Markov CRF adds what the patterns miss (written
 apart, bracketed, without a country code, with other separators): a segment is a
 whole candidate span, its features are of the whole span (digit counts, group
-lengths, separators, checksum, edges, the word before), and a Viterbi pass over
+lengths, separators, checksum, edges, the word before), a transition score links
+it to the kind of the entity before it in its window, and a Viterbi pass over
 segments of at most ``MAX_TOKENS`` tokens chooses boundaries and kinds together.
+Windows end between words, however long these are.
 Base spans are barriers of that pass: they stay, and no segment overlaps one.
 
 The model is trained here: weights maximise the conditional likelihood of
@@ -30,8 +32,11 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import map_arrow, slices, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
+#: The state of a segmentation: the kind of its last entity so far, at first none.
+STATES = ("none", *KINDS)
+_START = [0.0, *[-math.inf] * len(KINDS)]
 MAX_TOKENS = 19
-MAX_CHARS = 80
+MAX_CHARS = 320
 #: Digit groups of a segment without an at-sign.
 MAX_GROUPS = 8
 #: How much likelier than "no entity" a segment must be to be taken.
@@ -113,7 +118,7 @@ _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|[\W_]|\d", re.S)
 #: Where a segment may lie: four digits close together, an at-sign, a bracketed or spelled-out at-sign.
 _NUMBERS = re.compile(r"[0-9](?:[^0-9A-Za-z\n]{0,3}[0-9]){3,}+")
 _AT = re.compile(r"@|[(\[{]\s?(?:at|AT)\s?[)\]}]|\s(?:at|AT)\s(?=\S{1,40}\s?[(\[{]?\s?(?:dot|DOT)\s?[)\]}]?\s?\S)")
-_BEFORE, _AFTER = 48, 64
+_BEFORE, _LOCAL_BEFORE, _AFTER = 48, 96, 320
 #: Words that announce a kind.
 _CUES = {
     "phone": {"tel", "telephone", "phone", "call", "mobile", "cell", "fax", "ring", "whatsapp"},
@@ -126,13 +131,20 @@ _ATS = {"@", "at"}
 
 
 def windows(text: str) -> list[tuple[int, int]]:
+    """Disjoint parts of the text where a segment may lie; they begin and end between words."""
     found = [(m.start() - _BEFORE, m.end() + 8) for m in _NUMBERS.finditer(text)] if _DIGIT.search(text) else []
-    found += [(m.start() - _BEFORE, m.end() + _AFTER) for m in _AT.finditer(text)]
+    found += [(m.start() - _LOCAL_BEFORE, m.end() + _AFTER) for m in _AT.finditer(text)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
-        a, b = max(a, 0), min(b, len(text))
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
+        a, b, low = max(a, 0), min(b, len(text)), out[-1][1] if out else 0
+        # No place is passed twice: a window that reaches the one before it joins it.
+        while a > low and text[a - 1].isalnum() and text[a].isalnum():
+            a -= 1
+        if b > low:
+            while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+                b += 1
+        if out and a <= low:
+            out[-1] = (out[-1][0], max(low, b))
         else:
             out.append((a, b))
     return out
@@ -176,9 +188,6 @@ class Segments:
     """Candidates of one window: (first token, after its last token, kind, features)."""
 
     def __init__(self, text: str, start: int, end: int, barriers: list[tuple[int, int]]):
-        # Tokens are whole even where the window cuts one.
-        while start and text[start - 1].isalnum() and text[start : start + 1].isalnum() and start > end - 10_000:
-            start -= 1
         self.tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text, start, end)]
         self.n = len(self.tokens)
         self.found: list[tuple[int, int, str, list[str]]] = []
@@ -231,45 +240,74 @@ class Segments:
     def scores(self, weights: dict[str, float], margin: float = 0.0) -> list[float]:
         return [sum([weights.get(f, 0.0) for f in features]) - margin for _, _, _, features in self.found]
 
-    def best(self, scores: list[float]) -> list[int]:
-        """Places of the segments of the best segmentation (tokens outside segments score 0)."""
+    def best(self, scores: list[float], moves: list[list[float]]) -> list[int]:
+        """Places of the segments of the best segmentation (tokens outside segments score 0 and keep the state)."""
         ending: dict[int, list[int]] = {}
         for at, (_, j, _, _) in enumerate(self.found):
             ending.setdefault(j, []).append(at)
-        value, back = [0.0] * (self.n + 1), [-1] * (self.n + 1)
+        value, back = [_START], [[None] * len(STATES)]
         for j in range(1, self.n + 1):
-            value[j] = value[j - 1]
+            row, origin = list(value[j - 1]), [None] * len(STATES)
             for at in ending.get(j, ()):
-                v = value[self.found[at][0]] + scores[at]
-                if v > value[j]:
-                    value[j], back[j] = v, at
-        out, j = [], self.n
+                i, _, kind, _ = self.found[at]
+                k = STATES.index(kind)
+                v, s = max((value[i][s] + moves[s][k], -s) for s in range(len(STATES)))
+                if v + scores[at] > row[k]:
+                    row[k], origin[k] = v + scores[at], (at, -s)
+            value.append(row)
+            back.append(origin)
+        out, j, state = [], self.n, max(range(len(STATES)), key=lambda s: (value[self.n][s], -s))
         while j > 0:
-            if back[j] < 0:
+            if back[j][state] is None:
                 j -= 1
             else:
-                out.append(back[j])
-                j = self.found[back[j]][0]
+                at, state = back[j][state]
+                out.append(at)
+                j = self.found[at][0]
         return out[::-1]
 
-    def marginals(self, scores: list[float]) -> list[float]:
-        """Probability of each candidate under the CRF, by forward-backward over segments."""
-        add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
-        ahead, behind = [0.0] * (self.n + 1), [0.0] * (self.n + 1)
+    def marginals(self, scores: list[float], moves: list[list[float]]) -> tuple[list[float], list[list[float]]]:
+        """(probability of each candidate, expected number of each transition) under the CRF, by forward-backward over segments."""
         ending: dict[int, list[int]] = {}
         starting: dict[int, list[int]] = {}
         for at, (i, j, _, _) in enumerate(self.found):
             ending.setdefault(j, []).append(at)
             starting.setdefault(i, []).append(at)
+        every = range(len(STATES))
+        ahead, behind = [_START], [[0.0] * len(STATES)] * (self.n + 1)
         for j in range(1, self.n + 1):
-            ahead[j] = ahead[j - 1]
+            row = list(ahead[j - 1])
             for at in ending.get(j, ()):
-                ahead[j] = add(ahead[j], ahead[self.found[at][0]] + scores[at])
+                i, _, kind, _ = self.found[at]
+                k = STATES.index(kind)
+                row[k] = _log_sum([row[k], *(ahead[i][s] + moves[s][k] + scores[at] for s in every)])
+            ahead.append(row)
         for i in range(self.n - 1, -1, -1):
-            behind[i] = behind[i + 1]
+            row = list(behind[i + 1])
             for at in starting.get(i, ()):
-                behind[i] = add(behind[i], behind[self.found[at][1]] + scores[at])
-        return [math.exp(ahead[i] + s + behind[j] - ahead[self.n]) for (i, j, _, _), s in zip(self.found, scores, strict=True)]
+                _, j, kind, _ = self.found[at]
+                k = STATES.index(kind)
+                row = [_log_sum([row[s], moves[s][k] + scores[at] + behind[j][k]]) for s in every]
+            behind[i] = row
+        whole = _log_sum(ahead[self.n])
+        chances, expected = [], [[0.0] * len(STATES) for _ in every]
+        for at, (i, j, kind, _) in enumerate(self.found):
+            k = STATES.index(kind)
+            each = [math.exp(min(ahead[i][s] + moves[s][k] + scores[at] + behind[j][k] - whole, 0.0)) for s in every]
+            for s in every:
+                expected[s][k] += each[s]
+            chances.append(sum(each))
+        return chances, expected
+
+
+def _log_sum(values: list[float]) -> float:
+    top = max(values)
+    return top + math.log(sum([math.exp(v - top) for v in values])) if top > -math.inf else top
+
+
+def transitions(weights: dict[str, float]) -> list[list[float]]:
+    """Score of going from each state to each."""
+    return [[weights.get(f"move {a}>{b}", 0.0) for b in STATES] for a in STATES]
 
 
 # -- training ---------------------------------------------------------------------------------------------------------
@@ -348,33 +386,46 @@ def train(sentences: int = 900, rounds: int = 12, rate: float = 0.25, decay: flo
             if segments.found:
                 examples.append((segments, truth))
     weights: dict[str, float] = {}
+
+    def move(feature: str, by: float) -> None:
+        w = weights.get(feature, 0.0)
+        weights[feature] = w + step * (by - decay * w)
+
     for n in range(rounds):
         r.shuffle(examples)
         step = rate / (1 + 0.3 * n)
         for segments, truth in examples:
-            chance = segments.marginals(segments.scores(weights))
+            chance, expected = segments.marginals(segments.scores(weights), transitions(weights))
             for (_, _, _, features), p, t in zip(segments.found, chance, truth, strict=True):
-                g = t - p
-                if abs(g) > 1e-3:
+                if abs(t - p) > 1e-3:
                     for f in features:
-                        w = weights.get(f, 0.0)
-                        weights[f] = w + step * (g - decay * w)
+                        move(f, t - p)
+            state = STATES[0]
+            for (_, _, kind, _), t in sorted(zip(segments.found, truth, strict=True), key=lambda x: x[0][0]):
+                if t:
+                    expected[STATES.index(state)][STATES.index(kind)] -= 1
+                    state = kind
+            for a, row in zip(STATES, expected, strict=True):
+                for b, extra in zip(STATES, row, strict=True):
+                    if abs(extra) > 1e-3:
+                        move(f"move {a}>{b}", -extra)
     return tuple(sorted(weights.items()))
 
 
 # -- operator ---------------------------------------------------------------------------------------------------------
 
 
-def all_spans(text: str, weights: dict[str, float], margin: float = MARGIN) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, weights: dict[str, float], margin: float = MARGIN, moves: list[list[float]] | None = None) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans), each by start, then kind."""
     base = base_spans(text)
     barriers = merged(base)
     firsts, lasts = [a for a, _ in barriers], [b for _, b in barriers]
     more: list[Span] = []
+    moves = moves or transitions(weights)
     for a, b in windows(text):
         segments = Segments(text, a, b, barriers[bisect_right(lasts, a) : bisect_left(firsts, b)])
         if segments.found:
-            for at in segments.best(segments.scores(weights, margin)):
+            for at in segments.best(segments.scores(weights, margin), moves):
                 i, j, kind, _ = segments.found[at]
                 more.append((kind, segments.tokens[i][0], segments.tokens[j - 1][1]))
     return base, sorted([*base, *more], key=lambda s: (s[1], KINDS.index(s[0]), s[2])) if more else base
@@ -391,10 +442,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = dict(weights)
+        moves = transitions(of)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         named = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
         for batch in slices(batches):
-            both = [all_spans(t, of) for t in batch.column(1).to_pylist()]
+            both = [all_spans(t, of, moves=moves) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([named(b) for b, _ in both], kind), pa.array([named(s) for _, s in both], kind)], names=["doc_id", "base", "spans"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -419,8 +471,9 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = dict(weights)
+        moves = transitions(of)
         for batch in slices(batches):
-            texts = [t if t is None else mask(t, all_spans(t, of)[1]) for t in batch.column(1).to_pylist()]
+            texts = [t if t is None else mask(t, all_spans(t, of, moves=moves)[1]) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "masked"])
 
     others = [c for c in docs.columns if c != text_col]
