@@ -49,6 +49,20 @@ def test_bpe_long_and_short_pieces_agree(encoding):
         assert bpe.heap_encode(data, vocab) == encoding._encode_single_piece(data)
 
 
+def test_long_pieces_through_duckdb():
+    """Both recursions, at the sizes where they meet and for runs where pairs overlap, against the heap."""
+    import random
+
+    r = random.Random(8)
+    made = bpe.DuckBpe(vocabulary_path(bpe.VOCABULARY))
+    letters = lambda some, n: "".join(r.choice(some) for _ in range(n))
+    pieces = ["a" * n for n in (95, 96, 97, 98, 500, 3_999)] + ["ab" * 60 + "c", "aab" * 200, "=-" * 1_500, "é" * 300, letters("acgt", 400), letters("abcdefghijklmnopqrstuvwxyz", 700), "x" * 4_001]
+    made.learn(pieces)
+    for p in pieces:
+        ids = bpe.heap_encode(p.encode(), made.vocab)
+        assert made.memo[p] == (" ".join(map(str, ids)), len(ids), p.encode())
+
+
 def test_bpe_memo_overflow_changes_nothing(monkeypatch, encoding):
     import pyarrow as pa
 
