@@ -81,3 +81,28 @@ def test_scan_keeps_what_is_within_the_bound():
     bound = np.sort(d, axis=1)[:, 19]
     who, at = ann.scan(q, bound, x)
     assert (d[who, at] <= bound[who] + 1e-6).all() and len(who) > 0.95 * 20 * 20
+
+
+def test_recall_where_lists_matter(spark, sf_dir):
+    """Far more rows than anchors: without structure, and the table of the next size."""
+    r = np.random.default_rng(11)
+    x = r.standard_normal((12_000, 32)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    table = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
+    for df in (rows, table):
+        held = sorted(((v.vec_id, v.embedding) for v in df.collect()), key=lambda p: p[0])
+        ids, vectors = np.array([i for i, _ in held]), np.array([v for _, v in held], float)
+        got, hit, n = result(ann.search(df)), 0, 0
+        for q in ids[ids % 20 == 0]:
+            s = vectors @ vectors[np.searchsorted(ids, q)]
+            s[ids == q] = -np.inf
+            hit += len({i for i, _ in got[int(q)]} & set(ids[np.argsort(-s, kind="stable")[:20]].tolist()))
+            n += 20
+        assert hit / n >= 0.9
+
+
+def test_query_id_with_two_vectors(spark):
+    """The least of its vectors asks; none of its own rows answers."""
+    rows = [(i, [float(i), 1.0]) for i in range(1, 20)] + [(20, [2.0, 0.0]), (20, [-2.0, 0.0])]
+    got = result(ann.search(frame(spark, rows)))
+    assert [i for i, _ in got[20]] == list(range(1, 20)) and got[20][0][1] == -2.0

@@ -171,7 +171,8 @@ def search(embeddings: DataFrame, k: int = K, query_step: int = QUERY_STEP, reca
 
     Queries are the rows whose id is divisible by ``query_step``; candidates
     are all rows but those with the query's own id. Rows that ``usable`` leaves
-    out take no part. Rows repeated under one id count once. A query with
+    out take no part. Rows repeated under one id count once, at the best of their
+    scores; as a query they are the least of their vectors. A query with
     fewer than k candidates gets all of them; an empty table gives no rows.
     """
     spark = embeddings.sparkSession
@@ -193,7 +194,7 @@ def search(embeddings: DataFrame, k: int = K, query_step: int = QUERY_STEP, reca
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0), batch.column(1)], names=["list", "vec_id", "v"])
 
     indexed = materialise(map_arrow(rows, assign, "list int, vec_id long, v array<double>"), "lists")
-    asked = indexed.filter(F.col("vec_id") % query_step == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "v")
+    asked = indexed.filter(F.col("vec_id") % query_step == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     probes = _measured_probes(indexed, asked, index, k, recall)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
