@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.operators import baselines, evidence, features, learning, quality, regime, reports, store
+from tidegauge.operators import baselines, features, learning, quality, regime, reports, store
 
 T0 = 1_760_000_000.0
 SPECS = [("cpu", 0.0, 100.0, None, 30.0), ("battery", 0.0, 100.0, 0.5, 120.0)]
@@ -82,18 +82,6 @@ def test_embargo(spark):
     assert parts["validation"][0] - parts["train"][1] >= 900 and parts["test"][0] - parts["validation"][1] >= 900
 
 
-def test_diebold_mariano_against_plain_python(spark):
-    r = np.random.default_rng(2)
-    a, b = r.standard_normal(400), 1.3 * r.standard_normal(400)
-    rows = [(arm, n, e, 0.0) for arm, es in (("a", a), ("b", b)) for n, e in enumerate(es)]
-    got = reports.diebold_mariano(scored(spark, rows), "a", "b").first()
-    d = a**2 - b**2
-    c, lag = d - d.mean(), int(400 ** (1 / 3))
-    var = (c @ c + 2 * sum((1 - k / (lag + 1)) * (c[k:] @ c[:-k]) for k in range(1, lag + 1))) / 400 / 400
-    stat = d.mean() / math.sqrt(var)
-    assert math.isclose(got.statistic, stat, rel_tol=1e-9) and math.isclose(got.p_value, math.erfc(abs(stat) / math.sqrt(2)), abs_tol=1e-6)
-
-
 def test_linear_trend(spark):
     df = spark.createDataFrame([("s", k, 5.0 * k, 10 + 0.1 * k) for k in range(80)], "signal string, k long, ts double, value double")
     last = baselines.forecasts(df, 300, 300, 120, 0, 100).filter("k = 79").first()
@@ -166,25 +154,3 @@ def test_gram_solves_ridge(spark):
     g = {(c.i, c.j): c.value for c in learning.gram(df, ["a", "b"], "y").collect()}
     solved = np.linalg.solve([[g[0, 0], g[0, 1]], [g[0, 1], g[1, 1]]], [g[0, 2], g[1, 2]])
     assert np.allclose(solved, w)
-
-
-def test_numbers(spark):
-    df = spark.createDataFrame([("Battery 71.0% now, down 11% in 42 min; likely 63.0-69.0%, 1,204 cycles.",)], "t string")
-    got = df.select(evidence.numbers("t")).first()[0]
-    assert got[:4] == [71.0, 11.0, 42.0, 63.0] and 1204.0 in got
-
-
-@pytest.mark.parametrize(("text", "want"), [
-    ("1,234.5 and -3", [1234.5, -3.0]), ("open 24/7, top 1 of v001, top 12", []), ("TOP 3, 2nd, 21st, top 2", [21.0, 2.0]), ("top 1,204 of 1,2,3", [1.0, 2.0, 3.0]), ("124/7 at +24/7", [124.0, 24.0]), ("", []),
-])
-def test_numbers_of_whole_text(spark, tmp_path, text, want):
-    from tidegauge.plans import catalogue
-
-    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    row = catalogue.QUERIES["number_extraction_text"](spark, str(tmp_path)).first()
-    assert (row.n, row.total) == (len(want), sum(want))
-
-
-@pytest.mark.parametrize(("text", "want"), [("Why is it hot?", "cause"), ("What will it be?", "forecast"), ("ok", "status")])
-def test_intents(spark, text, want):
-    assert spark.createDataFrame([(text,)], "t string").select(evidence.intent("t")).first()[0] == want

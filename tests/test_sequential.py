@@ -84,6 +84,72 @@ def test_learner_learns_and_rejects_bad_batches():
     assert {"promoted"} <= set(decisions) and np.mean(errors) < 0.2
 
 
+def example(x, actual, n, regime=None):
+    return {"x": np.array([1.0, x]), "anchor": 10.0, "vol": 1.0, "actual": actual, "ts_target": float(n), "regime": regime}
+
+
+def driven(learner, rows):
+    out = []
+    for e in rows:
+        out.append((learner.outcome(e, learner.predict(e), e["ts_target"]), learner.reason, learner.trigger))
+    return out
+
+
+def test_gate_reasons():
+    r = random.Random(5)
+    rows = [example(x := r.gauss(0, 1), 10 + 0.8 * x + r.gauss(0, 0.05), n) for n in range(200)]
+    learner = ScopeLearner(2, "s", every=40, gate=60)
+    seen = driven(learner, rows)
+    assert ("skipped", "insufficient_gate_samples", "periodic_samples") in seen and any(d == "promoted" and why == "within_tolerance" for d, why, _ in seen)
+    ungated = ScopeLearner(2, "s", every=40, gate=60, gated=False)
+    assert {why for d, why, _ in driven(ungated, rows) if d} == {"gate_disabled"}
+
+    def judged(new, live):
+        learner._mae = lambda models, _: new if models == "new" else live
+        learner.models = "live"
+        return learner._judge("new", [{}])[:2]
+
+    assert judged(1.2, 1.0) == (False, "hard_reject_worse") and judged(1.1, 1.0) == (False, "worse_than_tolerance") and judged(1.0, 1.0) == (True, "within_tolerance") and judged(math.inf, 1.0) == (False, "candidate_non_finite")
+    learner.tolerance = 0.1
+    assert judged(1.1, 1.0) == (True, "within_tolerance")
+
+
+def test_policies():
+    rows = [example(0.1 * (n % 7), 10.0, n) for n in range(400)]
+    due = lambda **o: {t for _, _, t in driven(ScopeLearner(2, "s", every=50, gate=10, **o), rows)} - {None}
+    assert due(policies=("periodic_samples",)) == {"periodic_samples"} and due(policies=("drift",)) == set() and due(policies=()) == set()
+    assert due(policies=("periodic_time",), seconds=30.0) == {"periodic_time"} and due(policies=("error",), budget=0.0) == {"error"}
+    learner = ScopeLearner(2, "s", every=10**6, gate=10)
+    driven(learner, rows[:100])
+    learner.drifted = True
+    assert driven(learner, rows[100:101])[0][2] == "drift" and not learner.drifted
+
+
+def test_models_by_regime():
+    r = random.Random(6)
+    rows = []
+    for n in range(600):
+        x, name = r.gauss(0, 1), "ab"[n // 5 % 2]
+        rows.append(example(x, 10 + (2 * x if name == "a" else -2 * x), n, name))
+    errors = {}
+    for per in (False, True):
+        learner = ScopeLearner(2, "s", every=40, gate=40, per_regime=per, forgetting=0.99)
+        said = [(learner.predict(e), learner.outcome(e, None, e["ts_target"])) for e in rows]
+        errors[per] = np.mean([abs(p[0] - e["actual"]) for (p, _), e in zip(said[400:], rows[400:], strict=True)])
+    assert set(learner.models) == {"*", "a", "b"} and errors[True] < 0.5 * errors[False]
+
+
+def test_correction_spares_the_baselines():
+    learner = ScopeLearner(3, "s", baselines=(1,), correct_only=True)
+    learner.model.step(np.array([1.0, 1.0, 1.0]), 3.0)
+    learner.spreads.extend([1e-9] * 30)
+    e = {"x": np.array([1.0, 1.0, 1.0]), "anchor": 0.0, "vol": 1.0}
+    spared = learner.model.predict(np.array([1.0, 1.0, 0.0]))
+    assert math.isclose(learner._value(learner.models, e), spared, rel_tol=1e-6)
+    learner.correct_only = False
+    assert abs(learner._value(learner.models, e)) < 1e-6
+
+
 def test_frozen_learner_stops():
     learner = ScopeLearner(1, "s", every=10, gate=5, frozen_after=100.0)
     for n in range(300):

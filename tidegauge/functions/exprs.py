@@ -26,10 +26,6 @@ def finite(c: Column | str) -> Column:
     return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
 
 
-def safe_ratio(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)
-
-
 def slope(y: Column | str, x: Column | str, over: WindowSpec | None = None) -> Column:
     """Least-squares slope; null with fewer than two points or no spread in ``x``."""
     value = F.regr_slope(col(y), col(x))

@@ -48,10 +48,11 @@ def seasonal_naive(rows: DataFrame, horizon: float, period: float = 86400.0, tol
     width = max(2 * tolerance, 1.0)
     past = rows.select(*keys, F.col("ts").alias("_ts"), F.col("value").alias("_value"), F.floor(F.col("ts") / width).alias("_bucket"))
     want = F.col("ts") + horizon - period
-    asked = rows.withColumn("_want", want).withColumn("_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("_want") / width) + d)))
+    # Rows may repeat each other, so each gets a number.
+    asked = rows.withColumns({"_want": want, "_row": F.monotonically_increasing_id()}).withColumn("_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("_want") / width) + d)))
     distance = F.abs(F.col("_ts") - F.col("_want"))
     joined = asked.join(past, [*keys, "_bucket"], "left").withColumn("_d", F.when(distance <= tolerance, F.struct(distance.alias("d"), F.col("_ts").alias("t"), F.col("_value").alias("v"))))
-    return joined.groupBy(*rows.columns).agg(F.min("_d").alias("_d")).withColumn("seasonal_naive", F.col("_d.v")).drop("_d")
+    return joined.groupBy("_row", *rows.columns).agg(F.min("_d").alias("_d")).withColumn("seasonal_naive", F.col("_d.v")).drop("_d", "_row")
 
 
 def resolve(predictions: DataFrame, actuals: DataFrame, interval: float, keys: Sequence[str] = ("signal",)) -> DataFrame:
@@ -67,13 +68,13 @@ def resolve(predictions: DataFrame, actuals: DataFrame, interval: float, keys: S
     tolerance = max(1.5 * interval, 2.0)
     following = F.lead("ts").over(Window.partitionBy(*keys).orderBy("ts"))
     ticks = actuals.select(*keys, F.col("ts").alias("_ts"), F.col("value").alias("_value"), following.alias("_following"), F.floor(F.col("ts") / tolerance).alias("_bucket"))
-    asked = predictions.withColumn("_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("ts_target") / tolerance) + d)))
+    asked = predictions.withColumn("_row", F.monotonically_increasing_id()).withColumn("_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("ts_target") / tolerance) + d)))
     here = F.col("_ts").between(F.col("ts_target") - tolerance, F.col("ts_target") + tolerance)
     joined = asked.join(ticks, [*keys, "_bucket"], "left")
     row = F.struct(F.col("_ts").alias("t"), F.col("_value").alias("v"))
     usable = here & F.col("_value").isNotNull()
     # Ticks of a tolerance on either side are few: 2 * tolerance / interval.
-    found = joined.groupBy(*predictions.columns).agg(
+    found = joined.groupBy("_row", *predictions.columns).agg(
         F.max(F.when(usable & (F.col("_ts") < F.col("ts_target")), row)).alias("_before"),
         F.max(F.when(here & (F.col("_ts") < F.col("ts_target")), F.struct("_ts", "_following"))).alias("_last"),
         F.min(F.when(here & (F.col("_ts") >= F.col("ts_target")), row)).alias("_first"),
@@ -84,7 +85,7 @@ def resolve(predictions: DataFrame, actuals: DataFrame, interval: float, keys: S
     reached = F.coalesce(first["t"], F.col("_last")["_following"])
     chosen = F.when(reached.isNull(), None).when(later, first).when(before.isNotNull(), before).otherwise(after)
     seen = F.when(reached.isNull(), None).when(first["v"].isNotNull() | before.isNotNull(), reached).otherwise(after["t"])
-    return found.withColumns({"actual": chosen["v"], "resolved_ts": seen}).drop("_before", "_last", "_first", "_after")
+    return found.withColumns({"actual": chosen["v"], "resolved_ts": seen}).drop("_before", "_last", "_first", "_after", "_row")
 
 
 def scored(resolved: DataFrame, arms: Sequence[str] = ARMS) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Facts behind an answer: windows, drivers, events, text checks."""
+"""Facts behind an answer: current values, windows, drivers, events, accuracy, processes."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.exprs import safe_corr, slope
+from tidegauge.operators.answers import first_label
 
 
 def window_facts(rows: DataFrame, now: float, seconds: float, by: Sequence[str] = ("signal",)) -> DataFrame:
@@ -63,71 +64,23 @@ def regime_spells(rows: DataFrame, regime: str = "regime", order: str = "k", by:
     return spells.groupBy(*by, "_spell", regime).agg(F.min(order).alias("since"), F.max(order).alias("until"), F.count("*").alias("ticks")).drop("_spell")
 
 
-NUMBER = r"(?<![A-Za-z0-9.])[-+]?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?(?![0-9])|(?<![A-Za-z0-9.])[-+]?[0-9]+(?:\.[0-9]+)?"
-
-
-#: Where a number starts that is part of a fixed phrase (top 1, top 3, 1st, 2nd, 3rd, 24/7); v001 and v002 have a letter before them.
-EXEMPT = r"(?:(?<=top )(?=[13])|(?=1st|2nd|3rd|24/7)|(?<=24/)(?=7))"
-
-
-def numbers(text: Column | str) -> Column:
-    """Numbers said in a text, thousands separators removed, those of fixed phrases left out."""
-    text = F.col(text) if isinstance(text, str) else text
-    found = F.regexp_extract_all(text, F.lit(f"(?i){EXEMPT}(?:{NUMBER})|({NUMBER})"), F.lit(1))
-    return F.filter(F.transform(found, lambda s: F.replace(s, F.lit(","), F.lit("")).try_cast("double")), lambda x: x.isNotNull())
-
-
-def grounded(said: Column, surface: Column) -> Column:
-    """How many of the numbers said lie within max(0.15, 6 %) of one of ``surface``, signed or by size."""
-    near = lambda s, v: (F.abs(s - v) <= F.greatest(F.lit(0.15), 0.06 * F.abs(s))) | (F.abs(F.abs(s) - F.abs(v)) <= F.greatest(F.lit(0.15), 0.06 * F.abs(s)))
-    return F.size(F.filter(said, lambda s: F.exists(surface, lambda v: near(s, v))))
-
-
-#: Intents in the order they are tried, with the phrases that give them.
-INTENTS = (
-    ("forecast", ("will", "forecast", "predict", "expect", "next")), ("cause", ("why", "cause", "because", "driving")), ("compare", ("usual", "normal", "compare", "typical")),
-    ("accuracy", ("accurate", "accuracy", "trust", "reliable")), ("history", ("yesterday", "earlier", "history", "trend")),
-)
-
-
-def intent(text: Column | str) -> Column:
-    """The first intent with a phrase in the text, else ``status``."""
-    low = F.lower(F.col(text) if isinstance(text, str) else text)
-    out = None
-    for name, phrases in INTENTS:
-        any_ = low.contains(phrases[0])
-        for p in phrases[1:]:
-            any_ = any_ | low.contains(p)
-        out = F.when(any_, name) if out is None else out.when(any_, name)
-    return out.otherwise("status")
-
-
-def style_flags(text: Column | str) -> list[Column]:
-    """Deterministic style checks of an answer."""
-    text = F.col(text) if isinstance(text, str) else text
-    return [
-        F.size(F.regexp_extract_all(text, F.lit(r"[.!?]+(?:\s|$)"), F.lit(0))).alias("sentences"), (F.length(text) > 600).alias("too_long"), text.contains("!").alias("exclaims"),
-        F.lower(text).rlike(r"\b(maybe|perhaps|possibly|might)\b").alias("hedges"), text.rlike(r"(?m)^\s*[-*]").alias("bulleted"),
-    ]
-
-
-#: Process categories and the name parts that give them.
+#: Process categories in the order they are tried, with the parts of a lower-cased name that give them.
 CATEGORIES = (
-    ("build", ("gcc", "clang", "cargo", "make", "javac")), ("browser", ("firefox", "chrome", "chromium")), ("editor", ("code", "vim", "emacs")), ("container", ("docker", "containerd", "podman")),
-    ("python", ("python", "jupyter")), ("media", ("mpv", "vlc", "ffmpeg")),
+    ("build", (
+        "cc1", "cc1plus", "gcc", "g++", "clang", "clang++", "ld", "lld", "rustc", "cargo", "ninja", "make", "cmake", "javac", "kotlinc", "scalac", "tsc", "webpack", "esbuild", "rollup", "vite",
+        "gradle", "mvn", "bazel", "swiftc", "conda-build", "pip", "setup.py", "meson", "sccache", "ccache")),
+    ("browser", ("firefox", "chrome", "chromium", "brave", "msedge", "safari", "webkit", "vivaldi", "opera", "librewolf")),
+    ("media", ("vlc", "mpv", "ffmpeg", "obs", "spotify", "handbrake", "gstreamer", "pipewire", "wireplumber", "totem", "celluloid")),
+    ("ml", ("python3", "python", "jupyter", "ollama", "llama", "torchrun", "tensorboard", "vllm", "ray")),
+    ("container", ("docker", "containerd", "podman", "crio", "qemu", "virtqemud", "libvirt")),
+    ("editor", ("code", "codium", "cursor", "nvim", "vim", "emacs", "idea", "pycharm", "zed", "sublime")),
+    ("system", ("systemd", "kworker", "dbus", "journald", "packagekit", "dnf", "rpm", "apt", "gnome-shell", "cosmic", "kwin", "plasmashell", "Xorg", "wayland")),
 )
 
 
 def category(name: Column | str, categories: Sequence[tuple[str, Sequence[str]]] = CATEGORIES) -> Column:
-    """The first category with a part of the name, else ``other``."""
-    low = F.lower(F.col(name) if isinstance(name, str) else name)
-    out = None
-    for label, parts in categories:
-        any_ = low.contains(parts[0])
-        for p in parts[1:]:
-            any_ = any_ | low.contains(p)
-        out = F.when(any_, label) if out is None else out.when(any_, label)
-    return out.otherwise("other")
+    """The first category with a part of the lower-cased name; null for none."""
+    return first_label(F.lower(F.col(name) if isinstance(name, str) else name), categories, None)
 
 
 def attribution(rows: DataFrame, at: Sequence[str], name: str = "name", load: str = "load") -> DataFrame:
@@ -137,3 +90,45 @@ def attribution(rows: DataFrame, at: Sequence[str], name: str = "name", load: st
     total = F.sum(load)
     sums = [F.sum(F.when(F.col("_c") == c, F.col(load)).otherwise(0.0)).alias(f"load_{c}") for c, _ in CATEGORIES]
     return ranked.groupBy(*at).agg(*sums, F.max(load).alias("top1"), F.try_divide(F.sum(F.when(F.col("_n") <= 3, F.col(load))), total).alias("concentration"))
+
+
+#: Signals that an answer looks at first.
+PRIORITY = ("cpu.util_pct", "mem.used_pct", "battery.percent", "battery.plugged", "gpu.util_pct", "thermal.cpu_c", "battery.power_w", "disk.busy_pct")
+
+
+def current_facts(rows: DataFrame, now: float, priority: Sequence[str] = PRIORITY, focus: str | None = None) -> DataFrame:
+    """(place, signal, value, ts, age) of the newest tick's usable values, those of ``priority`` in its order, a focus outside it first."""
+    wanted = [focus, *priority] if focus and focus not in priority else list(priority)
+    # The newest tick by an aggregate, which is one row; its readings follow by a join on its time.
+    newest = rows.agg(F.max("ts").alias("ts"))
+    found = rows.join(F.broadcast(newest), "ts").filter(F.col("signal").isin(wanted) & F.col("value").isNotNull())
+    place = F.array_position(F.array(*map(F.lit, wanted)), F.col("signal")).cast("int")
+    return found.select(place.alias("place"), "signal", "value", "ts", (F.lit(now) - F.col("ts")).alias("age"))
+
+
+def accuracy_facts(scored: DataFrame, now: float, seconds: float = 7200.0, least: int = 10, focus: str | None = None, reference: str = "persistence", by: Sequence[str] = ("signal", "horizon")) -> DataFrame:
+    """(arm, by, n, mae, skill) of forecasts that came due in the last ``seconds``, for groups of ``least`` or more; skill against ``reference``."""
+    part = scored.filter(F.col("ts_target").between(now - seconds, now))
+    part = part.filter(F.col("signal") == focus) if focus else part
+    maes = part.groupBy("arm", *by).agg(F.count("*").alias("n"), F.avg("abs_error").alias("mae"))
+    reference_ = maes.filter(F.col("arm") == reference).select(*by, F.col("mae").alias("_ref"))
+    joined = maes.join(reference_, list(by), "left").filter(F.col("n") >= least)
+    return joined.select("arm", *by, "n", "mae", F.when(F.col("_ref") > 0, 1 - F.try_divide(F.col("mae"), F.col("_ref"))).alias("skill"))
+
+
+def user_context(feedback: DataFrame, scanned: int = 60, limit: int = 8) -> DataFrame:
+    """(id, ts, line) of the newest labels and notes with text, among the ``scanned`` newest rows of feedback (id, ts, kind, text)."""
+    newest = feedback.orderBy(F.desc("ts"), F.desc("id")).limit(scanned)
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    said = newest.filter(F.col("kind").isin("label", "note") & (text != ""))
+    line = F.concat(F.when(F.col("kind") == "label", 'User labels this behaviour: "').otherwise('User note: "'), text, F.lit('"'))
+    return said.select("id", "ts", line.alias("line")).orderBy(F.desc("ts"), F.desc("id")).limit(limit)
+
+
+def evidence_pack(now: float, intent: Column, **parts: DataFrame) -> DataFrame:
+    """One row: now, intent, and for each part an array of its rows. Parts are facts of one answer, each bounded by its own operator."""
+    pack = None
+    for name, rows in parts.items():
+        one = rows.agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias(name))
+        pack = one if pack is None else pack.join(F.broadcast(one), how="cross")
+    return pack.select(F.lit(now).alias("now"), intent.alias("intent"), *parts)

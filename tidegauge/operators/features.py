@@ -6,6 +6,8 @@ and order share a sort, so a select with many of them sorts once.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -57,6 +59,11 @@ def with_lags(rows: DataFrame, lags: Sequence[float], interval: float, keys: Seq
     return buffer.withColumns({f"lag_{seconds:g}": F.coalesce(lag_of(seconds), F.col("_fill")) for seconds in lags}).drop("_buffer", "_fill")
 
 
+def with_delta(rows: DataFrame, lags: Sequence[float], interval: float, keys: Sequence[str] = ("signal",), order: str = "k") -> DataFrame:
+    """Add the lags and ``delta``, the present value less that of the longest lag."""
+    return with_lags(rows, lags, interval, keys, order).withColumn("delta", F.col(f"lag_{lags[0]:g}") - F.col(f"lag_{lags[-1]:g}"))
+
+
 def span_stats(rows: DataFrame, seconds: float, keys: Sequence[str] = ("signal",), order: str = "k") -> DataFrame:
     """Add ``span_mean`` (else the fill), ``span_std`` (population; 0 of one or none) and ``span_slope`` (a minute; 0 of one or none)."""
     w = span(keys, seconds)
@@ -100,3 +107,47 @@ def time_features(ts: Column | str) -> list[Column]:
     week = (weekday + day) / 7.0
     turn = lambda x: 2 * F.pi() * x
     return [F.sin(turn(day)).alias("sin_day"), F.cos(turn(day)).alias("cos_day"), F.sin(turn(week)).alias("sin_week"), F.cos(turn(week)).alias("cos_week"), (weekday >= 5).cast("double").alias("weekend")]
+
+
+def vector_names(signals: Sequence[str], lags: Sequence[float], spans: Sequence[float], labels: Sequence[str]) -> list[str]:
+    """The columns of ``vectors``: bias; of each signal lags, means, the longest span's deviation, slopes of the two longest, change; time; regime; coverage."""
+    of = [*(f"lag_{x:g}" for x in lags), *(f"mean_{x:g}" for x in spans), f"std_{spans[-1]:g}", *(f"slope_{x:g}" for x in spans[-2:]), f"delta_{lags[-1]:g}"]
+    return ["bias", *(f"{s}|{f}" for s in signals for f in of), *(f"time|{t}" for t in ("sin_day", "cos_day", "sin_week", "cos_week", "weekend")), *(f"regime|{x}" for x in labels), "meta|coverage"]
+
+
+def mask(names: Sequence[str], target: str, spans: Sequence[float]) -> list[bool]:
+    """Which columns a model of ``target`` uses: all of its own, of other signals the present value, a middle mean and the longest slope; bias, time, regime and coverage."""
+    shared = {"lag_0", f"mean_{spans[len(spans) // 2]:g}", f"slope_{spans[-1]:g}"}
+    parts = [n.partition("|") for n in names]
+    return [not bar or head in (target, "time", "regime", "meta") or feature in shared for head, bar, feature in parts]
+
+
+def schema_hash(names: Sequence[str], lags: Sequence[float], spans: Sequence[float], window_s: float) -> str:
+    """A digest of what vectors consist of; vectors of another one are of no use to a model."""
+    written = json.dumps([list(names), list(map(float, lags)), list(map(float, spans)), float(window_s)])
+    return hashlib.sha256(written.encode()).hexdigest()[:16]
+
+
+def vectors(rows: DataFrame, signals: Sequence[str], lags: Sequence[float], spans: Sequence[float], interval: float, window_s: float, regimes: DataFrame, labels: Sequence[str], order: str = "k", digits: int = 9) -> DataFrame:
+    """(k, vec): the vector of every tick over all ``signals`` (columns of ``vector_names``), of rows (signal, k, ts, value) and regimes (k, regime).
+
+    Each signal's features come from windows keyed by signal; one shuffle by
+    tick puts them together in the order of ``signals``.
+    """
+    own = with_delta(rows, lags, interval).withColumn("_fill", fill(["signal"], order))
+    lag_names = [f"lag_{x:g}" for x in lags]
+    stats = {f"_mean_{x:g}": F.coalesce(F.avg("value").over(span(["signal"], x)), F.col("_fill")) for x in spans}
+    stats |= {"_std": F.coalesce(F.stddev_pop("value").over(span(["signal"], spans[-1])), F.lit(0.0))}
+    stats |= {f"_slope_{x:g}": F.coalesce(slope("value", "ts", span(["signal"], x)), F.lit(0.0)) * 60.0 for x in spans[-2:]}
+    w = _rows(["signal"], order)
+    stats |= {"_held": F.count("value").over(w), "_slots": F.count("*").over(w), "_reach": F.max("ts").over(w) - F.min("ts").over(w)}
+    part = F.array(*lag_names, *[f"_mean_{x:g}" for x in spans], "_std", *[f"_slope_{x:g}" for x in spans[-2:]], "delta")
+    place = F.array_position(F.array(*map(F.lit, signals)), F.col("signal"))
+    wide = own.withColumns(stats).filter(F.col("signal").isin(*signals)).groupBy(order).agg(
+        F.sort_array(F.collect_list(F.struct(place.alias("place"), part.alias("part")))).alias("_parts"), F.first("ts").alias("ts"),
+        (F.sum("_held") / F.sum("_slots") * F.least(F.lit(1.0), F.max("_reach") / window_s)).alias("_coverage"))
+    label = F.col("regime")
+    known = F.when(label.isin(*labels), label).otherwise(labels[0])
+    joined = wide.join(regimes.select(order, "regime"), order, "left")
+    vec = F.concat(F.array(F.lit(1.0)), F.flatten(F.transform("_parts", lambda p: p["part"])), F.array(*time_features("ts")), F.array(*[(known == x).cast("double") for x in labels]), F.array("_coverage"))
+    return joined.select(order, F.transform(vec, lambda x: F.round(F.when(F.isnan(x), 0.0).otherwise(F.coalesce(x, F.lit(0.0))), digits) + F.lit(0.0)).alias("vec"))

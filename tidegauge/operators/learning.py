@@ -69,3 +69,38 @@ def top_coefficients(models: DataFrame, k: int, by: Sequence[str] = ("signal",))
     rows = models.select(*by, F.posexplode(F.arrays_zip("names", "weights")).alias("place", "c")).select(*by, "place", F.col("c.names").alias("name"), F.col("c.weights").alias("weight"))
     w = Window.partitionBy(*by).orderBy(F.desc(F.abs("weight")), "place")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("place")
+
+
+POLICIES = ("drift", "periodic_samples", "periodic_time", "error")
+
+
+def trigger(drifted: Column, fresh: Column, last: Column, now: Column, errors: Column, policies: Sequence[str] = POLICIES, every: int = 240, seconds: float = 3600.0, budget: float = 50.0) -> Column:
+    """The first of ``policies`` that calls for an adaptation; null for none.
+
+    An alarm is pending; ``fresh`` outcomes reach ``every``; ``seconds`` have
+    passed since the ``last`` adaptation (or there was none) and something is
+    fresh; the summed ``errors`` reach the ``budget``.
+    """
+    when = {
+        "drift": drifted, "periodic_samples": fresh >= every, "periodic_time": (last.isNull() | (now - last >= seconds)) & (fresh > 0), "error": errors >= budget,
+    }
+    chosen = [F.when(F.coalesce(when[p], F.lit(False)), F.lit(p)) for p in POLICIES if p in policies]
+    return F.coalesce(*chosen) if chosen else F.lit(None).cast("string")
+
+
+def routed(events: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(scope, feature) for each scope that a drift event reaches.
+
+    ``events`` has signal, horizon and feature (``signal|family``): an alarm of
+    errors reaches its own scope, one of a signal's feature that signal's
+    scopes, one of a feature of no signal all scopes. Scopes are a small table.
+    """
+    head = F.element_at(F.split("feature", r"\|"), 1)
+    shared = F.col("feature").isNull() | ~F.col("feature").contains("|") | head.isin("time", "regime", "meta")
+    scoped = F.broadcast(scopes.select(F.col("signal").alias("_s"), F.col("horizon").alias("_h")))
+    named = events.filter("signal IS NOT NULL AND horizon IS NOT NULL").join(scoped, (F.col("signal") == F.col("_s")) & (F.col("horizon") == F.col("_h")))
+    others = events.filter("signal IS NULL OR horizon IS NULL").withColumns({"_head": head, "_all": shared})
+    own = others.filter("NOT _all").join(scoped, F.col("_head") == F.col("_s"))
+    every = others.filter("_all").crossJoin(scoped)
+    pick = lambda df: df.select(F.col("_s").alias("signal"), F.col("_h").alias("horizon"), "feature")
+    return pick(named).unionByName(pick(own)).unionByName(pick(every))

@@ -31,9 +31,10 @@ def gaps(ticks: DataFrame, interval: float, keys: Sequence[str] = (), order: str
 
 
 def counter_rate(rows: DataFrame, keys: Sequence[str] = ("signal",), order: str = "seq", value: str = "value") -> DataFrame:
-    """Add ``rate``: change a second of a counter; null on the first reading, without time passed, and on a reset."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    dt, dv = F.col("ts") - F.lag("ts").over(w), F.col(value) - F.lag(value).over(w)
+    """Add ``rate``: change a second of a counter since its last reading that was there; null on the first one, without time passed, and on a reset."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.last(F.when(F.col(value).isNotNull(), F.col(c)), ignorenulls=True).over(w)
+    dt, dv = F.col("ts") - before("ts"), F.col(value) - before(value)
     return rows.withColumn("rate", F.when((dt > 0) & (dv >= 0), F.try_divide(dv, dt)))
 
 

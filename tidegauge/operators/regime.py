@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: The rules' limits.
 LOW_BATTERY, BUILD_SHARE, GPU_ACTIVE, DISK_BUSY, HEAVY, IDLE, INTERACTIVE = 25.0, 0.30, 25.0, 40.0, 65.0, 8.0, 35.0
+#: The labels in their order; the first stands for whatever is not among them.
+LABELS = ("unknown", "idle", "interactive", "compute_heavy", "gpu_heavy", "io_heavy", "build", "battery_constrained", "charging")
 HYSTERESIS = 3
 HISTORY = 256
 
@@ -41,3 +43,10 @@ def shares(rows: DataFrame, labels: Sequence[str], keys: Sequence[str] = (), ord
     """Add ``share_<label>``: the label's share of the last ``history`` ticks."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - history, 0)
     return rows.withColumns({f"share_{x}": F.sum((F.col(regime) == x).cast("double")).over(w) / F.count("*").over(w) for x in labels})
+
+
+def one_hot(label: Column | str, labels: Sequence[str] = LABELS) -> list[Column]:
+    """``regime_<label>``: 1.0 for the label of the row, the first label for a null or another one."""
+    label = F.col(label) if isinstance(label, str) else label
+    known = F.when(label.isin(*labels), label).otherwise(labels[0])
+    return [(known == x).cast("double").alias(f"regime_{x}") for x in labels]

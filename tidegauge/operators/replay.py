@@ -99,45 +99,56 @@ def online_regression(examples: DataFrame, x: Sequence[str], y: str, key: str =
     return stepped(examples.select(key, order, *x, y), [key], [order], [order], lambda _: RecursiveLeastSquares(len(x), ridge, forgetting), step, f"{key} string, {order} double, predicted double, y double")
 
 
-#: Arms: what each changes about the learner.
-ARMS: dict[str, dict] = {"online": {}, "static": {"freeze": True, "every": 60}, "no_gate": {"gated": False}, "no_trust_region": {"trust": 1e9}}
-
-
-def adaptation(examples: DataFrame, x: Sequence[str], arms: Sequence[str] = tuple(ARMS), lo: float = 0.0, hi: float = 200.0, train_share: float = 0.5, every: int = 60, gate: int = 30, drifts: DataFrame | None = None) -> DataFrame:
-    """(arm, signal, ts_target, predicted, width, actual, decision, version) of the learning loop, every arm on the same rows.
-
-    ``examples`` has signal, ts, ts_target, anchor, vol, actual and ``x``. Each
-    arm and scope is a group of its own; drift alarms, which do not depend on
-    the learner, come in as rows of ``drifts`` (signal, ts_target).
+#: Arms of the experiment: what each changes about the learner.
+ARMS: dict[str, dict] = {
+    "static": {"policies": ("periodic_samples",), "every": 60, "freeze": True}, "online_periodic": {"policies": ("periodic_samples",)}, "online_drift": {"policies": ("drift",)},
+    "online_periodic_drift": {}, "online_no_gate": {"gated": False}, "per_regime": {"per_regime": True}, "no_trust_region": {"trust": 1e6}, "trust_region_correction": {"correct_only": True},
+    "no_baseline_features": {"blind": True},
+}
+
+
+def adaptation(
+    examples: DataFrame, x: Sequence[str], baseline_x: Sequence[str] = (), arms: Sequence[str] = tuple(ARMS), lo: float = 0.0, hi: float = 200.0, train_share: float = 0.5, every: int = 240, gate: int = 120,
+    drifts: DataFrame | None = None,
+) -> DataFrame:
+    """(arm, signal, ts_target, predicted, width, actual, decision, reason, trigger, version, held_out) of the learning loop, every arm on the same rows.
+
+    ``examples`` has signal, ts, ts_target, anchor, vol, actual, ``x`` (of which
+    ``baseline_x`` are the baselines' inputs) and, for arms by regime, regime.
+    Each arm and scope is a group of its own; drift alarms, which do not depend
+    on the learner, come in as rows of ``drifts`` (signal, ts_target).
     """
     bounds = examples.groupBy("signal").agg(F.percentile("ts", train_share).alias("boundary"))
-    rows = examples.select("signal", "ts", "ts_target", "anchor", "vol", "actual", *x).join(bounds, "signal")
+    regime = F.col("regime") if "regime" in examples.columns else F.lit("*")
+    rows = examples.select("signal", "ts", "ts_target", "anchor", "vol", "actual", regime.alias("regime"), *x).join(bounds, "signal")
     alarms = drifts.select("signal", "ts_target", F.lit(True).alias("drift")).distinct() if drifts is not None else None
     rows = rows.join(alarms, ["signal", "ts_target"], "left") if alarms is not None else rows.withColumn("drift", F.lit(None).cast("boolean"))
     rows = rows.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms])))
     # Within one time an outcome comes before the prediction made then.
     made = rows.withColumns({"at": F.col("ts"), "event": F.lit(1)})
     come = rows.withColumns({"at": F.col("ts_target"), "event": F.lit(0)})
+    baselines = tuple(1 + list(x).index(c) for c in baseline_x)
 
     def make(key: tuple) -> dict:
         options = dict(ARMS[key[0]])
-        return {"options": options, "learner": None, "scope": f"{key[1]}", "open": {}}
+        return {"freeze": options.pop("freeze", False), "blind": options.pop("blind", False), "options": {"every": every} | options, "learner": None, "scope": f"{key[1]}", "open": {}}
 
     def step(state: dict, row: dict) -> tuple:
         if state["learner"] is None:
-            o = state["options"]
-            state["learner"] = ScopeLearner(len(x) + 1, state["scope"], every=o.get("every", every), gate=gate, gated=o.get("gated", True), trust=o.get("trust", 3.0), frozen_after=row["boundary"] if o.get("freeze") else float("inf"), lo=lo, hi=hi)
+            state["learner"] = ScopeLearner(len(x) + 1, state["scope"], gate=gate, frozen_after=row["boundary"] if state["freeze"] else float("inf"), lo=lo, hi=hi, baselines=baselines, **state["options"])
         learner = state["learner"]
-        e = {"x": np.array([1.0, *(row[c] for c in x)], float), "anchor": row["anchor"], "vol": row["vol"], "actual": row["actual"], "ts_target": row["ts_target"]}
+        e = {"x": np.array([1.0, *(row[c] for c in x)], float), "anchor": row["anchor"], "vol": row["vol"], "actual": row["actual"], "ts_target": row["ts_target"], "regime": row["regime"]}
+        if state["blind"]:
+            e["x"][list(baselines)] = 0.0
         if row["event"] == 1:
             state["open"][row["ts_target"]] = learner.predict(e)
-            return (None, None, None, None, None, None)
+            return (None,) * 8
         said = state["open"].pop(row["ts_target"], None)
         learner.drifted = learner.drifted or bool(row["drift"])
         decision = learner.outcome(e, said, row["ts_target"])
-        return (said[0] if said else None, said[1] if said else None, row["actual"], decision, learner.version, row["ts_target"] >= row["boundary"])
+        return (said[0] if said else None, said[1] if said else None, row["actual"], decision, learner.reason, learner.trigger, learner.version, row["ts_target"] >= row["boundary"])
 
-    schema = "arm string, signal string, ts_target double, event int, predicted double, width double, actual double, decision string, version int, held_out boolean"
+    schema = "arm string, signal string, ts_target double, event int, predicted double, width double, actual double, decision string, reason string, trigger string, version int, held_out boolean"
     return stepped(made.unionByName(come), ["arm", "signal"], ["at", "event", "ts_target"], ["ts_target", "event"], make, step, schema).filter("event = 0").drop("event")
 
 

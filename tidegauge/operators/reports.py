@@ -55,27 +55,26 @@ def comparison(report: DataFrame, arms: Sequence[str], scope: Sequence[str] = SC
     return wide.join(best, list(scope)).withColumn("uneven", F.col("n_max") > 2 * F.col("n_min"))
 
 
-def diebold_mariano(rows: DataFrame, arm: str, reference: str, scope: Sequence[str] = SCOPE, least: int = 30, max_lag: int = 16) -> DataFrame:
-    """n, mean loss difference, statistic and two-sided p of ``arm`` against ``reference`` (squared errors, paired on ts_target).
+def diebold_mariano(rows: DataFrame, arm: str, reference: str, scope: Sequence[str] = SCOPE, least: int = 30) -> DataFrame:
+    """n, mean loss difference, statistic and two-sided p of ``arm`` against ``reference`` (absolute errors, paired on ts_target).
 
-    Newey-West variance with Bartlett weights up to floor(n ** (1/3)) lags
-    (never over ``max_lag``, reached at 4,913 pairs of a scope); null under
-    ``least`` pairs or without variance.
+    Newey-West variance with Bartlett weights over floor(n ** (1/3)) lags, at
+    least one; the covariance at lag k is the mean over n - k pairs. Null under
+    ``least`` pairs or without variance. Lagged pairs meet by a join on places.
     """
-    loss = lambda a: rows.filter(F.col("arm") == a).groupBy(*scope, "ts_target").agg(F.max_by(F.col("error") * F.col("error"), "ts").alias(a))
+    loss = lambda a: rows.filter(F.col("arm") == a).groupBy(*scope, "ts_target").agg(F.max_by(F.abs("error"), "ts").alias(a))
     pairs = loss(arm).join(loss(reference), [*scope, "ts_target"]).withColumn("d", F.col(arm) - F.col(reference))
     whole, order = Window.partitionBy(*scope), Window.partitionBy(*scope).orderBy("ts_target")
-    centred = pairs.withColumns({"_m": F.avg("d").over(whole), "_n": F.count("*").over(whole)}).withColumn("c", F.col("d") - F.col("_m"))
-    lags = {f"_g{k}": F.col("c") * F.lag("c", k).over(order) for k in range(1, max_lag + 1)}
-    summed = centred.withColumns(lags).groupBy(*scope).agg(
-        F.count("*").alias("n"), F.avg("d").alias("mean_difference"), F.sum(F.col("c") * F.col("c")).alias("_g0"), *[F.sum(f"_g{k}").alias(f"_g{k}") for k in range(1, max_lag + 1)])
-    lag = F.least(F.floor(F.pow(F.col("n").cast("double"), 1 / 3) + 1e-9), F.lit(max_lag))
-    total = F.col("_g0")
-    for k in range(1, max_lag + 1):
-        total = total + F.when(F.lit(k) <= lag, 2 * (1 - F.lit(float(k)) / (lag + 1)) * F.coalesce(f"_g{k}", F.lit(0.0))).otherwise(0.0)
-    var = total / F.col("n") / F.col("n")
-    stat = F.when((F.col("n") >= least) & (var > 0), F.try_divide(F.col("mean_difference"), F.sqrt(F.when(var > 0, var))))
-    return summed.select(*scope, "n", "mean_difference", stat.alias("statistic"), erfc(F.abs(stat) / F.sqrt(F.lit(2.0))).alias("p_value"))
+    placed = pairs.withColumns({"_m": F.avg("d").over(whole), "_n": F.count("*").over(whole), "_i": F.row_number().over(order)})
+    placed = placed.select(*scope, "_i", "_n", "_m", (F.col("d") - F.col("_m")).alias("_c"), F.greatest(F.lit(1), F.floor(F.pow(F.col("_n").cast("double"), 1 / 3))).alias("_l"))
+    lagged = placed.select(*scope, "_n", "_l", F.explode(F.sequence(F.lit(1), F.col("_l").cast("int"))).alias("_k"), "_i", F.col("_c").alias("_before")).withColumn("_i", F.col("_i") + F.col("_k"))
+    products = lagged.join(placed.select(*scope, "_i", "_c"), [*scope, "_i"]).groupBy(*scope, "_k").agg(
+        F.sum(2 * (1 - F.col("_k") / (F.col("_l") + 1.0)) * F.col("_before") * F.col("_c") / (F.col("_n") - F.col("_k"))).alias("_g"))
+    lags = products.groupBy(*scope).agg(F.sum("_g").alias("_g"))
+    base = placed.groupBy(*scope).agg(F.count("*").alias("n"), F.first("_m").alias("mean_difference"), F.avg(F.col("_c") * F.col("_c")).alias("_g0"))
+    both = base.join(lags, list(scope), "left").withColumn("_var", F.col("_g0") + F.coalesce("_g", F.lit(0.0)))
+    stat = F.when((F.col("n") >= least) & (F.col("_var") > 0), F.try_divide(F.col("mean_difference"), F.sqrt(F.when(F.col("_var") > 0, F.col("_var") / F.col("n")))))
+    return both.select(*scope, "n", "mean_difference", stat.alias("statistic"), erfc(F.abs(stat) / F.sqrt(F.lit(2.0))).alias("p_value"))
 
 
 def calibration_curve(rows: DataFrame, bins: int = 5, by: Sequence[str] = ("signal",)) -> DataFrame:
@@ -133,5 +132,11 @@ def arm_wins(report: DataFrame, arm: str, against: str, margin: float = 0.01, sc
     return pair.agg(F.count("*").alias("scopes"), F.count_if(gain > margin).alias("better"), F.count_if(gain < -margin).alias("worse"))
 
 
-def yes_share(yes: Column) -> Column:
-    return F.avg(yes.cast("double"))
+def distinct_versions(version: Column | str) -> Column:
+    """The versions that a group's forecasts came from, sorted; an aggregate."""
+    return F.sort_array(F.collect_set(version))
+
+
+def clipped_interval(predicted: Column, width: Column, lo: float, hi: float) -> tuple[Column, Column]:
+    """(low, high) of an interval held within the signal's range, without leaving the forecast out."""
+    return F.least(F.greatest(predicted - width, F.lit(lo)), predicted), F.greatest(F.least(predicted + width, F.lit(hi)), predicted)

@@ -242,13 +242,26 @@ class Buffer:
 
 
 class ScopeLearner:
-    """The learned model of one scope: predict, learn from outcomes through a gate, watch, roll back."""
+    """The learned model of one scope: predict, learn from outcomes through a gate, watch, roll back.
+
+    ``policies`` say what sets off an adaptation. With ``per_regime`` each
+    regime has a model that starts as a copy of the shared one. The trust region
+    draws a prediction back where the model knows little; with ``baselines``
+    (places of the baselines' inputs) and ``correct_only`` it leaves the
+    intercept and those inputs alone. ``reason`` tells why the last adaptation
+    ended as it did, ``trigger`` what set it off.
+    """
 
     def __init__(self, d: int, scope: str, every: int = 240, gate: int = 120, least_updates: int = 20, ridge: float = 1.0, forgetting: float = 0.999, gated: bool = True,
-                 frozen_after: float = math.inf, trust: float = 3.0, reservoir_share: float = 0.25, lo: float = -math.inf, hi: float = math.inf):
-        self.model, self.buffer = RecursiveLeastSquares(d, ridge, forgetting), Buffer(seed=scope_seed(scope))
+                 frozen_after: float = math.inf, trust: float = 3.0, reservoir_share: float = 0.25, lo: float = -math.inf, hi: float = math.inf,
+                 policies: tuple[str, ...] = ("periodic_samples", "drift"), seconds: float = 900.0, budget: float = 400.0, gate_least: int | None = None, tolerance: float = 0.0, reject_ratio: float = 1.15,
+                 per_regime: bool = False, baselines: tuple[int, ...] = (), correct_only: bool = False):
+        self.models, self.buffer = {"*": RecursiveLeastSquares(d, ridge, forgetting)}, Buffer(seed=scope_seed(scope))
         self.every, self.gate_n, self.least, self.gated = every, gate, least_updates, gated
         self.frozen_after, self.trust, self.share, self.lo, self.hi = frozen_after, trust, reservoir_share, lo, hi
+        self.policies, self.seconds, self.budget = policies, seconds, budget
+        self.gate_least, self.tolerance, self.reject_ratio = gate // 2 if gate_least is None else gate_least, tolerance, reject_ratio
+        self.per_regime, self.baselines, self.correct_only = per_regime, list(baselines), correct_only
         self.spreads: deque[float] = deque(maxlen=200)
         self.interval = AdaptiveInterval()
         self.since = 0
@@ -257,26 +270,44 @@ class ScopeLearner:
         self.watch: list[float] = []
         self.before_mae: float | None = None
         self.drifted = False
+        self.errors, self.adapted_at = 0.0, None
+        self.reason = self.trigger = self.floor = None
+
+    @property
+    def model(self) -> RecursiveLeastSquares:
+        return self.models["*"]
+
+    def _key(self, e: dict) -> str:
+        return (e.get("regime") or "*") if self.per_regime else "*"
 
-    def _value(self, model: RecursiveLeastSquares, e: dict) -> float:
+    def _value(self, models: dict, e: dict) -> float:
         x = e["x"]
+        model = models.get(self._key(e)) or models["*"]
         y = model.predict(x)
         if len(self.spreads) >= 20:
-            y /= 1 + (model.spread(x) / (self.trust * float(np.median(self.spreads)) or 1.0)) ** 2
-        return min(max(e["anchor"] + y * max(e["vol"], 1e-9), self.lo), self.hi)
+            shrink = 1 + (model.spread(x) / (self.trust * float(np.median(self.spreads)) or 1.0)) ** 2
+            spared = 0.0
+            if self.correct_only:
+                own = np.zeros(len(x))
+                own[[0, *self.baselines]] = x[[0, *self.baselines]]
+                spared = model.predict(own)
+            y = spared + (y - spared) / shrink
+        return min(max(e["anchor"] + y * max(e["vol"], 1e-9), self.lo), self.hi) if math.isfinite(y) else y
 
     def predict(self, e: dict) -> tuple[float, float | None] | None:
         """(value, half width) or nothing while too little has been learned."""
         if self.model.updates < self.least:
             return None
-        return self._value(self.model, e), self.interval.width()
+        return self._value(self.models, e), self.interval.width()
 
     def outcome(self, e: dict, predicted: tuple[float, float | None] | None, ts: float) -> str | None:
         """Take in an outcome; gives the decision of an adaptation that it set off."""
+        self.reason = self.trigger = None
         if predicted is not None:
             error = abs(predicted[0] - e["actual"])
             self.interval.step(error, None if predicted[1] is None else error <= predicted[1])
             self.watch.append(error)
+            self.errors += error
         self.buffer.add(e)
         self.since += 1
         if ts >= self.frozen_after:
@@ -285,47 +316,81 @@ class ScopeLearner:
             live = float(np.mean(self.watch))
             worse, self.before_mae, self.watch = live > 1.25 * self.before_mae, None, []
             if worse and self.parent is not None:
-                self.model, self.buffer.absorbed = self.parent
+                self.models, self.buffer.absorbed = self.parent
                 self.parent = None
+                self.reason = "live_error_regressed"
                 return "rolled_back"
         if self.model.updates < self.least:
             # Until the first model stands every outcome is learned at once.
-            self._learn(self.model, [e])
+            self._learn(self.models, [e])
             self.buffer.absorbed = self.buffer.seen
             return None
-        if not (self.drifted or self.since >= self.every):
-            return None
-        return self._adapt()
+        self.trigger = self._due(ts)
+        return self._adapt(ts) if self.trigger else None
+
+    def _due(self, ts: float) -> str | None:
+        """The first policy that calls for an adaptation."""
+        waited = self.adapted_at is None or ts - self.adapted_at >= self.seconds
+        due = {"drift": self.drifted, "periodic_samples": self.since >= self.every, "periodic_time": waited and self.since > 0, "error": self.errors >= self.budget}
+        return next((p for p, yes in due.items() if yes and p in self.policies), None)
 
-    def _learn(self, model: RecursiveLeastSquares, batch: list[dict]) -> None:
+    def _learn(self, models: dict, batch: list[dict]) -> None:
         for e in batch:
+            key = self._key(e) if self.model.updates >= self.least else "*"
+            if key not in models:
+                models[key] = models["*"].copy()
+            model = models[key]
             self.spreads.append(model.spread(e["x"]))
             model.step(e["x"], min(max((e["actual"] - e["anchor"]) / max(e["vol"], 1e-9), -8.0), 8.0))
 
-    def _mae(self, model: RecursiveLeastSquares, rows: list[dict]) -> float:
-        return float(np.mean([abs(self._value(model, e) - e["actual"]) for e in rows]))
+    def _mae(self, models: dict, rows: list[dict]) -> float:
+        errors = [abs(self._value(models, e) - e["actual"]) for e in rows]
+        return float(np.mean(errors)) if all(map(math.isfinite, errors)) else math.inf
 
-    def _adapt(self) -> str:
+    def _floor(self, rows: list[dict]) -> float | None:
+        """The best baseline's mean error, read back from its input: the move from the anchor in volatilities."""
+        if not rows:
+            return None
+        said = [[min(max(e["anchor"] + e["x"][i] * e["vol"], self.lo), self.hi) - e["actual"] for e in rows] for i in self.baselines]
+        return min((float(np.mean(np.abs(s))) for s in said), default=None)
+
+    def _skip(self, reason: str) -> str:
+        self.drifted, self.reason = False, reason
+        return "skipped"
+
+    def _adapt(self, ts: float) -> str:
         gate = self.buffer.gate(self.gate_n) if self.gated else []
-        if self.gated and not gate:
-            self.drifted = False
-            return "skipped"
+        if self.gated and len(gate) < self.gate_least:
+            return self._skip("insufficient_gate_samples")
         batch, mark = self.buffer.draw(max(self.gate_n, self.every), self.share, gate[0]["ts_target"] if gate else math.inf)
-        self.since, self.drifted = 0, False
         if not batch:
-            return "skipped"
-        candidate = self.model.copy()
+            return self._skip("empty_batch")
+        candidate = {k: m.copy() for k, m in self.models.items()}
         self._learn(candidate, batch)
-        if gate:
-            live = self._mae(self.model, gate)
-            if self._mae(candidate, gate) > live:
-                return "rejected"
-            self.before_mae, self.watch = live, []
-        self.parent = (self.model, self.buffer.absorbed)
-        self.model, self.buffer.absorbed = candidate, mark
+        self.since, self.drifted, self.errors, self.adapted_at = 0, False, 0.0, ts
+        self.floor = self._floor(gate)
+        promote, self.reason, live = self._judge(candidate, gate)
+        if not promote:
+            return "rejected"
+        self.before_mae, self.watch = live, []
+        self.parent = (self.models, self.buffer.absorbed)
+        self.models, self.buffer.absorbed = candidate, mark
         self.version += 1
         return "promoted"
 
+    def _judge(self, candidate: dict, gate: list[dict]) -> tuple[bool, str, float | None]:
+        """(whether to promote, why, the live models' error on the gate)."""
+        if not self.gated:
+            return True, "gate_disabled", None
+        new, live = self._mae(candidate, gate), self._mae(self.models, gate)
+        if not math.isfinite(new):
+            return False, "candidate_non_finite", live
+        if new > live * self.reject_ratio:
+            return False, "hard_reject_worse", live
+        if new <= live * (1.0 + self.tolerance):
+            return True, "within_tolerance", live
+        return False, "worse_than_tolerance", live
+
 
 class Hysteresis:
     """A label that changes after ``needed`` ticks of another in a row; while nothing is known the next label is taken at once."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,3 +75,29 @@ def decimated(rows: DataFrame, most: int, by: Sequence[str] = ("signal",), order
 def retained(rows: DataFrame, cutoff: float) -> DataFrame:
     """Rows that retention keeps."""
     return rows.filter(F.col("ts") >= cutoff)
+
+
+def by_id(rows: DataFrame, ids: Sequence[int], key: str = "id") -> DataFrame:
+    """The rows of some ids; the filter reaches the scan."""
+    return rows.filter(F.col(key).isin(list(ids)))
+
+
+def listed(rows: DataFrame, order: Sequence[Column], limit: int, since: tuple[str, float] | None = None, **equal) -> DataFrame:
+    """The first ``limit`` rows by ``order`` of those that have the given values; a value of None asks nothing. ``since`` is (column, least)."""
+    for column, value in equal.items():
+        if value is not None:
+            rows = rows.filter(F.col(column) == value)
+    if since is not None:
+        rows = rows.filter(F.col(since[0]) >= since[1])
+    return rows.orderBy(*order).limit(limit)
+
+
+def with_log(rows: DataFrame, log: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows with the ``columns`` of the newest entry of an append-only log: resolutions, ends of runs, consumption. Rows without one have nulls."""
+    newest = log.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_log"))
+    return rows.join(newest, key, "left").select(*[c for c in rows.columns if c not in columns], *[F.col("_log")[c].alias(c) for c in columns])
+
+
+def reference_now(rows: DataFrame, otherwise: float) -> DataFrame:
+    """One row: the time of the newest reading, by which stored data are judged, or ``otherwise`` where there is none."""
+    return rows.agg(F.coalesce(F.max("ts"), F.lit(otherwise)).alias("now"))

@@ -64,12 +64,13 @@ def arm_wins(spark, sf_dir):
     return reports.arm_wins(reports.metrics(scored(spark, sf_dir), ["arm", *reports.SCOPE]), "ewma", "persistence")
 
 
-@query("dm_test", f"""WITH {BASE}, p AS (SELECT signal, horizon, ts_target, max(error * error) FILTER (arm = 'ewma') - max(error * error) FILTER (arm = 'persistence') AS d FROM scored GROUP BY ALL),
-c AS (SELECT *, d - avg(d) OVER (PARTITION BY signal, horizon) AS c FROM p), l AS (SELECT *, {', '.join(f'c * lag(c, {k}) OVER w AS g{k}' for k in range(1, 17))} FROM c WINDOW w AS (PARTITION BY signal, horizon ORDER BY ts_target)),
-s AS (SELECT signal, horizon, count(*) AS n, avg(d) AS m, sum(c * c) AS g0, {', '.join(f'sum(g{k}) AS g{k}' for k in range(1, 17))} FROM l GROUP BY ALL),
-v AS (SELECT *, least(floor(power(n, 1 / 3.0) + 1e-9), 16) AS lag FROM s),
-f AS (SELECT *, (g0 + {' + '.join(f'CASE WHEN {k} <= lag THEN 2 * (1 - {k} / (lag + 1.0)) * coalesce(g{k}, 0) ELSE 0 END' for k in range(1, 17))}) / n / n AS var FROM v)
-SELECT signal, horizon, n, round(m, 6) + 0.0 AS mean_difference, round(CASE WHEN n >= 30 AND var > 0 THEN m / sqrt(var) END, 6) + 0.0 AS statistic FROM f""")
+@query("dm_test", f"""WITH {BASE}, p AS (SELECT signal, horizon, ts_target, max(abs_error) FILTER (arm = 'ewma') - max(abs_error) FILTER (arm = 'persistence') AS d FROM scored GROUP BY ALL),
+c AS (SELECT signal, horizon, d - avg(d) OVER w AS c, row_number() OVER (PARTITION BY signal, horizon ORDER BY ts_target) AS i, count(*) OVER w AS n, avg(d) OVER w AS m FROM p WHERE d IS NOT NULL WINDOW w AS (PARTITION BY signal, horizon)),
+l AS (SELECT signal, horizon, k, 1 - k / (greatest(1, floor(power(any_value(a.n), 1 / 3.0))) + 1.0) AS weight, avg(a.c * b.c) AS gamma
+      FROM c a JOIN c b USING (signal, horizon) JOIN (SELECT unnest(range(1, 1000)) AS k) g ON b.i = a.i + g.k WHERE g.k <= greatest(1, floor(power(a.n, 1 / 3.0))) GROUP BY signal, horizon, k),
+s AS (SELECT signal, horizon, count(*) AS n, any_value(m) AS m, avg(c * c) AS g0 FROM c GROUP BY ALL),
+f AS (SELECT s.*, g0 + coalesce((SELECT sum(2 * weight * gamma) FROM l WHERE l.signal = s.signal AND l.horizon = s.horizon), 0) AS var FROM s)
+SELECT signal, horizon, n, round(m, 6) + 0.0 AS mean_difference, round(CASE WHEN n >= 30 AND var > 0 THEN m / sqrt(var / n) END, 6) + 0.0 AS statistic FROM f""")
 def dm_test(spark, sf_dir):
     return rounded(reports.diebold_mariano(scored(spark, sf_dir), "ewma", "persistence").drop("p_value"), ["mean_difference", "statistic"])
 
@@ -360,50 +361,4 @@ def event_topk_union(spark, sf_dir):
     return evidence.newest_events(rows.filter("event_type = 'error'"), rows.filter("event_type = 'signup'"), 20, 12, ["event_id"])
 
 
-@query("number_extraction", r"""WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(' ' || text, '(?:^|[^A-Za-z0-9.])([-+]?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[-+]?[0-9]+(?:\.[0-9]+)?)', 1), lambda s: CAST(replace(s, ',', '') AS DOUBLE)) AS v FROM (SELECT doc_id, substr(regexp_replace(text, '[^0-9]+', ' ', 'g'), 1) AS text FROM documents))
-SELECT doc_id, len(v) AS n, coalesce(list_sum(v), 0.0) AS total FROM n""")
-def number_extraction(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", evidence.numbers(F.regexp_replace("text", "[^0-9]+", " ")).alias("v"))
-    return rows.select("doc_id", F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("total"))
-
-
-@query("number_extraction_text")
-def number_extraction_text(spark, sf_dir):
-    """Numbers of the whole text, with signs, decimals and exempt phrases, which the SQL of number_extraction leaves out."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", evidence.numbers(F.coalesce("text", F.lit(""))).alias("v"))
-    return rows.select("doc_id", F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("total"))
-
-
-@query("groundedness", """SELECT event_id, CAST(len(list_filter([value, value * 1.03, value + 50], lambda s: list_bool_or(list_transform([round(value, 1), 400.0], lambda v: abs(s - v) <= greatest(0.15, 0.06 * abs(s)) OR abs(abs(s) - abs(v)) <= greatest(0.15, 0.06 * abs(s)))))) AS INTEGER) AS grounded FROM events""")
-def groundedness(spark, sf_dir):
-    v = F.col("value")
-    said, surface = F.array(v, v * 1.03, v + 50), F.array(F.round(v, 1), F.lit(400.0))
-    return table(spark, sf_dir, "events").select("event_id", evidence.grounded(said, surface).alias("grounded"))
-
-
-_INTENT_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(lower(text), '{p}')''' for p in ps)} THEN '{n}'" for n, ps in evidence.INTENTS) + " ELSE 'status' END"
-
-
-@query("intent_routing", f"SELECT {_INTENT_SQL} AS intent, count(*) AS n FROM conversations GROUP BY 1")
-def intent_routing(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy(evidence.intent("text").alias("intent")).agg(F.count("*").alias("n"))
-
-
-@query("style_checks", r"""SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[.!?]+(?:\s|$)')) AS INTEGER) AS sentences, length(text) > 600 AS too_long, contains(text, '!') AS exclaims,
-regexp_matches(lower(text), '\b(maybe|perhaps|possibly|might)\b') AS hedges, regexp_matches(text, '(?m)^\s*[-*]') AS bulleted FROM conversations""")
-def style_checks(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *evidence.style_flags("text"))
-
-
-_CAT_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(lower(p_name), '{x}')''' for x in ps)} THEN '{n}'" for n, ps in evidence.CATEGORIES) + " ELSE 'other' END"
-
-
-@query("process_attribution", f"""WITH p AS (SELECT p_size AS tick, p_name AS name, p_retailprice AS load, {_CAT_SQL} AS c, row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice DESC, p_name, p_partkey) AS n FROM part)
-SELECT tick, {', '.join(f"round(sum(CASE WHEN c = '{n}' THEN load ELSE 0 END), 4) AS load_{n}" for n, _ in evidence.CATEGORIES)}, max(load) AS top1, round(sum(load) FILTER (n <= 3) / sum(load), 6) AS concentration FROM p GROUP BY tick""")
-def process_attribution(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(F.col("p_size").alias("tick"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("load"))
-    loads = [f"load_{n}" for n, _ in evidence.CATEGORIES]
-    return rounded(rounded(evidence.attribution(rows, ["tick"]), loads, 4), ["concentration"])
-
-
 __all__ = ["QUERIES", "SQL", "skill_report"]

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.operators import baselines, replay, reports
+from tidegauge.operators import baselines, features, replay, reports
 from tidegauge.plans.telemetry import examples, raw_regimes, scored
-from tidegauge.session import shared_dir
+from tidegauge.session import materialised, shared_dir
 from tidegauge.sources import scenarios
 from tidegauge.streaming import drivers
 
@@ -40,19 +40,43 @@ def rls_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.online_regression(examples(spark, sf_dir).withColumn("one", F.lit(1.0)), ["one", *X], "y", forgetting=0.999)
 
 
-def adaptation_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+TIME = ("sin_day", "cos_day", "weekend")
+
+
+def _learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples with time features and the tick's regime."""
+    rows = examples(spark, sf_dir)
+    timed = rows.select("*", *[c for c, n in zip(features.time_features("ts"), ("sin_day", "cos_day", "sin_week", "cos_week", "weekend"), strict=True) if n in TIME])
+    return timed.join(raw_regimes(spark, sf_dir).withColumnRenamed("raw", "regime"), "k", "left")
+
+
+def _adapted(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     alarms = drift_page_hinkley(spark, sf_dir).filter("event")
-    return replay.adaptation(examples(spark, sf_dir), list(X), arms=("online",), drifts=alarms)
+    return replay.adaptation(_learnable(spark, sf_dir), [*X, *TIME], X, drifts=alarms, **options)
+
+
+def adaptation_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _adapted(spark, sf_dir, arms=("online_periodic_drift",))
+
+
+#: Held-out forecasts under which an arm's accuracy of a scope is not to be relied on.
+LEAST_HELD_OUT = 200
 
 
 def experiment_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out accuracy of every arm of the experiment and of persistence, with skill."""
-    rows = examples(spark, sf_dir)
-    learned = replay.adaptation(rows, list(X)).filter("held_out AND predicted IS NOT NULL").select("arm", "signal", "ts_target", "predicted", "actual")
-    bounds = rows.groupBy("signal").agg(F.percentile("ts", 0.5).alias("boundary"))
-    naive = rows.join(bounds, "signal").filter("ts_target >= boundary").select(F.lit("persistence").alias("arm"), "signal", "ts_target", F.col("persistence").alias("predicted"), "actual")
-    both = learned.unionByName(naive).withColumns({"error": F.col("predicted") - F.col("actual"), "abs_error": F.abs(F.col("predicted") - F.col("actual"))})
-    return reports.with_skill(reports.metrics(both, ["arm", "signal"]), ["signal"])
+    """Held-out accuracy of every arm of the experiment and of persistence on the same rows, with skill, and whether there are enough of them."""
+    learned = materialised(_adapted(spark, sf_dir).filter("held_out AND predicted IS NOT NULL").select("arm", "signal", "ts_target", "predicted", "actual"), "arms")
+    # Persistence is scored on the rows that every arm forecast.
+    common = learned.groupBy("signal", "ts_target").agg(F.count("*").alias("n")).filter(F.col("n") == len(replay.ARMS)).drop("n")
+    naive = examples(spark, sf_dir).join(common, ["signal", "ts_target"], "left_semi").select(F.lit("persistence").alias("arm"), "signal", "ts_target", F.col("persistence").alias("predicted"), "actual")
+    both = learned.join(common, ["signal", "ts_target"], "left_semi").unionByName(naive)
+    both = both.withColumns({"error": F.col("predicted") - F.col("actual"), "abs_error": F.abs(F.col("predicted") - F.col("actual"))})
+    return reports.with_skill(reports.metrics(both, ["arm", "signal"]), ["signal"]).withColumn("enough", F.col("n") >= LEAST_HELD_OUT)
+
+
+def gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each arm's adaptations ended, and why."""
+    return _adapted(spark, sf_dir).filter("decision IS NOT NULL").groupBy("arm", "trigger", "decision", "reason").agg(F.count("*").alias("n"))
 
 
 def regime_hysteresis_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +104,4 @@ def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.with_skill(reports.metrics(scored_, ["arm", "signal"]), ["signal"])
 
 
-QUERIES = {f.__name__: f for f in (regime_hysteresis_keyed, streaming_page_hinkley, scenario_metrics, drift_page_hinkley, drift_adwin, drift_feature_shift, conformal_aci, rls_online, adaptation_replay, experiment_core)}
+QUERIES = {f.__name__: f for f in (regime_hysteresis_keyed, streaming_page_hinkley, scenario_metrics, drift_page_hinkley, drift_adwin, drift_feature_shift, conformal_aci, rls_online, adaptation_replay, experiment_core, gate_reasons)}

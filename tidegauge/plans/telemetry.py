@@ -44,10 +44,12 @@ def _specs(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-@query("counter_rate", f"""WITH {READINGS_SQL}, l AS (SELECT *, ts - lag(ts) OVER w AS dt, value - lag(value) OVER w AS dv FROM readings WINDOW w AS (PARTITION BY signal ORDER BY seq))
-SELECT seq, signal, round(CASE WHEN dt > 0 AND dv >= 0 THEN dv / dt END, 6) AS rate FROM l""")
+@query("counter_rate", f"""WITH {READINGS_SQL}, r AS (SELECT seq, signal, ts, CASE WHEN seq % 11 <> 0 THEN value END AS value FROM readings),
+l AS (SELECT r.*, p.ts AS pts, p.value AS pv FROM r ASOF LEFT JOIN (SELECT * FROM r WHERE value IS NOT NULL) p ON p.signal = r.signal AND p.seq < r.seq)
+SELECT seq, signal, round(CASE WHEN ts > pts AND value >= pv THEN (value - pv) / (ts - pts) END, 6) AS rate FROM l""")
 def counter_rate(spark, sf_dir):
-    return quality.counter_rate(readings(spark, sf_dir)).select("seq", "signal", F.round("rate", 6).alias("rate"))
+    rows = readings(spark, sf_dir).withColumn("value", F.when(F.col("seq") % 11 != 0, F.col("value")))
+    return quality.counter_rate(rows).select("seq", "signal", F.round("rate", 6).alias("rate"))
 
 
 GAPS_SQL = f"""{SPARSE},
@@ -119,10 +121,10 @@ def scale_signals(spark, sf_dir):
 LAGS = (0.0, HOUR, 3 * HOUR, 12 * HOUR)
 
 
-def _lag_sql(seconds: float) -> str:
+def _lag_sql(seconds: float, digits: int = 9) -> str:
     tol = max(1.5 * HOUR, 0.25 * seconds)
     sorted_ = f"list_sort(list_transform(buffer, lambda r: {{'d': abs(r.ts - (ts - {seconds})), 't': r.ts, 'v': r.value}}))"
-    return f"""round(coalesce(CASE WHEN ({sorted_})[1].d <= {tol} THEN coalesce(({sorted_})[1].v, list_filter(({sorted_})[1:6], lambda r: r.d <= {2 * tol} AND r.v IS NOT NULL)[1].v) END, fill), 9) AS lag_{seconds:g}"""
+    return f"""round(coalesce(CASE WHEN ({sorted_})[1].d <= {tol} THEN coalesce(({sorted_})[1].v, list_filter(({sorted_})[1:6], lambda r: r.d <= {2 * tol} AND r.v IS NOT NULL)[1].v) END, fill), {digits}) AS lag_{seconds:g}"""
 
 
 @query("lag_features", f"""WITH {GRID}, b AS (SELECT *, list({{'ts': ts, 'value': value}}) OVER {BUF} AS buffer, coalesce(avg(value) OVER {BUF}, 0.5) AS fill FROM grid)
@@ -171,6 +173,12 @@ def volatility(spark, sf_dir):
     return rounded(features.volatility(hourly(spark, sf_dir), SPAN, 1.0).select("signal", "k", "volatility"), ["volatility"])
 
 
+@query("feature_delta", f"""WITH {GRID}, b AS (SELECT *, list({{'ts': ts, 'value': value}}) OVER {BUF} AS buffer, coalesce(avg(value) OVER {BUF}, 0.5) AS fill FROM grid),
+l AS (SELECT signal, k, {_lag_sql(0.0, 14)}, {_lag_sql(LAGS[-1], 14)} FROM b) SELECT signal, k, round(lag_0 - lag_{LAGS[-1]:g}, 9) + 0.0 AS delta FROM l""")
+def feature_delta(spark, sf_dir):
+    return rounded(features.with_delta(hourly(spark, sf_dir), LAGS, HOUR).select("signal", "k", "delta"), ["delta"], 9)
+
+
 @query("feature_vector", f"""WITH {GRID}, f AS (SELECT *, coalesce(avg(value) OVER {BUF}, 0.5) AS fill, avg(value) OVER {SPAN_W} AS m, stddev_pop(value) OVER {SPAN_W} AS s, last_value(value IGNORE NULLS) OVER {BUF} AS a FROM grid)
 SELECT signal, k, [1.0, round(coalesce(value, fill), 9), round(coalesce(m, fill), 9), round(coalesce(s, 0), 9), round(coalesce(a, 0), 9)]::DOUBLE[] AS vec FROM f""")
 def feature_vector(spark, sf_dir):
@@ -205,6 +213,37 @@ def regime_raw(spark, sf_dir):
     return raw_regimes(spark, sf_dir)
 
 
+@query("regime_one_hot", f"WITH {RAW_SQL} SELECT k, " + ", ".join(f"CASE WHEN raw = '{x}' THEN 1.0 ELSE 0.0 END::DOUBLE AS regime_{x}" for x in regime.LABELS) + " FROM raws")
+def regime_one_hot(spark, sf_dir):
+    return raw_regimes(spark, sf_dir).select("k", *regime.one_hot("raw"))
+
+
+VECTOR_LAGS, VECTOR_SPANS = (0.0, 3 * HOUR), (SPAN,)
+VECTOR_NAMES = features.vector_names(SIGNALS, VECTOR_LAGS, VECTOR_SPANS, regime.LABELS)
+
+
+@query("feature_vector_all", f"""WITH {RAW_SQL}, b AS (SELECT *, list({{'ts': ts, 'value': value}}) OVER {BUF} AS buffer, coalesce(avg(value) OVER {BUF}, 0.5) AS fill,
+  avg(value) OVER {SPAN_W} AS m, stddev_pop(value) OVER {SPAN_W} AS s, CASE WHEN count(value) OVER {SPAN_W} >= 2 THEN regr_slope(value, ts) OVER {SPAN_W} END AS g,
+  count(value) OVER {BUF} AS held, count(*) OVER {BUF} AS slots, max(ts) OVER {BUF} - min(ts) OVER {BUF} AS reach FROM grid),
+l AS (SELECT *, {_lag_sql(0.0, 14)}, {_lag_sql(3 * HOUR, 14)} FROM b),
+p AS (SELECT k, list([round(lag_0, 9), round(lag_10800, 9), round(coalesce(m, fill), 9), round(coalesce(s, 0), 9), round(coalesce(g, 0) * 60, 9), round(lag_0 - lag_10800, 9)] ORDER BY signal) AS parts,
+  sum(held) / sum(slots) * least(1.0, max(reach) / {64 * HOUR}) AS coverage, any_value(ts) AS ts FROM l GROUP BY k),
+t AS (SELECT p.*, raw, (ts % 86400) / 86400 AS d, (floor(ts / 86400) + 3) % 7 AS wd FROM p JOIN raws USING (k))
+SELECT k, list_transform(flatten([[1.0], flatten(parts), [round(sin(2 * pi() * d), 9), round(cos(2 * pi() * d), 9), round(sin(2 * pi() * (wd + d) / 7), 9), round(cos(2 * pi() * (wd + d) / 7), 9), CASE WHEN wd >= 5 THEN 1 ELSE 0 END],
+  [{', '.join(f"CASE WHEN raw = '{x}' THEN 1 ELSE 0 END" for x in regime.LABELS)}], [round(coverage, 9)]]), lambda x: CAST(x AS DOUBLE) + 0.0) AS vec FROM t""")
+def feature_vector_all(spark, sf_dir):
+    """One vector a tick over all signals, with time, regime and coverage columns."""
+    return features.vectors(hourly(spark, sf_dir), SIGNALS, VECTOR_LAGS, VECTOR_SPANS, HOUR, 64 * HOUR, raw_regimes(spark, sf_dir).withColumnRenamed("raw", "regime"), regime.LABELS)
+
+
+@query("feature_mask", "WITH s AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS signal), f AS (SELECT unnest(['lag_0', 'lag_10800', 'mean_21600', 'std_21600', 'slope_21600', 'delta_10800']) AS feature), "
+       "n AS (SELECT t.signal AS target, s.signal || '|' || feature AS name, s.signal = t.signal OR feature IN ('lag_0', 'mean_21600', 'slope_21600') AS kept FROM s, f, s t UNION ALL "
+       "SELECT signal, unnest(['bias', 'time|sin_day', 'time|cos_day', 'time|sin_week', 'time|cos_week', 'time|weekend', 'meta|coverage', " + ", ".join(f"'regime|{x}'" for x in regime.LABELS) + "]), true FROM s) SELECT target, name, kept FROM n")
+def feature_mask(spark, sf_dir):
+    rows = [F.struct(F.lit(t).alias("target"), F.lit(n).alias("name"), F.lit(bool(k)).alias("kept")) for t in SIGNALS for n, k in zip(VECTOR_NAMES, features.mask(VECTOR_NAMES, t, VECTOR_SPANS), strict=True)]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 SETTLED_SQL = f"""{RAW_SQL}, known AS (SELECT * FROM raws WHERE raw <> 'unknown'),
 r1 AS (SELECT *, sum(fresh) OVER (ORDER BY k) AS run FROM (SELECT *, CASE WHEN raw = lag(raw) OVER (ORDER BY k) THEN 0 ELSE 1 END AS fresh FROM known)),
 r2 AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY k) AS place FROM r1),
