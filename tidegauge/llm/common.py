@@ -1,44 +1,24 @@
 """Helpers shared by the training-data operators.
 
-Shared storage: tables that must outlive a stage are written below the folder
-named in ``spark.checkpoint.dir`` (which every executor can reach); only where
-that is unset, as in tests, a local folder is chosen and set.
+Tables that must outlive a stage are written below the folder named in
+``spark.checkpoint.dir``, which every executor can reach.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.session import ship
+from tidegauge.session import materialised as materialise
+from tidegauge.session import shared_dir, ship
 
 #: Rows of text handed to a Python worker's inner loop at once; bounds its lists.
 SLICE_ROWS = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidegauge-")
-        spark.sparkContext.setCheckpointDir(found)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """``checkpoint()`` in the shared folder, for small tables of iterative operators."""
     shared_dir(df.sparkSession)
