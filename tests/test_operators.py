@@ -4,9 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidegauge.operators import baselines, features, learning, quality, regime, reports, store
+from tidegauge.operators import baselines, features, learning, quality, regime, replay, reports, store
 
 T0 = 1_760_000_000.0
 SPECS = [("cpu", 0.0, 100.0, None, 30.0), ("battery", 0.0, 100.0, 0.5, 120.0)]
@@ -126,7 +127,7 @@ def test_hysteresis_against_a_state_machine(spark):
                 label, streak = x, 0
         want.append(label)
     df = spark.createDataFrame(list(enumerate(raw)), "k long, raw string")
-    assert [x.regime for x in regime.settled(df).orderBy("k").collect()] == want
+    assert [x.regime for x in replay.settled(df.withColumn("run", F.lit("r"))).orderBy("k").collect()] == want
 
 
 def test_lag_falls_back(spark):
@@ -154,3 +155,33 @@ def test_gram_solves_ridge(spark):
     g = {(c.i, c.j): c.value for c in learning.gram(df, ["a", "b"], "y").collect()}
     solved = np.linalg.solve([[g[0, 0], g[0, 1]], [g[0, 1], g[1, 1]]], [g[0, 2], g[1, 2]])
     assert np.allclose(solved, w)
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_windows_in_blocks_are_windows_over_all(spark, size):
+    r = np.random.default_rng(7)
+    order = sorted(set(r.integers(0, 400, 120).tolist()))
+    rows = [(key, float(k) * 10, k, None if r.random() < 0.3 else float(r.integers(0, 50)), str(r.choice(list("ab")))) for key in ("x", None) for k in order]
+    df = spark.createDataFrame(rows, "key string, ts double, k long, value double, regime string")
+    w = Window.partitionBy("key").orderBy("k")
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.select(*a.columns).collect()))
+
+    gap = F.col("ts") - F.lag("ts").over(w)
+    plain = df.withColumn("gap_s", gap).withColumn("discontinuity", F.coalesce(F.col("gap_s") > 60.0, F.lit(False)))
+    plain = plain.withColumn("segment", F.sum(F.col("discontinuity").cast("long")).over(w))
+    assert same(quality.gaps(df, 20.0, ["key"], span=size), plain)
+
+    plain = df.withColumn("share_a", F.sum((F.col("regime") == "a").cast("double")).over(w.rowsBetween(-9, 0)) / F.count("*").over(w.rowsBetween(-9, 0)))
+    assert same(regime.shares(df, ["a"], ["key"], history=10, span=size, block=size), plain)
+
+    known = F.when(F.col("value").isNotNull(), F.struct("ts", "value"))
+    before = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    plain = df.withColumn("_b", before).withColumn("rate", F.when(F.col("value") >= F.col("_b")["value"], (F.col("value") - F.col("_b")["value"]) / (F.col("ts") - F.col("_b")["ts"])))
+    assert same(quality.counter_rate(df, ["key"], "k", span=size), plain.drop("_b"))
+
+    plain = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_t", F.count("*").over(Window.partitionBy("key"))).filter("_i % ceil(_t / 20) = 0")
+    assert same(store.decimated(df, 20, ["key"], ["k"], span=size), plain.drop("_i", "_t"))
+
+    from tidegauge.operators import evidence
+
+    assert same(evidence.regime_spells(df, by=["key"], span=size), evidence.regime_spells(df, by=["key"], span=10_000))

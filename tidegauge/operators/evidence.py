@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions import blocks
 from tidegauge.functions.exprs import safe_corr, slope
 from tidegauge.operators.answers import first_label
 
@@ -27,8 +28,9 @@ def time_to_levels(rows: DataFrame, levels: Sequence[float], by: Sequence[str] =
 
 def driver_correlations(wide: DataFrame, target: str, drivers: Sequence[str], lags: Sequence[int], order: str = "k", least: int = 12, weakest: float = 0.3, top: int = 4) -> DataFrame:
     """The drivers that go with ``target``, each at its best lag in rows; weak ones are dropped, the ``top`` strongest stay."""
-    w = Window.orderBy(order)
-    shifted = wide.select(target, *[F.lag(d, k).over(w).alias(f"{d}_{k}") if k else F.col(d).alias(f"{d}_0") for d in drivers for k in lags])
+    dealt = blocks.looking_back(blocks.numbered(wide, (), [order]), max(lags))
+    w = Window.partitionBy(blocks.BLOCK).orderBy("_n")
+    shifted = dealt.select("_own", target, *[F.lag(d, k).over(w).alias(f"{d}_{k}") if k else F.col(d).alias(f"{d}_0") for d in drivers for k in lags]).filter("_own")
     both = lambda c: F.count_if(F.col(target).isNotNull() & F.col(c).isNotNull())
     cells = [(d, k, f"{d}_{k}") for d in drivers for k in lags]
     one = shifted.agg(*[F.struct(both(c).alias("n"), safe_corr(target, c).alias("r")).alias(c) for _, _, c in cells])
@@ -56,11 +58,13 @@ def best_open_forecast(predictions: DataFrame, first: str, by: Sequence[str] = (
     return predictions.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def regime_spells(rows: DataFrame, regime: str = "regime", order: str = "k", by: Sequence[str] = ()) -> DataFrame:
-    """(regime, since, until, ticks) of each unbroken spell."""
-    w = Window.partitionBy(*by).orderBy(order)
-    fresh = F.coalesce((F.col(regime) != F.lag(regime).over(w)).cast("long"), F.lit(1))
-    spells = rows.withColumn("_spell", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def regime_spells(rows: DataFrame, regime: str = "regime", order: str = "k", by: Sequence[str] = (), span: float = blocks.SPAN) -> DataFrame:
+    """(regime, since, until, ticks) of each unbroken spell. Ticks are dealt into blocks of ``span`` of ``order``."""
+    w = Window.partitionBy(*by, blocks.BLOCK).orderBy(order)
+    carried = blocks.with_earlier(blocks.dealt(rows, order, span), by, last={"_was": F.max_by(regime, order)})
+    fresh = carried.withColumn("_fresh", F.coalesce((F.col(regime) != F.coalesce(F.lag(regime).over(w), "_was")).cast("long"), F.lit(1)))
+    counted = blocks.with_earlier(fresh.drop("_was"), by, total={"_count": F.sum("_fresh")})
+    spells = counted.withColumn("_spell", F.col("_count") + F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return spells.groupBy(*by, "_spell", regime).agg(F.min(order).alias("since"), F.max(order).alias("until"), F.count("*").alias("ticks")).drop("_spell")
 
 

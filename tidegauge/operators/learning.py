@@ -93,11 +93,11 @@ def routed(events: DataFrame, scopes: DataFrame) -> DataFrame:
 
     ``events`` has signal, horizon and feature (``signal|family``): an alarm of
     errors reaches its own scope, one of a signal's feature that signal's
-    scopes, one of a feature of no signal all scopes. Scopes are a small table.
+    scopes, one of a feature of no signal all scopes.
     """
     head = F.element_at(F.split("feature", r"\|"), 1)
     shared = F.col("feature").isNull() | ~F.col("feature").contains("|") | head.isin("time", "regime", "meta")
-    scoped = F.broadcast(scopes.select(F.col("signal").alias("_s"), F.col("horizon").alias("_h")))
+    scoped = scopes.select(F.col("signal").alias("_s"), F.col("horizon").alias("_h"))
     named = events.filter("signal IS NOT NULL AND horizon IS NOT NULL").join(scoped, (F.col("signal") == F.col("_s")) & (F.col("horizon") == F.col("_h")))
     others = events.filter("signal IS NULL OR horizon IS NULL").withColumns({"_head": head, "_all": shared})
     own = others.filter("NOT _all").join(scoped, F.col("_head") == F.col("_s"))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions import blocks
 from tidegauge.functions.exprs import clip, finite
 
 OK, CLAMPED, SUSPECT, STALE, IMPUTED, MISSING = range(6)
@@ -19,23 +20,33 @@ CLAMP_SLACK = 1e-6
 GAP_FACTOR = 3.0
 
 
-def gaps(ticks: DataFrame, interval: float, keys: Sequence[str] = (), order: str = "k", factor: float = GAP_FACTOR) -> DataFrame:
+def gaps(ticks: DataFrame, interval: float, keys: Sequence[str] = (), order: str = "k", factor: float = GAP_FACTOR, span: float = blocks.SPAN) -> DataFrame:
     """One row a tick with ``gap_s`` (null first), ``discontinuity`` and ``segment``, a running count of discontinuities.
 
     A discontinuity is a gap over ``factor`` intervals or a step back in time.
+    Ticks are dealt into blocks of ``span`` of ``order``, so one long run is many tasks.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    gap = ticks.withColumn("gap_s", F.col("ts") - F.lag("ts").over(w))
-    broken = F.coalesce((F.col("gap_s") > interval * factor) | (F.col("gap_s") < 0), F.lit(False))
-    return gap.withColumn("discontinuity", broken).withColumn("segment", F.sum(F.col("discontinuity").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def counter_rate(rows: DataFrame, keys: Sequence[str] = ("signal",), order: str = "seq", value: str = "value") -> DataFrame:
-    """Add ``rate``: change a second of a counter since its last reading that was there; null on the first one, without time passed, and on a reset."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda c: F.last(F.when(F.col(value).isNotNull(), F.col(c)), ignorenulls=True).over(w)
-    dt, dv = F.col("ts") - before("ts"), F.col(value) - before(value)
-    return rows.withColumn("rate", F.when((dt > 0) & (dv >= 0), F.try_divide(dv, dt)))
+    w = Window.partitionBy(*keys, blocks.BLOCK).orderBy(order)
+    carried = blocks.with_earlier(blocks.dealt(ticks, order, span), keys, last={"_ts": F.max_by("ts", order)})
+    gap = carried.withColumn("gap_s", F.col("ts") - F.coalesce(F.lag("ts").over(w), "_ts")).drop("_ts")
+    broken = gap.withColumn("discontinuity", F.coalesce((F.col("gap_s") > interval * factor) | (F.col("gap_s") < 0), F.lit(False)))
+    one = F.col("discontinuity").cast("long")
+    counted = blocks.with_earlier(broken, keys, total={"_count": F.sum(one)})
+    running = F.col("_count") + F.sum(one).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return counted.withColumn("segment", running).drop("_count", blocks.BLOCK)
+
+
+def counter_rate(rows: DataFrame, keys: Sequence[str] = ("signal",), order: str = "seq", value: str = "value", span: float = blocks.SPAN) -> DataFrame:
+    """Add ``rate``: change a second of a counter since its last reading that was there; null on the first one, without time passed, and on a reset.
+
+    Readings are dealt into blocks of ``span`` of ``order``; a block gets the last reading before it.
+    """
+    there = F.when(F.col(value).isNotNull(), F.struct(F.col("ts").alias("ts"), F.col(value).alias("value")))
+    carried = blocks.with_earlier(blocks.dealt(rows, order, span), keys, last={"_last": F.max_by(there, F.when(F.col(value).isNotNull(), F.col(order)))})
+    w = Window.partitionBy(*keys, blocks.BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = carried.withColumn("_last", F.coalesce(F.last(there, ignorenulls=True).over(w), "_last"))
+    dt, dv = F.col("ts") - F.col("_last")["ts"], F.col(value) - F.col("_last")["value"]
+    return before.withColumn("rate", F.when((dt > 0) & (dv >= 0), F.try_divide(dv, dt))).drop("_last", blocks.BLOCK)
 
 
 def normalise(rows: DataFrame, specs: DataFrame, interval: float, keys: Sequence[str] = (), order: str = "k", factor: float = GAP_FACTOR) -> DataFrame:

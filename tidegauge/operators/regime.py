@@ -1,4 +1,4 @@
-"""Operating regimes: an ordered rule list, hysteresis and recent shares."""
+"""Operating regimes: an ordered rule list and recent shares; ``replay.settled`` has the hysteresis."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions import blocks
+
 #: The rules' limits.
 LOW_BATTERY, BUILD_SHARE, GPU_ACTIVE, DISK_BUSY, HEAVY, IDLE, INTERACTIVE = 25.0, 0.30, 25.0, 40.0, 65.0, 8.0, 35.0
 #: The labels in their order; the first stands for whatever is not among them.
 LABELS = ("unknown", "idle", "interactive", "compute_heavy", "gpu_heavy", "io_heavy", "build", "battery_constrained", "charging")
-HYSTERESIS = 3
 HISTORY = 256
 
 
@@ -25,24 +26,12 @@ def raw_label(cpu: Column, battery: Column, plugged: Column, charging: Column, b
         .when(cpu >= HEAVY, "compute_heavy").when(cpu <= IDLE, "idle").otherwise("interactive"))
 
 
-def settled(rows: DataFrame, keys: Sequence[str] = (), order: str = "k", raw: str = "raw", hysteresis: int = HYSTERESIS) -> DataFrame:
-    """Add ``regime``: the first label at once, then a label after ``hysteresis`` ticks of it in a row.
-
-    Runs of equal labels are islands; exact where no raw label is ``unknown``.
-    """
-    w = Window.partitionBy(*keys).orderBy(order)
-    fresh = F.coalesce((F.col(raw) != F.lag(raw).over(w)).cast("long"), F.lit(1))
-    runs = rows.withColumn("_run", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(order))
-    runs = runs.withColumn("_place", place)
-    taken = F.when((F.col("_run") == 1) | (F.col("_place") >= hysteresis), F.col(raw))
-    return runs.withColumn("_taken", taken).withColumn("regime", F.last("_taken", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_run", "_place", "_taken")
-
-
-def shares(rows: DataFrame, labels: Sequence[str], keys: Sequence[str] = (), order: str = "k", regime: str = "regime", history: int = HISTORY) -> DataFrame:
-    """Add ``share_<label>``: the label's share of the last ``history`` ticks."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - history, 0)
-    return rows.withColumns({f"share_{x}": F.sum((F.col(regime) == x).cast("double")).over(w) / F.count("*").over(w) for x in labels})
+def shares(rows: DataFrame, labels: Sequence[str], keys: Sequence[str] = (), order: str = "k", regime: str = "regime", history: int = HISTORY, span: float = blocks.SPAN, block: int = blocks.ROWS) -> DataFrame:
+    """Add ``share_<label>``: the label's share of the last ``history`` ticks. Blocks of ``block`` ticks get the ticks before them, so one long run is many tasks."""
+    dealt = blocks.looking_back(blocks.numbered(rows, keys, [order], span), history - 1, block)
+    w = Window.partitionBy(*keys, blocks.BLOCK).orderBy("_n").rowsBetween(1 - history, 0)
+    found = dealt.withColumns({f"share_{x}": F.sum((F.col(regime) == x).cast("double")).over(w) / F.count("*").over(w) for x in labels})
+    return found.filter("_own").drop("_own", "_n", blocks.BLOCK)
 
 
 def one_hot(label: Column | str, labels: Sequence[str] = LABELS) -> list[Column]:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions import blocks
+
 
 def latest_by(log: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key: what an upsert would have left."""
@@ -65,11 +67,13 @@ def rollback_target(versions: DataFrame, activations: DataFrame, key: Sequence[s
         F.coalesce(F.max(F.when(F.col("_v") == F.col("parent_n"), F.col("_v"))), F.max(F.when(F.col("_v") < F.col("active_n"), F.col("_v")))).alias("target_n"))
 
 
-def decimated(rows: DataFrame, most: int, by: Sequence[str] = ("signal",), order: str = "ts") -> DataFrame:
-    """Every ceil(n / most)-th row; values are never averaged."""
-    whole, w = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(order)
-    step = F.ceil(F.count("*").over(whole) / most)
-    return rows.withColumns({"_i": F.row_number().over(w) - 1, "_step": step}).filter("_i % _step = 0").drop("_i", "_step")
+def decimated(rows: DataFrame, most: int, by: Sequence[str] = ("signal",), order: Sequence[str] = ("ts",), span: float = blocks.SPAN) -> DataFrame:
+    """Every ceil(n / most)-th row of each key in the order given; values are never averaged. Rows are numbered in blocks of ``span`` of the first order column."""
+    total = rows.groupBy(*by).agg(F.count("*").alias("_total"))
+    placed = blocks.numbered(rows, by, order, span, "_i")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    sized = placed.join(total.select(*[F.col(c).alias(f"_of_{c}") for c in by], "_total"), same) if by else placed.crossJoin(total)
+    return sized.filter(F.col("_i") % F.ceil(F.col("_total") / most) == 0).drop("_i", "_total", *[f"_of_{c}" for c in by])
 
 
 def retained(rows: DataFrame, cutoff: float) -> DataFrame:

@@ -34,7 +34,7 @@ r AS (SELECT *, max(CASE WHEN arm = 'persistence' THEN exact END) OVER (PARTITIO
 SELECT * EXCLUDE (exact, ref), round(ref, 6) AS ref_mae, round(CASE WHEN ref > 0 THEN 1 - exact / ref END, 6) + 0.0 AS skill FROM r""")(lambda spark, sf_dir: skill_report(spark, sf_dir))
 
 
-@query("report_by_regime", f"""WITH {BASE}, {SETTLED_SQL.split(GRID + ',', 1)[1].lstrip()}
+@query("report_by_regime", f"""WITH RECURSIVE {BASE}, {SETTLED_SQL.split(GRID + ',', 1)[1].lstrip()}
 SELECT s.arm, s.signal, s.horizon, CASE WHEN grouping(g.regime) = 1 THEN 'all' ELSE g.regime END AS regime, count(*) AS n, round(avg(abs_error), 6) AS mae FROM scored s JOIN settled g ON g.k = s.k
 GROUP BY GROUPING SETS ((arm, signal, horizon, regime), (arm, signal, horizon))""")
 def report_by_regime(spark, sf_dir):
@@ -287,7 +287,7 @@ def retention(spark, sf_dir):
 
 @query("decimate", f"WITH {READINGS_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY ts, seq) - 1 AS i, CAST(ceil(count(*) OVER (PARTITION BY signal) / 300.0) AS BIGINT) AS step FROM readings) SELECT seq, signal, value FROM p WHERE i % step = 0")
 def decimate(spark, sf_dir):
-    return store.decimated(readings(spark, sf_dir).withColumn("_o", F.struct("ts", "seq")), 300, order="_o").select("seq", "signal", "value")
+    return store.decimated(readings(spark, sf_dir), 300, order=("ts", "seq")).select("seq", "signal", "value")
 
 
 @query("semi_join_ids", "SELECT event_id, value FROM events WHERE event_id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")

@@ -79,10 +79,6 @@ def gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _adapted(spark, sf_dir).filter("decision IS NOT NULL").groupBy("arm", "trigger", "decision", "reason").agg(F.count("*").alias("n"))
 
 
-def regime_hysteresis_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.settled(raw_regimes(spark, sf_dir).withColumn("run", F.lit("all")))
-
-
 def streaming_page_hinkley(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The drift detector over a stream of the errors, read and written in the shared folder."""
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -104,4 +100,4 @@ def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.with_skill(reports.metrics(scored_, ["arm", "signal"]), ["signal"])
 
 
-QUERIES = {f.__name__: f for f in (regime_hysteresis_keyed, streaming_page_hinkley, scenario_metrics, drift_page_hinkley, drift_adwin, drift_feature_shift, conformal_aci, rls_online, adaptation_replay, experiment_core, gate_reasons)}
+QUERIES = {f.__name__: f for f in (streaming_page_hinkley, scenario_metrics, drift_page_hinkley, drift_adwin, drift_feature_shift, conformal_aci, rls_online, adaptation_replay, experiment_core, gate_reasons)}

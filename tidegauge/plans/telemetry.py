@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions.exprs import rounded
-from tidegauge.operators import baselines, features, quality, regime
+from tidegauge.operators import baselines, features, quality, regime, replay
 from tidegauge.sources.readings import READINGS_SQL, readings, ticks, ticks_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -244,32 +244,45 @@ def feature_mask(spark, sf_dir):
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-SETTLED_SQL = f"""{RAW_SQL}, known AS (SELECT * FROM raws WHERE raw <> 'unknown'),
-r1 AS (SELECT *, sum(fresh) OVER (ORDER BY k) AS run FROM (SELECT *, CASE WHEN raw = lag(raw) OVER (ORDER BY k) THEN 0 ELSE 1 END AS fresh FROM known)),
-r2 AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY k) AS place FROM r1),
-settled AS (SELECT k, raw, last_value(CASE WHEN run = 1 OR place >= 3 THEN raw END IGNORE NULLS) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS regime FROM r2)"""
+def settled_sql(run: str) -> str:
+    """The hysteresis of the raw labels, run by run; the statement needs WITH RECURSIVE, as each round takes one tick of every run."""
+    return f"""{RAW_SQL}, placed AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY k) AS n FROM (SELECT *, {run} AS run FROM raws)),
+settled AS (SELECT run, n, k, raw, raw AS regime, 1 AS streak FROM placed WHERE n = 1
+UNION ALL SELECT run, n, k, raw, CASE WHEN open OR same >= 3 THEN raw ELSE regime END, CASE WHEN open THEN 1 WHEN raw = regime OR same >= 3 THEN 0 ELSE same END
+FROM (SELECT p.run, p.n, p.k, p.raw, s.regime, s.regime = 'unknown' AND s.streak = 0 AS open, CASE WHEN p.raw = s.regime THEN 0 WHEN p.raw = s.raw THEN s.streak + 1 ELSE 1 END AS same
+FROM settled s JOIN placed p ON p.run = s.run AND p.n = s.n + 1))"""
+
+
+SETTLED_SQL = settled_sql("'all'")
 
 
 def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regime.settled(raw_regimes(spark, sf_dir).filter("raw <> 'unknown'"))
+    """(run, k, raw, regime) of every tick, those without a label too; all ticks are one run."""
+    return replay.settled(raw_regimes(spark, sf_dir).withColumn("run", F.lit("all")))
 
 
-@query("regime_hysteresis", f"WITH {SETTLED_SQL} SELECT k, raw, regime FROM settled")
+@query("regime_hysteresis", f"WITH RECURSIVE {SETTLED_SQL} SELECT k, raw, regime FROM settled")
 def regime_hysteresis(spark, sf_dir):
     return settled(spark, sf_dir).select("k", "raw", "regime")
 
 
+@query("regime_hysteresis_keyed", f"WITH RECURSIVE {settled_sql('CAST(k // 168 AS VARCHAR)')} SELECT run, k, raw, regime FROM settled")
+def regime_hysteresis_keyed(spark, sf_dir):
+    """Each week as a run of its own."""
+    return replay.settled(raw_regimes(spark, sf_dir).withColumn("run", F.floor(F.col("k") / 168).cast("string")))
+
+
 _LABELS = ("charging", "gpu_heavy", "io_heavy", "interactive")
 
 
-@query("regime_shares", f"WITH {SETTLED_SQL} SELECT k, " + ", ".join(
+@query("regime_shares", f"WITH RECURSIVE {SETTLED_SQL} SELECT k, " + ", ".join(
     f"round(sum(CASE WHEN regime = '{x}' THEN 1.0 ELSE 0.0 END) OVER w / count(*) OVER w, 6)::DOUBLE AS share_{x}" for x in _LABELS) + " FROM settled WINDOW w AS (ORDER BY k ROWS BETWEEN 255 PRECEDING AND CURRENT ROW)")
 def regime_shares(spark, sf_dir):
     names = [f"share_{x}" for x in _LABELS]
     return rounded(regime.shares(settled(spark, sf_dir), _LABELS).select("k", *names), names)
 
 
-@query("regime_spells", f"""WITH {SETTLED_SQL}, s AS (SELECT *, sum(fresh) OVER (ORDER BY k) AS spell FROM (SELECT *, CASE WHEN regime = lag(regime) OVER (ORDER BY k) THEN 0 ELSE 1 END AS fresh FROM settled))
+@query("regime_spells", f"""WITH RECURSIVE {SETTLED_SQL}, s AS (SELECT *, sum(fresh) OVER (ORDER BY k) AS spell FROM (SELECT *, CASE WHEN regime = lag(regime) OVER (ORDER BY k) THEN 0 ELSE 1 END AS fresh FROM settled))
 SELECT regime, min(k) AS since, max(k) AS until, count(*) AS ticks FROM s GROUP BY spell, regime""")
 def regime_spells(spark, sf_dir):
     from tidegauge.operators.evidence import regime_spells as spells
