@@ -81,6 +81,25 @@ def retained(rows: DataFrame, cutoff: float) -> DataFrame:
     return rows.filter(F.col("ts") >= cutoff)
 
 
+def retained_with(samples: DataFrame, readings: DataFrame, windows: DataFrame, cutoff: float, key: str = "sample_id") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(samples, readings, feature windows, one row with ``removed``) after retention: readings go with their sample, predictions are not touched."""
+    kept = retained(samples, cutoff)
+    return kept, readings.join(kept.select(key), key, "left_semi"), retained(windows, cutoff), samples.agg(F.count_if(F.col("ts") < cutoff).alias("removed"))
+
+
+def series(rows: DataFrame, signals: Sequence[str], now: float, seconds: float, most: int, at: Sequence[str] = ("k", "ts")) -> DataFrame:
+    """Ticks by signals over [now - seconds, now + 1], every ceil(n / most)-th of them; unusable values are null. The first column of ``at`` is numeric."""
+    part = rows.filter(F.col("ts").between(now - seconds, now + 1))
+    return decimated(pivot_window(part, signals, at), most, (), at)
+
+
+def top_features(rows: DataFrame, names: Sequence[str], top: int = 15, vector: str = "vec") -> DataFrame:
+    """Add ``features``: the ``top`` entries (name, value) of each vector by size, the earlier of equal ones first."""
+    entries = F.array_sort(F.transform(vector, lambda x, i: F.struct((-F.abs(x)).alias("size"), i.alias("place"), x.alias("value"))))
+    named = F.array(*map(F.lit, names))
+    return rows.withColumn("features", F.transform(F.slice(entries, 1, top), lambda e: F.struct(F.get(named, e["place"]).alias("name"), e["value"].alias("value"))))
+
+
 def by_id(rows: DataFrame, ids: Sequence[int], key: str = "id") -> DataFrame:
     """The rows of some ids; the filter reaches the scan."""
     return rows.filter(F.col(key).isin(list(ids)))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.plans import answering, reporting, sequential
+from tidegauge.plans import reporting, sequential, serving
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**answering.QUERIES, **sequential.QUERIES}
-SQL: dict[str, str] = {**answering.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**serving.QUERIES, **sequential.QUERIES}
+SQL: dict[str, str] = {**serving.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

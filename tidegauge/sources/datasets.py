@@ -42,3 +42,41 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     pairs = rows.select("ts", "origin", "gap_s", "collect_ms", F.explode_outer("r").alias("signal", "v"))
     value, quality = F.get("v", F.lit(0)), F.coalesce(F.get("v", F.lit(1)), F.lit(0.0)).cast("int")
     return pairs.select("ts", "origin", "gap_s", "collect_ms", "signal", value.alias("value"), quality.alias("quality")), signals
+
+
+def export(samples: DataFrame, readings: DataFrame, signals: DataFrame, path: str, run: str | None = None, since: float | None = None, until: float | None = None, key: str = "sample_id") -> None:
+    """Write stored telemetry as a dataset, in the order of time.
+
+    ``samples`` has ``key``, run, ts, origin, gap_s and collect_ms, ``readings``
+    ``key``, signal, value and quality; of repeated readings the greatest stays.
+    """
+    part = samples if run is None else samples.filter(F.col("run") == run)
+    part = part if since is None else part.filter(F.col("ts") >= since)
+    part = part if until is None else part.filter(F.col("ts") <= until)
+    # A sample has one entry a registered signal, so its map is small.
+    single = readings.filter("signal IS NOT NULL").groupBy(key, "signal").agg(F.max(F.struct("value", F.col("quality").cast("int").alias("quality"))).alias("_r"))
+    maps = single.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("signal", "_r"))).alias("readings"))
+    whole = part.join(maps, key, "left").withColumn("readings", F.coalesce("readings", F.expr("CAST(map() AS map<string,struct<value:double,quality:int>>)")))
+    write(whole.orderBy("ts", key), signals, path, notes=f"export run={run}")
+
+
+def load(spark: SparkSession, path: str, run: str, into: str) -> None:
+    """Append a dataset's samples and readings to the tables ``into``/samples and ``into``/readings under the name of a run."""
+    rows, _ = read(spark, path)
+    named = rows.withColumn("run", F.lit(run)).withColumn("sample_id", F.xxhash64("run", "ts", F.coalesce("origin", F.lit(""))))
+    samples = named.select("sample_id", "run", "ts", "origin", "gap_s", "collect_ms").dropDuplicates(["sample_id"])
+    samples.write.mode("append").parquet(f"{into}/samples")
+    named.filter("signal IS NOT NULL").select("sample_id", "run", "ts", "signal", "value", "quality").write.mode("append").parquet(f"{into}/readings")
+
+
+def stored(spark: SparkSession, into: str, run: str | None = None) -> DataFrame:
+    """(ts, origin, gap_s, collect_ms, signal, value, quality) of the tables that ``load`` appends to, as ``read`` gives them; samples without readings stay."""
+    samples, readings = spark.read.parquet(f"{into}/samples"), spark.read.parquet(f"{into}/readings").select("sample_id", "signal", "value", "quality")
+    part = samples if run is None else samples.filter(F.col("run") == run)
+    return part.join(readings, "sample_id", "left").select("ts", "origin", "gap_s", "collect_ms", "signal", "value", "quality")
+
+
+def save_report(report: DataFrame, runs: str, run: str) -> None:
+    """Write a report as JSON below ``runs``/``run`` and ``runs``/latest."""
+    for name in (run, "latest"):
+        report.write.mode("overwrite").json(f"{runs}/{name}")
