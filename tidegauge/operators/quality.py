@@ -57,7 +57,9 @@ def normalise(rows: DataFrame, specs: DataFrame, interval: float, keys: Sequence
     """
     at = [*keys, order]
     times = gaps(rows.select(*at, "ts").distinct(), interval, keys, order, factor)
-    whole = times.crossJoin(specs).join(rows.select(*at, "signal", "value"), [*at, "signal"], "left")
+    # The specs are a registered, small set: one row holds them.
+    registry = specs.agg(F.collect_list(F.struct(*specs.columns)).alias("_specs"))
+    whole = times.crossJoin(F.broadcast(registry)).select(*times.columns, F.inline("_specs")).join(rows.select(*at, "signal", "value"), [*at, "signal"], "left")
     raw = finite("value")
     held = clip(raw, F.col("lo"), F.col("hi"))
     over = F.greatest(F.coalesce(F.col("lo") - raw, F.lit(0.0)), F.coalesce(raw - F.col("hi"), F.lit(0.0)))

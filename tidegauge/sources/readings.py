@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Ticks of a block of the time axis.
+BLOCK_TICKS = 65_536
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,12 +34,16 @@ def ticks(rows: DataFrame, step: float, dense: bool = True) -> DataFrame:
     only ticks in which any signal was read. Every signal has a row a tick.
     """
     cells = rows.groupBy("signal", F.floor(F.col("ts") / step).alias("k")).agg(F.avg("value").alias("value"))
+    # Signals are a registered, small set: one row holds them and the ends of the time axis.
+    ends = cells.agg(F.min("k").alias("a"), F.max("k").alias("b"), F.sort_array(F.collect_set("signal")).alias("signals")).filter("a IS NOT NULL")
     if dense:
-        times = cells.agg(F.min("k").alias("a"), F.max("k").alias("b")).filter("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("k"))
+        # Blocks of ticks first, then the ticks of each block, so that no row or task holds the whole axis.
+        first, last = F.greatest("a", F.col("block") * BLOCK_TICKS), F.least("b", F.col("block") * BLOCK_TICKS + (BLOCK_TICKS - 1))
+        dealt = ends.select(F.explode(F.sequence(F.floor(F.col("a") / BLOCK_TICKS), F.floor(F.col("b") / BLOCK_TICKS))).alias("block"), "a", "b", "signals").repartition("block")
+        times = dealt.select(F.explode(F.sequence(first, last)).alias("k"), "signals")
     else:
-        times = cells.select("k").distinct()
-    # Signals are a small dimension, so the product has one row a tick and signal.
-    grid = times.crossJoin(cells.select("signal").distinct())
+        times = cells.select("k").distinct().crossJoin(F.broadcast(ends.select("signals")))
+    grid = times.select("k", F.explode("signals").alias("signal"))
     return grid.join(cells, ["signal", "k"], "left").select("signal", "k", (F.col("k") * F.lit(float(step))).alias("ts"), "value")
 
 
