@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import ann, bloom_lm, bpe, order_minhash, packing, pii, quality, secrets, simhash, url_filter
+from tidegauge.llm import ann, bloom_lm, bpe, order_minhash, packing, pii, quality, secrets, simhash, slots, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_semi_markov_pii": pii.op1_semi_markov_pii,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_order_minhash": order_minhash.op9_order_minhash,
     "op10_bloom_lm": bloom_lm.op10_bloom_lm,
+    "op12_virtual_slots": slots.op12_virtual_slots,
 }
 
 SQL: dict[str, str] = {
