@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import ann, bloom_lm, bpe, merkle, order_minhash, packing, pii, quality, secrets, simhash, slots, url_filter
+from tidegauge.llm import ann, bloom_lm, bpe, conv_trie, merkle, order_minhash, packing, pii, quality, secrets, simhash, slots, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_semi_markov_pii": pii.op1_semi_markov_pii,
@@ -21,9 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bloom_lm": bloom_lm.op10_bloom_lm,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_virtual_slots": slots.op12_virtual_slots,
+    "op13_conversation_trie": conv_trie.op13_conversation_trie,
 }
 
 SQL: dict[str, str] = {
     "op3_url_filter": url_filter.SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op13_conversation_trie": conv_trie.SQL,
 }
