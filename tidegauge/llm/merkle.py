@@ -197,7 +197,8 @@ def manifest(docs: DataFrame, presented: Column | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    rows, most, count = placed(leaves(docs, presented), "src", ["doc_id", "leaf"])
+    # Written first: the sort samples its input and then reads it again, and texts should be read once.
+    rows, most, count = placed(materialise(leaves(docs, presented), "merkle-leaves"), "src", ["doc_id", "leaf"])
     if not count:
         return spark.createDataFrame([], SCHEMA)
     cargo = F.struct("doc_id", "shown").alias("cargo")
