@@ -11,7 +11,9 @@ def test_keeps_good_and_rejects_bad(spark, docs, labels, texts):
     kept = {}
     for r in rows:
         kept.setdefault(r.row.doc_id, r.kept)
-    assert all(kept[i] for i in (1, 2, 3, 4, 5, 40)) and not kept[13] and not kept[14]
+    assert all(kept[i] for i in (1, 2, 3, 4, 5, 40))
+    few = {r.row.doc_id: r.kept for r in quality.resample(docs, labels, k=len(texts) - 4).collect()}
+    assert not few[13] and not few[14] and few[1]
     assert {r.log_weight for r in rows if r.row.doc_id in (6, 7, 8)} == {0.0}
 
 
@@ -28,7 +30,7 @@ def test_held_out_labels(spark, sf_dir):
 
 def test_weights_are_the_models_log_ratio(spark, docs, labels, texts):
     sample = quality.sampled_labels(labels)
-    ratio, without = quality.fit(docs, sample)
+    ratio = quality.fit(docs, sample)
     of = quality.BucketCounts()
     good = {1, 2, 3, 4, 5, 40}
     raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
@@ -38,7 +40,7 @@ def test_weights_are_the_models_log_ratio(spark, docs, labels, texts):
         target += counts * (i in good)
     share = (raw + 1) / (raw + 1).sum()
     want = np.log((target + quality.BUCKETS * share) / (target.sum() + quality.BUCKETS) / share)
-    assert np.allclose(ratio, want) and len(without) == quality.FOLDS
+    assert np.allclose(ratio, want)
 
 
 def test_conflicting_labels_are_bad(spark):
@@ -46,11 +48,33 @@ def test_conflicting_labels_are_bad(spark):
     assert rows == {1: False, 2: True}
 
 
-def test_calibration():
-    assert quality.calibrate(np.array([]), np.array([], bool)) == -np.inf
-    assert quality.calibrate(np.array([1.0, 2.0]), np.array([True, True])) == -np.inf
-    assert quality.calibrate(np.array([-3.0, -1.0, 2.0, 4.0]), np.array([False, False, True, True])) == 0.5
-    assert quality.calibrate(np.array([1.0, 1.0, 2.0]), np.array([False, True, True])) <= 1.0
+def test_size_of_the_sample():
+    assert quality.size_of_sample(100, 0, 0) == quality.size_of_sample(100, 5, 5) == quality.size_of_sample(100, 5, 0) == 100
+    assert quality.size_of_sample(10_000, 400, 320, 0.0) == 8_000 and quality.size_of_sample(10_000, 400, 320) == 8_200
+    assert quality.size_of_sample(0, 4, 2) == 0
+
+
+def test_default_k_by_brute_force(spark, sf_dir):
+    """``kept`` as the query makes it: log weights and Gumbel variates computed here, the k greatest of a plain sort."""
+    import math
+
+    labels, docs = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "documents"))
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    seen = {}
+    for r in labels.collect():
+        seen[r.doc_id] = min(seen.get(r.doc_id, 1), r.quality)
+    of = quality.BucketCounts()
+    counts = {i: np.bincount(of(t).astype(int), minlength=quality.BUCKETS) for i, t in rows}
+    raw, target = sum(counts.values()).astype(float), sum(c for i, c in counts.items() if seen.get(i) == 1).astype(float)
+    share = (raw + 1) / (raw + 1).sum()
+    ratio = np.log((target + quality.BUCKETS * share) / (target.sum() + quality.BUCKETS) / share)
+    noise = {r.doc_id: r.g for r in docs.select("doc_id", quality.gumbel(docs.doc_id).alias("g")).collect()}
+    score = {i: float((counts[i] * ratio).sum()) + noise[i] for i, _ in rows}
+    good, n = sum(seen.values()), len(seen)
+    k = math.ceil(len(rows) * (good / n + math.sqrt(good / n * (1 - good / n) / n)))
+    got = quality.op4_importance_resampling(spark, sf_dir).collect()
+    assert {r.k for r in got} == {k} and k < len(rows)
+    assert {r.doc_id for r in got if r.kept} == set(sorted(score, key=score.get, reverse=True)[:k])
 
 
 def test_without_labels_all_stay(spark, docs, labels, texts):
@@ -72,11 +96,6 @@ def test_k_greatest(spark, docs, labels):
     assert quality.kth_greatest(df, 0) == np.inf
 
 
-def test_repeated_tokens_read_as_one():
-    of = quality.BucketCounts()
-    assert len(of("so so so")) == 5 and list(of("x x")[1:2]) == list(of("y y")[1:2]) and len(of("")) == 0
-
-
 def test_keep_carries_all_columns(spark, docs, labels):
     out = quality.keep(docs, labels)
     assert out.columns == docs.columns and out.dtypes == docs.dtypes

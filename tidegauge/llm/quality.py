@@ -1,7 +1,6 @@
 """Quality by importance resampling of hashed n-gram models (operator 4).
 
-Texts are split into words and runs of punctuation, where a token equal to the
-one before it reads as one token "again"; unigrams and bigrams are
+Texts are split into words and runs of punctuation; unigrams and bigrams are
 hashed into ``BUCKETS`` buckets. Two generative models are fitted: ``target``
 on labelled good documents (a bounded sample of labelled rows) and ``raw`` on
 all documents. A document's log weight is the log of its probability under
@@ -9,16 +8,16 @@ all documents. A document's log weight is the log of its probability under
 document's id, so that it is the same in every run) and taking the k greatest
 samples k documents without replacement in proportion to their weights.
 
-``resample`` takes k. Where it is not given, k is the size that the labelled
-sample calls for: the number of documents whose score reaches the level that best
-separates labelled good from labelled bad documents, each scored by a model
-fitted without its fold, good ones counting ``GOOD_WEIGHT`` times, so that clean
-documents stay. The k-th greatest score is found by counting scores in bins of a
-narrowing range, so there is no global sort.
+k is a number of documents that is set before any is scored. ``resample`` takes
+it; unless given it is the share of good ones among the labelled rows, with
+``SPARE`` standard errors on top so that clean documents stay, of all documents.
+The k-th greatest score is found by counting scores in bins of a narrowing
+range, so there is no global sort.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,24 +26,25 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidegauge.llm.common import map_arrow, materialise, slices, table, text_or_empty
+from tidegauge.llm.common import map_arrow, materialise, packed, ref, slices, table, text_or_empty, unpacked
 from tidegauge.llm.pretokens import BoundedCache
 from tidegauge.llm.word_hash import finalise
 
 BUCKETS = 10_000
 #: At most so many labelled rows are used, chosen by a hash of their id.
 LABELLED_ROWS = 20_000
-GOOD_WEIGHT = 20.0
+#: Standard errors of the labelled share of good documents by which k exceeds it.
+SPARE = 1.0
 #: The target model's prior, in counts a bucket, is dealt out as the raw model has it, so that buckets without
 #: evidence tell for neither model.
 SMOOTHING = 1.0
 SEED = 17
-#: Labelled documents are scored for calibration by models fitted without their fold.
-FOLDS = 2
-TARGETS = tuple(f"target{n}" for n in range(FOLDS))
 CACHE_TOKENS = 150_000
 
+_TOKENS = 150_000
+
 #: What a token equal to the one before it reads as.
 AGAIN = np.uint64(0x2545F4914F6CDD1D)
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
@@ -60,7 +60,6 @@ class BucketCounts:
     def __call__(self, text: str) -> np.ndarray:
         tokens = _TOKENS.findall(text.lower())
         h = np.fromiter(map(self.memo.__getitem__, tokens), np.uint64, len(tokens))
-        h[1:][h[1:] == h[:-1]] = AGAIN
         with np.errstate(over="ignore"):
             pairs = finalise(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
         return np.concatenate([h, pairs]) % self.buckets
@@ -71,42 +70,34 @@ def _hash(token: str) -> int:
 
 
 def sampled_labels(labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
-    """(doc_id, good, fold) of at most ``rows`` labelled rows, the least by a hash of the id; a document labelled both ways is bad."""
+    """(doc_id, good) of at most ``rows`` labelled rows, the least by a hash of the id; a document labelled both ways is bad."""
     one = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    one = one.withColumn("fold", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(FOLDS)).cast("int"))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
 def _fit_partition(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Bucket counts of this partition: all of its texts, and the labelled good ones of each fold."""
+    """Bucket counts of this partition: all of its texts, and the labelled good ones."""
     of = BucketCounts(buckets)
-    raw, target = np.zeros(buckets, np.int64), np.zeros((FOLDS, buckets), np.int64)
+    raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
     for batch in slices(batches):
-        for text, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts = np.bincount(of(text).astype(np.int64), minlength=buckets)
             raw += counts
-            if fold is not None:
-                target[fold] += counts
+            if good:
+                target += counts
     used = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), *(pa.array(t[used]) for t in target)], names=["bucket", "raw", *TARGETS])
-
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "raw", "target"])
 
-def fit(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, list[np.ndarray]]:
-    """log(target / raw) of each bucket, from all good labelled documents and from all but those of each fold.
 
-    ``sample`` has doc_id, good and fold; it is bounded, so it is broadcast to the documents.
-    """
-    rows = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(sample), "doc_id", "left")
-    rows = rows.select("text", F.when(F.col("good"), F.col("fold")).alias("fold"))
-    counts = map_arrow(rows, lambda b: _fit_partition(b, buckets), ", ".join(f"{c} long" for c in ("bucket", "raw", *TARGETS)))
-    summed = counts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", *TARGETS)]).toArrow()
+def fit(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """log(target / raw) of each bucket. ``sample`` has doc_id and good; it is bounded, so it is broadcast to the documents."""
+    rows = docs.select(ref("doc_id").alias("doc_id"), text_or_empty("text").alias("text")).join(F.broadcast(sample), "doc_id", "left").select("text", "good")
+    counts = map_arrow(rows, lambda b: _fit_partition(b, buckets), "bucket long, raw long, target long")
+    summed = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    raw, target = np.zeros(buckets), np.zeros(buckets)
     at = summed.column(0).to_numpy()
-    raw, target = np.zeros(buckets), np.zeros((FOLDS, buckets))
-    raw[at] = summed.column(1).to_numpy()
-    for n in range(FOLDS):
-        target[n, at] = summed.column(2 + n).to_numpy()
-    whole = target.sum(axis=0)
-    return _log_ratio(whole, raw), [_log_ratio(whole - t, raw) for t in target]
+    raw[at], target[at] = summed.column(1).to_numpy(), summed.column(2).to_numpy()
+    return _log_ratio(target, raw)
 
 
 def _log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -134,8 +125,8 @@ def weigh(docs: DataFrame, ratio: np.ndarray, carried: list[str] | None = None,
             sums = [float(values[of(t).astype(np.int64)].sum()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.float64())], names=["row", "log_weight"])
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried or docs.columns]).alias("row"), text_or_empty(text_col).alias("text"))
-    weighed = map_arrow(packed, run, f"row {packed.schema['row'].dataType.simpleString()}, log_weight double")
+    rows = docs.select(packed(carried or docs.columns).alias("row"), text_or_empty(text_col).alias("text"))
+    weighed = map_arrow(rows, run, StructType([rows.schema["row"], StructField("log_weight", DoubleType())]))
     return weighed.withColumn("score", F.col("log_weight") + gumbel(F.col("row")[id_col]))
 
 
@@ -162,31 +153,12 @@ def kth_greatest(scored: DataFrame, k: int, column: str = "score", bins: int = 4
     return low
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, good_weight: float = GOOD_WEIGHT) -> float:
-    """The level between two labelled scores at which fewest good (times ``good_weight``) and bad documents are on the wrong side."""
-    if not len(scores) or good.all() or not good.any():
-        return -np.inf
-    order = np.argsort(scores, kind="stable")
-    s, g = scores[order], good[order]
-    lost = np.r_[0, np.cumsum(g) * good_weight]
-    kept = np.r_[np.cumsum((~g)[::-1])[::-1], 0]
-    cost = lost + kept
-    cost[1:-1][s[1:] == s[:-1]] = np.inf
-    at = int(np.argmin(cost))
-    if at == 0:
-        return -np.inf
-    return float(np.inf) if at == len(s) else float((s[at - 1] + s[at]) / 2)
-
-
-def labelled_level(docs: DataFrame, local: DataFrame, without: list[np.ndarray]) -> float:
-    """The level between labelled good and bad documents, each scored by the model fitted without its fold."""
-    known = docs.select("doc_id", "text").join(F.broadcast(local), "doc_id").select("doc_id", "text", "good", "fold")
-    parts = [weigh(known.filter(F.col("fold") == n), ratio).select(F.col("row.good").alias("good"), "score") for n, ratio in enumerate(without)]
-    seen = parts[0]
-    for part in parts[1:]:
-        seen = seen.unionByName(part)
-    seen = seen.select("score", "good").toArrow()
-    return calibrate(seen.column(0).to_numpy(), seen.column(1).to_numpy(zero_copy_only=False).astype(bool))
+def size_of_sample(documents: int, labelled: int, good: int, spare: float = SPARE) -> int:
+    """k for so many documents, from the labelled share of good ones; all where no or only good rows are labelled, or none is good."""
+    if not 0 < good < labelled:
+        return documents
+    share = good / labelled
+    return min(documents, math.ceil(documents * (share + spare * math.sqrt(share * (1 - share) / labelled))))
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, carried: list[str] | None = None, buckets: int = BUCKETS, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
@@ -199,24 +171,20 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, carried:
     names, are carried through.
     """
     sample = sampled_labels(labels, labelled_rows)
-    ids = sample.toArrow()
-    local = docs.sparkSession.createDataFrame(ids).toDF("doc_id", "good", "fold") if ids.num_rows else sample
-    ratio, without = fit(docs, local, buckets)
-    # Scored once: the level, k and the choice all read this table.
+    known = sample.toArrow()
+    local = docs.sparkSession.createDataFrame(known).toDF("doc_id", "good") if known.num_rows else sample
+    ratio = fit(docs, local, buckets)
+    # Scored once: the k-th greatest score and the choice read this table.
     scored = materialise(weigh(docs, ratio, carried), "weighed")
     if k is None:
-        reached = F.col("score") >= F.lit(labelled_level(docs, local, without))
-        size = scored.agg(F.count_if(reached).alias("k"), F.min(F.when(reached, F.col("score"))).alias("least")).first()
-        k, least = size.k, np.inf if size.least is None else size.least
-    else:
-        least = kth_greatest(scored, k)
-    return scored.withColumns({"k": F.lit(k).cast("long"), "kept": F.col("score") >= F.lit(float(least))})
+        k = size_of_sample(scored.count(), known.num_rows, sum(g for g in known.column(1).to_pylist() if g))
+    return scored.withColumns({"k": F.lit(k).cast("long"), "kept": F.col("score") >= F.lit(float(kth_greatest(scored, k)))})
 
 
 def keep(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """The documents that the resampling keeps, with their own columns."""
     kept = resample(docs, labels, k).filter("kept")
-    return kept.select([F.col("row")[c].alias(c) for c in docs.columns])
+    return kept.select(unpacked(docs.columns))
 
 
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
