@@ -130,3 +130,23 @@ def test_dynamic_programs_against_all_segmentations():
     for n in range(len(segments.found)):
         assert abs(chances[n] - sum(math.exp(value(c)) for c in every if n in c) / whole) < 1e-9
     assert abs(sum(map(sum, expected)) - sum(math.exp(value(c)) * len(c) for c in every) / whole) < 1e-9
+
+
+def test_numbers_and_prose_of_other_kinds_stay_clean():
+    weights = dict(pii.train())
+    for text in (
+        "ISBN 978-0-306-40615-7", "see ISBN 0-306-40615-2 for more", "ISBN-13: 978-3-161-48410-0", "invoice INV-20240031", "invoice 2024-031-5512", "order 114-3941689-8772232 came",
+        "mail me at home dot com", "write us at noon dot", "they were at rest dot and", "ISSN 2049-3630", "part no 555-010-9921"):
+        assert pii.all_spans(text, weights)[1] == [], text
+    for text in ("call (743) 555-3824", "mail bob at example dot com now", "phone 743-555-3824", "ip 10 . 0 . 0 . 7"):
+        assert len(pii.all_spans(text, weights)[1]) == 1, text
+
+
+def test_spans_added_in_the_corpus_are_shaped_like_personal_data(spark, sf_dir):
+    """Precision outside the generator: what the model adds to the base spans of ``documents``."""
+    weights, added = dict(pii.train()), []
+    for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("text").collect():
+        base, spans = pii.all_spans(r.text or "", weights)
+        added += [(k, r.text[a:b]) for k, a, b in spans if (k, a, b) not in set(base)]
+    good = [pii.luhn(pii.digits_of(t)) if k == "card" else 7 <= len(pii.digits_of(t)) <= 15 if k == "phone" else True for k, t in added]
+    assert not added or sum(good) >= 0.9 * len(good)

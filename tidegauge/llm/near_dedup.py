@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import map_arrow, materialise, slices, text_or_empty
+from tidegauge.llm.common import map_arrow, materialise, packed, ref, slices, text_or_empty, unpacked
 from tidegauge.llm.simhash import BkTree, Fingerprints, Forest, block_pairs, components, mix
 
 SHINGLE = 5
@@ -187,16 +187,15 @@ def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, least: float = LEA
     text: of rows that repeat both one stays, and of different texts with one
     id each is kept or removed by its own group.
     """
-    key = F.xxhash64(text_or_empty("text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("tk"), text_or_empty("text").alias("text"))
-    groups = materialise(near_duplicates(rows, shingle, least, hot_shard).filter("doc_id IS NOT NULL"), "groups")
+    rows = docs.select(packed(docs.columns).alias("row"), ref("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty("text")).alias("tk"))
+    texts = docs.select(ref("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty("text")).alias("tk"), text_or_empty("text").alias("text"))
+    groups = materialise(near_duplicates(texts, shingle, least, hot_shard).filter("doc_id IS NOT NULL"), "groups")
     first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "tk")).alias("first"))
-    lost = groups.join(first.hint("merge"), "component").filter("doc_id <> first.doc_id OR tk <> first.tk").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"))
-    repeated = groups.groupBy("doc_id", "tk").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"))
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (key == F.col("_tk"))
+    lost = groups.join(first.hint("merge"), "component").filter("doc_id <> first.doc_id OR tk <> first.tk").select("doc_id", "tk")
+    repeated = groups.groupBy("doc_id", "tk").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "tk")
     # A merge join at every size: the list of lost rows grows with the corpus, so it is not broadcast.
-    kept = docs.join(lost.distinct().hint("merge"), same, "left_anti").select(docs.columns)
+    kept = rows.join(lost.distinct().hint("merge"), ["doc_id", "tk"], "left_anti")
     if repeated.take(1):
-        once = kept.join(repeated, same, "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).select(docs.columns)
-        kept = kept.join(repeated, same, "left_anti").select(docs.columns).unionByName(once)
-    return kept
+        once = kept.join(repeated, ["doc_id", "tk"], "left_semi").dropDuplicates(["doc_id", "tk"])
+        kept = kept.join(repeated, ["doc_id", "tk"], "left_anti").unionByName(once.select(kept.columns))
+    return kept.select(unpacked(docs.columns))

@@ -28,8 +28,9 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from tidegauge.llm.common import map_arrow, slices, table, text_or_empty
+from tidegauge.llm.common import map_arrow, packed, ref, slices, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: The state of a segmentation: the kind of its last entity so far, at first none.
@@ -126,7 +127,10 @@ _CUES = {
     "ip": {"ip", "host", "server", "addr", "address", "node", "from"},
     "email": {"mail", "email", "contact", "write", "reach"},
 }
-_CUE_OF = {w: k for k, ws in _CUES.items() for w in ws}
+#: Words that announce a number of another kind, and words that stand before "at" in prose.
+_OTHER_CUES = {"isbn", "issn", "invoice", "order", "ref", "reference", "no", "serial", "sku", "po", "part", "version", "ticket"}
+_PROSE = {"me", "us", "you", "him", "her", "them", "it", "is", "are", "was", "were", "be", "here", "there", "look", "looking", "meet", "stay", "arrive", "and", "or", "not", "only", "just", "all", "one"}
+_CUE_OF = {w: k for k, ws in _CUES.items() for w in ws} | dict.fromkeys(_OTHER_CUES, "other")
 _ATS = {"@", "at"}
 
 
@@ -170,7 +174,7 @@ def segment_features(kind: str, span: str, before: str, after: str, cue: str | N
         labels = [x for x in re.split(r"\s*[(\[{]?\s*(?:\bdot\b|\.)\s*[)\]}]?\s*", host)]
         tidy = len(labels) > 1 and all(re.fullmatch(r"[a-z0-9-]+", x) for x in labels)
         out += [f"labels:{min(len(labels), 4)}", f"tidy:{tidy}", f"top:{tidy and labels[-1].isalpha() and 2 <= len(labels[-1]) <= 6}",
-                f"local:{bool(re.fullmatch(r'[a-z0-9._%+-]+', parts[0]))}", f"how:{'@' if '@' in span else 'b' if re.search(r'[(\[{]', span) else 'w'}",
+                f"local:{bool(re.fullmatch(r'[a-z0-9._%+-]+', parts[0]))}", f"prose:{' ' in span and parts[0] in _PROSE}", f"how:{'@' if '@' in span else 'b' if re.search(r'[(\[{]', span) else 'w'}",
                 f"dots:{bool(re.search(r'dot', host))}", f"spaced:{' ' in span}"]
     else:
         out += [f"n:{_bucket(len(digits))}", f"groups:{min(len(groups), 6)}", f"marks:{marks[:4]}", f"sizes:{sizes}", f"open:{span[0] if not span[0].isdigit() else 'd'}",
@@ -355,6 +359,16 @@ def sentence(r: random.Random) -> tuple[str, list[Span]]:
             y, m, d = r.randint(1900, 2040), r.randint(10, 12), r.randint(10, 28)
             other = lambda: next(x for x in iter(lambda: _number(r, r.choice([13, 15, 16])), "") if not luhn(x))
             o = other()
+            if r.random() < 0.4:
+                # A number of another kind after a word that says so, or prose with "at" and "dot".
+                isbn = f"{n(1)}-{n(r.choice([2, 3]))}-{n(r.choice([5, 6]))}-{n(1)}"
+                decoy = r.choice([
+                    f"ISBN {isbn}", f"ISBN 978-{isbn}", f"ISBN-13: 978-{n(1)}-{n(3)}-{n(5)}-{n(1)}", f"ISBN-10 {isbn}", f"ISSN {n(4)}-{n(4)}", f"{r.choice(['invoice', 'order', 'ref', 'ticket', 'PO', 'serial'])} {r.choice(['', '#', 'no ', 'INV-'])}{n(r.choice([7, 8, 10, 13]))}",
+                    f"invoice {y}-{n(3)}-{n(4)}", f"order {n(3)}-{n(7)}-{n(7)}", f"part no {n(3)}-{n(3)}-{n(4)}", f"serial {n(4)}-{n(4)}-{n(4)}-{n(4)}",
+                    f"{_word(r)} {r.choice(sorted(_PROSE))} at {_word(r)} dot {r.choice(['com', 'org', _word(r)])}", f"{r.choice(['mail', 'write', 'reach', 'call'])} {r.choice(sorted(_PROSE))} at {_word(r)} dot com",
+                ])
+                parts.append((decoy, None))
+                continue
             parts.append((r.choice([
                 f"{y}-{m}-{d}", f"{d}/{m}/{y}", f"{d}.{m}.{y}", f"{y}-{m}-{d} 12:30:45", f"{m}:{d}:59", n(7), n(8), n(9), n(10), n(11), n(12), n(6), f"{y}-{y + 5}", f"{n(1)},{n(3)},{n(3)}", f"${n(3)}.{n(2)}",
                 f"{n(1)}.{n(1)}.{n(1)}", f"{n(3)} {n(3)}", f"{n(2)} {n(2)} {n(2)} {n(2)}", o, ".".join(o[i : i + 4] for i in range(0, len(o), 4)), " ".join(o[i : i + 4] for i in range(0, len(o), 4)),
@@ -477,12 +491,12 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "masked"])
 
     others = [c for c in docs.columns if c != text_col]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(1).alias("none")]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    masked = map_arrow(packed, run, f"row {packed.schema['row'].dataType.simpleString()}, masked string")
+    rows = docs.select(packed(others).alias("row"), ref(text_col).alias("text"))
+    masked = map_arrow(rows, run, StructType([rows.schema["row"], StructField("masked", StringType())]))
     changed = {text_col: F.col("masked").cast(field.dataType)}
     if length_col in docs.columns:
         changed[length_col] = F.length("masked").cast(docs.schema[length_col].dataType)
-    return masked.select([changed.get(c, F.col("row")[c] if c in others else None).alias(c) for c in docs.columns])
+    return masked.select([changed[c].alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op1_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
