@@ -1,4 +1,4 @@
-"""Operating regimes: an ordered rule list and recent shares; ``replay.settled`` has the hysteresis."""
+"""Operating regimes: an ordered rule list and recent shares; ``scan.settled`` has the hysteresis."""
 
 from __future__ import annotations
 

@@ -62,6 +62,33 @@ class RecursiveLeastSquares:
         return other
 
 
+class Standardiser:
+    """Means and deviations of the first ``warmup`` inputs, by which later ones are scaled and held within ``limit``; the intercept stays."""
+
+    def __init__(self, d: int, warmup: int = 120, limit: float = 8.0):
+        self.warmup, self.limit, self.n = max(warmup, 2), limit, 0
+        self.mean, self.square = np.zeros(d), np.zeros(d)
+
+    @property
+    def ready(self) -> bool:
+        return self.n >= self.warmup
+
+    def step(self, x: np.ndarray) -> None:
+        """Take in an input; after the warm-up nothing changes any more."""
+        if self.ready or not np.isfinite(x).all():
+            return
+        self.n += 1
+        apart = x - self.mean
+        self.mean = self.mean + apart / self.n
+        self.square = self.square + apart * (x - self.mean)
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        deviation = np.sqrt(self.square / (self.n - 1))
+        out = np.clip((x - self.mean) / np.where(deviation > 1e-6, deviation, 1.0), -self.limit, self.limit)
+        out[0] = x[0]
+        return out
+
+
 class AdaptiveInterval:
     """Width of an interval from a pool of absolute errors, its share corrected after each outcome."""
 
@@ -90,7 +117,7 @@ class Reference:
         self.restart()
 
     def restart(self) -> None:
-        self.n, self.mean, self.square, self.ready = 0, 0.0, 0.0, False
+        self.n, self.mean, self.square, self.ready, self.deviation = 0, 0.0, 0.0, False, None
 
     def step(self, x: float) -> float | None:
         if self.ready:
@@ -249,13 +276,17 @@ class ScopeLearner:
     draws a prediction back where the model knows little; with ``baselines``
     (places of the baselines' inputs) and ``correct_only`` it leaves the
     intercept and those inputs alone. ``reason`` tells why the last adaptation
-    ended as it did, ``trigger`` what set it off.
+    ended as it did, ``trigger`` what set it off, ``log`` what the gate saw.
+
+    With ``warmup`` the first so many inputs only set the scale of the model's
+    inputs (the baselines' stay as they are); there is no forecast before.
     """
 
     def __init__(self, d: int, scope: str, every: int = 240, gate: int = 120, least_updates: int = 20, ridge: float = 1.0, forgetting: float = 0.999, gated: bool = True,
                  frozen_after: float = math.inf, trust: float = 3.0, reservoir_share: float = 0.25, lo: float = -math.inf, hi: float = math.inf,
                  policies: tuple[str, ...] = ("periodic_samples", "drift"), seconds: float = 900.0, budget: float = 400.0, gate_least: int | None = None, tolerance: float = 0.0, reject_ratio: float = 1.15,
-                 per_regime: bool = False, baselines: tuple[int, ...] = (), correct_only: bool = False):
+                 per_regime: bool = False, baselines: tuple[int, ...] = (), correct_only: bool = False, warmup: int = 0):
+        self.scale = Standardiser(d, warmup) if warmup else None
         self.models, self.buffer = {"*": RecursiveLeastSquares(d, ridge, forgetting)}, Buffer(seed=scope_seed(scope))
         self.every, self.gate_n, self.least, self.gated = every, gate, least_updates, gated
         self.frozen_after, self.trust, self.share, self.lo, self.hi = frozen_after, trust, reservoir_share, lo, hi
@@ -272,6 +303,7 @@ class ScopeLearner:
         self.drifted = False
         self.errors, self.adapted_at = 0.0, None
         self.reason = self.trigger = self.floor = None
+        self.log: dict = {}
 
     @property
     def model(self) -> RecursiveLeastSquares:
@@ -280,8 +312,15 @@ class ScopeLearner:
     def _key(self, e: dict) -> str:
         return (e.get("regime") or "*") if self.per_regime else "*"
 
+    def _inputs(self, e: dict) -> np.ndarray:
+        if self.scale is None or not self.scale.ready:
+            return e["x"]
+        x = self.scale.scaled(e["x"])
+        x[self.baselines] = e["x"][self.baselines]
+        return x
+
     def _value(self, models: dict, e: dict) -> float:
-        x = e["x"]
+        x = self._inputs(e)
         model = models.get(self._key(e)) or models["*"]
         y = model.predict(x)
         if len(self.spreads) >= 20:
@@ -296,13 +335,17 @@ class ScopeLearner:
 
     def predict(self, e: dict) -> tuple[float, float | None] | None:
         """(value, half width) or nothing while too little has been learned."""
-        if self.model.updates < self.least:
+        if self.model.updates < self.least or self.scale is not None and not self.scale.ready:
             return None
         return self._value(self.models, e), self.interval.width()
 
     def outcome(self, e: dict, predicted: tuple[float, float | None] | None, ts: float) -> str | None:
         """Take in an outcome; gives the decision of an adaptation that it set off."""
         self.reason = self.trigger = None
+        self.log = {}
+        if self.scale is not None and not self.scale.ready:
+            self.scale.step(e["x"])
+            return None
         if predicted is not None:
             error = abs(predicted[0] - e["actual"])
             self.interval.step(error, None if predicted[1] is None else error <= predicted[1])
@@ -314,12 +357,14 @@ class ScopeLearner:
             return None
         if self.before_mae is not None and len(self.watch) >= 120:
             live = float(np.mean(self.watch))
+            self.log = {"gate_n": len(self.watch), "before": self.before_mae, "after": live, "n_train": 0}
             worse, self.before_mae, self.watch = live > 1.25 * self.before_mae, None, []
             if worse and self.parent is not None:
                 self.models, self.buffer.absorbed = self.parent
                 self.parent = None
                 self.reason = "live_error_regressed"
                 return "rolled_back"
+            self.log = {}
         if self.model.updates < self.least:
             # Until the first model stands every outcome is learned at once.
             self._learn(self.models, [e])
@@ -340,8 +385,9 @@ class ScopeLearner:
             if key not in models:
                 models[key] = models["*"].copy()
             model = models[key]
-            self.spreads.append(model.spread(e["x"]))
-            model.step(e["x"], min(max((e["actual"] - e["anchor"]) / max(e["vol"], 1e-9), -8.0), 8.0))
+            x = self._inputs(e)
+            self.spreads.append(model.spread(x))
+            model.step(x, min(max((e["actual"] - e["anchor"]) / max(e["vol"], 1e-9), -8.0), 8.0))
 
     def _mae(self, models: dict, rows: list[dict]) -> float:
         errors = [abs(self._value(models, e) - e["actual"]) for e in rows]
@@ -360,6 +406,9 @@ class ScopeLearner:
 
     def _adapt(self, ts: float) -> str:
         gate = self.buffer.gate(self.gate_n) if self.gated else []
+        self.log = {"gate_n": len(gate), "before": None, "after": None, "n_train": 0}
+        if not self.buffer.seen:
+            return self._skip("no_training_examples")
         if self.gated and len(gate) < self.gate_least:
             return self._skip("insufficient_gate_samples")
         batch, mark = self.buffer.draw(max(self.gate_n, self.every), self.share, gate[0]["ts_target"] if gate else math.inf)
@@ -370,6 +419,7 @@ class ScopeLearner:
         self.since, self.drifted, self.errors, self.adapted_at = 0, False, 0.0, ts
         self.floor = self._floor(gate)
         promote, self.reason, live = self._judge(candidate, gate)
+        self.log |= {"before": live, "n_train": len(batch)}
         if not promote:
             return "rejected"
         self.before_mae, self.watch = live, []
@@ -383,6 +433,7 @@ class ScopeLearner:
         if not self.gated:
             return True, "gate_disabled", None
         new, live = self._mae(candidate, gate), self._mae(self.models, gate)
+        self.log["after"] = new if math.isfinite(new) else None
         if not math.isfinite(new):
             return False, "candidate_non_finite", live
         if new > live * self.reject_ratio:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidegauge.plans import reporting, sequential, serving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**serving.QUERIES, **sequential.QUERIES}
-SQL: dict[str, str] = {**serving.SQL}
+SQL: dict[str, str] = {**serving.SQL, **sequential.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

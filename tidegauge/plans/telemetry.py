@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions.exprs import rounded
-from tidegauge.operators import baselines, features, quality, regime, replay
+from tidegauge.operators import baselines, features, quality, regime, replay, scan
 from tidegauge.sources.readings import READINGS_SQL, readings, ticks, ticks_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,12 +258,16 @@ SETTLED_SQL = settled_sql("'all'")
 
 def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run, k, raw, regime) of every tick, those without a label too; all ticks are one run."""
-    return replay.settled(raw_regimes(spark, sf_dir).withColumn("run", F.lit("all")))
+    return scan.settled(raw_regimes(spark, sf_dir).withColumn("run", F.lit("all")))
+
+
+#: Ticks of a block in ``regime_hysteresis``: few, so that the small tables have several blocks too.
+TICKS_A_BLOCK = 256
 
 
 @query("regime_hysteresis", f"WITH RECURSIVE {SETTLED_SQL} SELECT k, raw, regime FROM settled")
 def regime_hysteresis(spark, sf_dir):
-    return settled(spark, sf_dir).select("k", "raw", "regime")
+    return scan.settled(raw_regimes(spark, sf_dir).withColumn("run", F.lit("all")), block_rows=TICKS_A_BLOCK).select("k", "raw", "regime")
 
 
 @query("regime_hysteresis_keyed", f"WITH RECURSIVE {settled_sql('CAST(k // 168 AS VARCHAR)')} SELECT run, k, raw, regime FROM settled")

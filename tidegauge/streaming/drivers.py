@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -10,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidegauge.operators import states
 from tidegauge.operators.sequential import Cooldown, PageHinkley
 from tidegauge.session import ship
 
 
-def stepped(rows: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], make: Callable[[tuple], object], step: Callable[[object, dict], tuple], schema: str) -> DataFrame:
-    """The streaming form of ``operators.replay.stepped``: a key's kernel is its state.
+def stepped(rows: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], make: Callable[[tuple], Sequence], step: Callable[[Sequence, dict], tuple], schema: str) -> DataFrame:
+    """The streaming form of ``operators.replay.stepped``: a key's kernels are its state, stored as text by ``operators.states``.
 
     Rows of one micro-batch are taken in ``order``; rows that come in a later
     one are taken later, so results equal the batch form's where arrival
@@ -24,14 +24,14 @@ def stepped(rows: DataFrame, keys: Sequence[str], order: str, columns: Sequence[
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kernel = pickle.loads(state.get[0]) if state.exists else make(key)
+        kernel = list(states.decode(state.get[0])) if state.exists else list(make(key))
         frame = pd.concat(list(frames)).sort_values(order, kind="stable")
         out = [(*key, *(row[c] for c in columns), *step(kernel, row)) for row in frame.to_dict("records")]
-        state.update((pickle.dumps(kernel),))
+        state.update((states.encode(kernel),))
         yield pd.DataFrame(out, columns=names)
 
     ship(rows.sparkSession)
-    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "kernel binary", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "kernel string", "append", GroupStateTimeout.NoTimeout)
 
 
 def drift(errors: DataFrame, key: str = "signal", order: str = "ts_target", value: str = "abs_error", cooldown: float = 300.0) -> DataFrame:
