@@ -172,3 +172,40 @@ def test_a_covariance_scaled_back_is_replayed(spark):
     got, rounds = scan.online_regression(df, ("one", "a"), "y", forgetting=0.95, block_rows=60)
     got = {x.ts_target: x.predicted for x in got.collect()}
     assert rounds > 1 and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
+def test_hulls_tell_the_greatest_rise_at_any_level():
+    r = random.Random(4)
+    for n in (1, 2, 3, 17, 100):
+        values = [r.gauss(1, 2) for _ in range(n)]
+        begins, ends, runs, count, total = scan.runs_hull(values)
+        assert count == n and abs(total - sum(values)) < 1e-9
+        for c in (-3.0, 0.0, 0.9, 1.0, 1.3, 4.0):
+            most = lambda h: max(y - c * x for x, y in h)  # noqa: B023, E731
+            moved = [v - c for v in values]
+            assert abs(most(begins) - max(sum(moved[: i + 1]) for i in range(n))) < 1e-9
+            assert abs(most(ends) - max(sum(moved[i:]) for i in range(n))) < 1e-9
+            assert abs(most(runs) - max(sum(moved[i : j + 1]) for i in range(n) for j in range(i, n))) < 1e-9
+
+
+@pytest.mark.parametrize(("shift", "block_rows", "most"), [(0, 100, 3), (0, 700, 3), (9, 100, 12), (4, 61, 12)])
+def test_page_hinkley_in_blocks(spark, shift, block_rows, most):
+    """Quiet noise takes a round after the warm-up's; shifts take more, and what is open at last is streamed."""
+    r = random.Random(shift)
+    values = {s: [abs(r.gauss(5, 1)) + shift * (i // 333 % 2) for i in range(1_500)] for s in ("a", "b")}
+    df = spark.createDataFrame([(s, float(i), v) for s, vs in values.items() for i, v in enumerate(vs)], "signal string, ts_target double, abs_error double")
+    want = {(x.signal, x.ts_target): (x.statistic, x.alarm, x.event) for x in replay.drift(df, "page_hinkley").collect()}
+    found, rounds = scan.drift(df, block_rows=block_rows)
+    got = {(x.signal, x.ts_target): (x.statistic, x.alarm, x.event) for x in found.collect()}
+    assert found.count() == len(want) and rounds <= most
+    assert all(abs(got[k][0] - want[k][0]) < 1e-6 and got[k][1:] == want[k][1:] for k in want)
+    assert (shift > 0) == any(w[1] for w in want.values())
+
+
+def test_what_is_open_after_the_last_round_is_streamed(spark, monkeypatch):
+    monkeypatch.setattr(scan, "MOST_ROUNDS", 2)
+    r = random.Random(1)
+    df = spark.createDataFrame([("s", float(i), abs(r.gauss(5, 1)) + 9 * (i // 150 % 2)) for i in range(1_200)], "signal string, ts_target double, abs_error double")
+    want = sorted((x.ts_target, round(x.statistic, 6), x.alarm) for x in replay.drift(df, "page_hinkley").collect())
+    found, rounds = scan.drift(df, block_rows=100)
+    assert rounds == 2 and sorted((x.ts_target, round(x.statistic, 6), x.alarm) for x in found.collect()) == want

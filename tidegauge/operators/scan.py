@@ -6,10 +6,12 @@ blocks' summaries, one row a block, gives each block its starting state, and
 then every block is replayed from it in a task of its own.
 
 Where a summary leaves something out (``RlsScan``: that the covariance was
-scaled back), a block ends in another state than the next one was started from.
-Then the blocks after it are replayed once more, from the state that it really
-reached, until every start is the end before it: results never rest on a guess,
-and each round settles at least one more block.
+scaled back; ``PageHinkleyScan``: where in its block an alarm began afresh), a
+block ends in another state than the next one was started from. Then the fold is
+made again from the state that it really reached, and the blocks whose start
+that changes are replayed once more, until every start is the end before it:
+results never rest on a guess, and each round settles at least one more block.
+What is still open after ``MOST_ROUNDS`` is replayed in one stream a key.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import blocks
 from tidegauge.operators import replay, states
-from tidegauge.operators.sequential import Hysteresis, RecursiveLeastSquares
+from tidegauge.operators.sequential import Cooldown, Hysteresis, PageHinkley, RecursiveLeastSquares
 from tidegauge.session import materialised, ship
 
 BLOCK_ROWS = 8_192
+MOST_ROUNDS = 12
 
 
 class HysteresisScan:
@@ -103,6 +106,97 @@ class RlsScan:
         return a.updates == b.updates and close(a.p, b.p) and np.abs(a.w - b.w).max() <= 1e-9 * max(np.abs(a.w).max(), 1.0)
 
 
+Points = list[tuple[int, float]]
+
+
+def upper_hull(points: Points) -> Points:
+    """The points (x, y) that are greatest in y - c * x for some c, by x."""
+    best: dict[int, float] = {}
+    for x, y in points:
+        if y > best.get(x, -np.inf):
+            best[x] = y
+    out: Points = []
+    for x, y in sorted(best.items()):
+        while len(out) > 1 and (out[-1][1] - out[-2][1]) * (x - out[-1][0]) <= (y - out[-1][1]) * (out[-1][0] - out[-2][0]):
+            out.pop()
+        out.append((x, y))
+    return out
+
+
+def hull_sum(a: Points, b: Points) -> Points:
+    """The hull of all sums of a point of one hull and one of the other: their edges in the order of slope."""
+    out, i, j = [(a[0][0] + b[0][0], a[0][1] + b[0][1])], 0, 0
+    while i + 1 < len(a) or j + 1 < len(b):
+        rise = lambda h, n: (h[n + 1][1] - h[n][1]) / (h[n + 1][0] - h[n][0]) if n + 1 < len(h) else -np.inf
+        if rise(a, i) >= rise(b, j):
+            i += 1
+        else:
+            j += 1
+        out.append((a[i][0] + b[j][0], a[i][1] + b[j][1]))
+    return out
+
+
+def runs_hull(values: list[float]) -> tuple[Points, Points, Points, int, float]:
+    """Hulls over (length, sum): of the beginnings, of the ends and of all runs of ``values``; their number and sum.
+
+    For every level c at once they tell the greatest sum of value - c: of a run
+    across the middle it is an end of the left half and a beginning of the right.
+    """
+    if len(values) == 1:
+        one = [(1, values[0])]
+        return one, one, one, 1, values[0]
+    left, right = runs_hull(values[: len(values) // 2]), runs_hull(values[len(values) // 2 :])
+    moved = lambda h, n, total: [(x + n, y + total) for x, y in h]
+    begins = upper_hull(left[0] + moved(right[0], left[3], left[4]))
+    ends = upper_hull(right[1] + moved(left[1], right[3], right[4]))
+    return begins, ends, upper_hull(left[2] + right[2] + hull_sum(left[1], right[0])), left[3] + right[3], left[4] + right[4]
+
+
+class PageHinkleyScan:
+    """A block as what its sums can do, for any reference: the hulls of its beginnings and of its runs.
+
+    With a ready reference of mean m and deviation s the detector adds
+    (x - c) / s, c = m + delta * s, so that the hulls give the sum's end, its
+    least and its greatest rise at any c, and whether the block has an alarm. A
+    block with an alarm or a warm-up ends in a state that depends on where that
+    is; the guess is the state of a run that begins afresh with the block.
+    """
+
+    def __init__(self, value: str, make: Callable[[], tuple], order: str):
+        self.value, self.make, self.order = value, make, order
+
+    def summary(self, rows: list[dict]) -> str:
+        values = [float(r[self.value]) for r in rows]
+        begins, _, runs, n, total = runs_hull(values)
+        lowest = [(x, -y) for x, y in runs_hull([-v for v in values])[0]]
+        fresh = self.make()
+        for r, v in zip(rows, values, strict=True):
+            if fresh[0].step(v)[0]:
+                fresh[1].step("error", r[self.order])
+        return json.dumps({"n": n, "total": total, "begins": begins, "lowest": lowest, "runs": runs, "fresh": states.encode(fresh)})
+
+    def advance(self, state: tuple, summary: str) -> tuple:
+        found = json.loads(summary)
+        detector, cooldown = state
+        reference = detector.reference
+        if reference.ready:
+            c = reference.mean + detector.delta * reference.deviation
+            most = lambda h: max(y - c * x for x, y in h) / reference.deviation
+            if max(most(found["runs"]), detector.sum - detector.least + most(found["begins"])) <= detector.threshold:
+                out, cool = states.decode(states.encode((detector, cooldown)))
+                low = min(y - c * x for x, y in found["lowest"]) / reference.deviation
+                out.least = min(detector.least, detector.sum + low)
+                out.sum = detector.sum + (found["total"] - c * found["n"]) / reference.deviation
+                return out, cool
+        return states.decode(found["fresh"])
+
+    def same(self, a: tuple, b: tuple) -> bool:
+        close = lambda u, v: u == v or u is not None and v is not None and abs(u - v) <= 1e-8 * max(1.0, abs(u))
+        one, two = a[0], b[0]
+        parts = lambda d: (d.sum, d.least, d.reference.n, d.reference.mean, d.reference.square, d.reference.deviation)
+        return one.reference.ready == two.reference.ready and all(map(close, parts(one), parts(two))) and a[1].last == b[1].last
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[tuple, Iterator[dict]]]:
     from itertools import groupby
 
@@ -161,25 +255,34 @@ def scanned(
                 yield (*k, after["_part"], one["ended"])
                 return
 
-    spark, found, todo, rounds = rows.sparkSession, None, placed, 0
+    spark, rounds, tried, ends, found = rows.sparkSession, 0, None, None, []
     known = spark.createDataFrame([], f"{key} string, _part long, known string")
     out_schema = schema.replace(f"{key} string", f"{key} string, _part long", 1)
     names = [x.split()[0] for x in schema.split(", ")]
     while True:
         rounds += 1
         starts = materialised(_per_key(_met(summaries, known, key, "left"), [key], ["_part"], fold, f"{key} string, _part long, state string"), "scan-starts")
-        at = _met(starts, todo.select(*by).distinct(), key, "left_semi")
-        done, ends, _ = replay.resumable(todo, by, order, columns, lambda k: make(k[:1]), step, out_schema, start=at)
+        changed = starts if tried is None else _met(starts, tried.withColumnRenamed("state", "old"), key, "inner").filter("state <> old").drop("old")
+        tried = starts
+        done, after, _ = replay.resumable(_met(placed, changed.select(*by), key, "left_semi"), by, order, columns, lambda k: make(k[:1]), step, out_schema, start=changed)
+        found.append((done, changed.select(*by)))
+        ends = after if ends is None else materialised(_met(ends, changed.select(*by), key, "left_anti").unionByName(after), "scan-ends")
         both = _met(starts, ends.withColumnRenamed("state", "ended"), key, "inner")
         wrong = materialised(_per_key(both, [key], ["_part"], first_wrong, f"{key} string, _part long, known string"), "scan-wrong")
-        open_from = wrong.select(F.col(key).alias("_key"), F.col("_part").alias("_from"))
-        later = (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_part") >= F.col("_from"))
-        settled = done.join(open_from, later, "left_anti").select(names)
-        found = settled if found is None else found.unionByName(settled)
         if not wrong.take(1):
-            return found, rounds
-        todo = todo.join(open_from, later, "left_semi")
+            break
+        if rounds == MOST_ROUNDS:
+            first = wrong.select(F.col(key).alias("_key"), F.col("_part").alias("_from"))
+            later = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") >= F.col("_from"))
+            rest, _, _ = replay.resumable(placed.join(first, later, "left_semi"), [key], order, ["_part", *columns], make, step, out_schema, start=wrong.withColumnRenamed("known", "state"))
+            found.append((rest, placed.join(first, later, "left_semi").select(*by).distinct()))
+            break
         known = materialised(known.unionByName(wrong), "scan-known")
+    # Of each block the rows of its last replay.
+    out, newer = found[-1]
+    for rows_, mine in reversed(found[:-1]):
+        out, newer = out.unionByName(_met(rows_, newer, key, "left_anti")), newer.unionByName(mine)
+    return out.select(names), rounds
 
 
 def settled(rows: DataFrame, key: str = "run", order: str = "k", raw: str = "raw", needed: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -192,3 +295,15 @@ def online_regression(examples: DataFrame, x: Sequence[str], y: str, key: str =
     """``replay.online_regression`` with a long scope in many tasks, equal within rounding; and the number of rounds."""
     rows, _, by, columns, make, step, schema = replay._regression(examples, x, y, key, order, ridge, forgetting)
     return scanned(rows, key, by, columns, RlsScan(x, y, forgetting), make, step, schema, block_rows)
+
+
+def drift(errors: DataFrame, key: str = "signal", order: str = "ts_target", value: str = "abs_error", cooldown: float = 300.0, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
+    """``replay.drift`` by Page-Hinkley with a long scope in many tasks; and the number of rounds."""
+    make = lambda *_: (PageHinkley(), Cooldown(cooldown))
+
+    def step(state: tuple, row: dict) -> tuple:
+        alarm, statistic = state[0].step(row[value])
+        return statistic, alarm, alarm and state[1].step("error", row[order])
+
+    schema = f"{key} string, {order} double, statistic double, alarm boolean, event boolean"
+    return scanned(errors.select(key, order, value), key, [order], [order], PageHinkleyScan(value, make, order), make, step, schema, block_rows)

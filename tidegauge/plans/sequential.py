@@ -48,6 +48,15 @@ t(signal, n, ts_target, seen, mean, square, deviation, total, low, rise, alarm,
 SELECT signal, ts_target, round(CASE WHEN alarm THEN rise ELSE total - low END, 6) AS statistic, alarm, event FROM t WHERE n > 0"""
 
 
+#: Errors of a block in ``page_hinkley_in_blocks``.
+ERRORS_A_BLOCK = 256
+
+
+def page_hinkley_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same alarms with each scope in many tasks."""
+    return rounded(scan.drift(_errors(spark, sf_dir), block_rows=ERRORS_A_BLOCK)[0], ["statistic"])
+
+
 def drift_adwin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.drift(_errors(spark, sf_dir), "adwin")
 
@@ -179,5 +188,5 @@ def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.with_skill(reports.metrics(scored_, ["arm", "signal"]), ["signal"])
 
 
-QUERIES = {f.__name__: f for f in (streaming_page_hinkley, scenario_metrics, drift_page_hinkley, drift_adwin, drift_feature_shift, conformal_aci, rls_online, rls_in_blocks, replay_resumed, warmed_adaptation, adaptation_replay, experiment_core, gate_reasons)}
-SQL = {"streaming_page_hinkley": PAGE_HINKLEY_SQL, "drift_page_hinkley": PAGE_HINKLEY_SQL, "conformal_aci": ACI_SQL, "rls_online": RLS_SQL, "rls_in_blocks": RLS_SQL, "replay_resumed": RLS_SQL}
+QUERIES = {f.__name__: f for f in (streaming_page_hinkley, scenario_metrics, drift_page_hinkley, page_hinkley_in_blocks, drift_adwin, drift_feature_shift, conformal_aci, rls_online, rls_in_blocks, replay_resumed, warmed_adaptation, adaptation_replay, experiment_core, gate_reasons)}
+SQL = {"page_hinkley_in_blocks": PAGE_HINKLEY_SQL, "streaming_page_hinkley": PAGE_HINKLEY_SQL, "drift_page_hinkley": PAGE_HINKLEY_SQL, "conformal_aci": ACI_SQL, "rls_online": RLS_SQL, "rls_in_blocks": RLS_SQL, "replay_resumed": RLS_SQL}
