@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.exprs import rounded
 from tidegauge.operators import baselines, features, replay, reports, scan, states
-from tidegauge.plans.telemetry import BASE, EXAMPLES_SQL, examples, raw_regimes, scored
+from tidegauge.plans.telemetry import BASE, EXAMPLES_SQL, HOUR, examples, forecasts, hourly, raw_regimes, scored
 from tidegauge.session import materialised, shared_dir
 from tidegauge.sources import scenarios
-from tidegauge.streaming import drivers
+from tidegauge.sources.ledger import Ledger
+from tidegauge.streaming import drivers, resolution
 
 X = ("x_ma", "x_ewma", "x_trend")
 
@@ -176,6 +177,29 @@ def streaming_page_hinkley(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(drivers.run_once(stream, f"{root}/out", f"{root}/check"), ["statistic"])
 
 
+def resolve_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts resolved by the streaming operator, results kept by the ledger: events arrive in two parts, shuffled within a part, and the stream starts again from its checkpoint for the second."""
+    root = f"{shared_dir(spark)}/resolve-{uuid.uuid4().hex}"
+    made = forecasts(spark, sf_dir).select("signal", F.col("k").alias("id"), "ts", "ts_target")
+    rows = materialised(resolution.events(made, hourly(spark, sf_dir)), "events")
+    ends = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    ledger = Ledger(spark, f"{root}/out", {"resolved": ("signal", "id")})
+    if ends.low is None:
+        return spark.createDataFrame([], "signal string, k long, actual double, resolved_ts double")
+    # A last event, of no signal, lets the watermark pass all.
+    clock = spark.range(1).select(
+        F.timestamp_seconds(F.lit(ends.high + 30 * 86400)).alias("at"), F.lit("").alias("signal"), F.lit("clock").alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(ends.high).alias("ts"),
+        F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("ts_target"))
+    cut = (ends.low + ends.high) / 2
+    resolution.with_timers(spark)
+    for part in (rows.filter(F.col("ts") < cut), rows.filter(F.col("ts") >= cut).unionByName(clock)):
+        part.repartition(F.xxhash64("signal", "kind", "ts")).write.mode("append").parquet(f"{root}/in")
+        stream = resolution.resolve(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), HOUR, "12 hours", 60 * 86400.0)
+        query = stream.writeStream.foreachBatch(ledger.sink("resolve", lambda batch: {"resolved": batch})).option("checkpointLocation", f"{root}/check")
+        query.trigger(availableNow=True).start().awaitTermination()
+    return rounded(ledger.read("resolved").select("signal", F.col("id").alias("k"), "actual", "resolved_ts"), ["actual"])
+
+
 def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baseline accuracy on the made-up scenarios: cpu, five minutes ahead."""
     parts = [scenarios.scenario(spark, name) for name in scenarios.SCENARIOS]
@@ -188,5 +212,5 @@ def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.with_skill(reports.metrics(scored_, ["arm", "signal"]), ["signal"])
 
 
-QUERIES = {f.__name__: f for f in (streaming_page_hinkley, scenario_metrics, drift_page_hinkley, page_hinkley_in_blocks, drift_adwin, drift_feature_shift, conformal_aci, rls_online, rls_in_blocks, replay_resumed, warmed_adaptation, adaptation_replay, experiment_core, gate_reasons)}
-SQL = {"page_hinkley_in_blocks": PAGE_HINKLEY_SQL, "streaming_page_hinkley": PAGE_HINKLEY_SQL, "drift_page_hinkley": PAGE_HINKLEY_SQL, "conformal_aci": ACI_SQL, "rls_online": RLS_SQL, "rls_in_blocks": RLS_SQL, "replay_resumed": RLS_SQL}
+QUERIES = {f.__name__: f for f in (resolve_stream, streaming_page_hinkley, scenario_metrics, drift_page_hinkley, page_hinkley_in_blocks, drift_adwin, drift_feature_shift, conformal_aci, rls_online, rls_in_blocks, replay_resumed, warmed_adaptation, adaptation_replay, experiment_core, gate_reasons)}
+SQL = {"resolve_stream": f"WITH {BASE} SELECT signal, k, round(actual, 6) + 0.0 AS actual, resolved_ts FROM resolved WHERE resolved_ts IS NOT NULL", "page_hinkley_in_blocks": PAGE_HINKLEY_SQL, "streaming_page_hinkley": PAGE_HINKLEY_SQL, "drift_page_hinkley": PAGE_HINKLEY_SQL, "conformal_aci": ACI_SQL, "rls_online": RLS_SQL, "rls_in_blocks": RLS_SQL, "replay_resumed": RLS_SQL}

@@ -11,6 +11,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.sources.ledger import Ledger
+
 FORMAT = 1
 SAMPLE = "ts double, origin string, gap_s double, collect_ms double, r map<string,array<double>>"
 SPEC = "array<struct<name:string,unit:string,kind:string,lo:double,hi:double,max_rate_per_s:double,max_hold_s:double,description:string>>"
@@ -60,18 +62,23 @@ def export(samples: DataFrame, readings: DataFrame, signals: DataFrame, path: st
     write(whole.orderBy("ts", key), signals, path, notes=f"export run={run}")
 
 
+#: Tables of stored telemetry and their keys.
+STORED = {"samples": ("sample_id",), "readings": ("sample_id", "signal")}
+
+
 def load(spark: SparkSession, path: str, run: str, into: str) -> None:
-    """Append a dataset's samples and readings to the tables ``into``/samples and ``into``/readings under the name of a run."""
+    """Store a dataset's samples and readings under the name of a run. Loading a run again replaces it: its rows are there once."""
     rows, _ = read(spark, path)
     named = rows.withColumn("run", F.lit(run)).withColumn("sample_id", F.xxhash64("run", "ts", F.coalesce("origin", F.lit(""))))
-    samples = named.select("sample_id", "run", "ts", "origin", "gap_s", "collect_ms").dropDuplicates(["sample_id"])
-    samples.write.mode("append").parquet(f"{into}/samples")
-    named.filter("signal IS NOT NULL").select("sample_id", "run", "ts", "signal", "value", "quality").write.mode("append").parquet(f"{into}/readings")
+    samples = named.select("sample_id", "run", "ts", "origin", "gap_s", "collect_ms")
+    readings = named.filter("signal IS NOT NULL").select("sample_id", "run", "ts", "signal", "value", "quality")
+    Ledger(spark, into, STORED).commit(f"run {run}", {"samples": samples, "readings": readings}, replace=True)
 
 
 def stored(spark: SparkSession, into: str, run: str | None = None) -> DataFrame:
-    """(ts, origin, gap_s, collect_ms, signal, value, quality) of the tables that ``load`` appends to, as ``read`` gives them; samples without readings stay."""
-    samples, readings = spark.read.parquet(f"{into}/samples"), spark.read.parquet(f"{into}/readings").select("sample_id", "signal", "value", "quality")
+    """(ts, origin, gap_s, collect_ms, signal, value, quality) of what ``load`` has stored, as ``read`` gives them; samples without readings stay."""
+    ledger = Ledger(spark, into, STORED)
+    samples, readings = ledger.read("samples"), ledger.read("readings").select("sample_id", "signal", "value", "quality")
     part = samples if run is None else samples.filter(F.col("run") == run)
     return part.join(readings, "sample_id", "left").select("ts", "origin", "gap_s", "collect_ms", "signal", "value", "quality")
 
