@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import blocks
 from tidegauge.functions.exprs import safe_corr, slope
+from tidegauge.operators import order_stats
 from tidegauge.operators.answers import first_label
 
 
@@ -48,7 +49,7 @@ def newest_events(first: DataFrame, second: DataFrame, each: int, top: int, orde
 
 def quantiles(rows: DataFrame, value: str, by: Sequence[str], least: int = 12) -> DataFrame:
     """Median, 10th and 90th percentile by group; ``least`` rows at least."""
-    q = rows.groupBy(*by).agg(F.count(value).alias("n"), F.percentile(value, [0.1, 0.5, 0.9]).alias("q")).filter(F.col("n") >= least)
+    q = order_stats.quantiles(rows, by, value, [0.1, 0.5, 0.9], order_stats.FEW).withColumnRenamed("quantiles", "q").filter(F.col("n") >= least)
     return q.select(*by, "n", F.col("q")[0].alias("p10"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p90"))
 
 

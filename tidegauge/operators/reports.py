@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.exprs import erfc
+from tidegauge.functions.exprs import clip, erfc
+from tidegauge.operators import order_stats
+from tidegauge.session import materialised
 
 SCOPE = ("signal", "horizon")
 
@@ -17,11 +20,16 @@ def _finite_rows(rows: DataFrame) -> DataFrame:
 
 
 def metrics(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """n, mae, rmse, bias, p90 and max of the absolute error, and smape, by ``by``."""
+    """n, mae, rmse, bias, p90 and max of the absolute error, and smape, by ``by``; p90 is exact for groups of any size."""
     size = (F.abs("predicted") + F.abs("actual")) / 2
-    return _finite_rows(rows).groupBy(*by).agg(
+    # Written once: the sums and the order statistic read it.
+    held = materialised(_finite_rows(rows).select(*by, "predicted", "actual", "error", "abs_error"), "scored")
+    sums = held.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg("abs_error").alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.avg("error").alias("bias"),
-        F.percentile("abs_error", 0.9).alias("p90"), F.max("abs_error").alias("max_abs"), (100 * F.avg(F.when(size > 1e-6, F.col("abs_error") / size))).alias("smape"))
+        F.max("abs_error").alias("max_abs"), (100 * F.avg(F.when(size > 1e-6, F.col("abs_error") / size))).alias("smape"))
+    p90 = order_stats.quantiles(held, by, "abs_error", [0.9], order_stats.FEW).select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("quantiles")[0].alias("p90"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+    return sums.join(p90, same, "left").select(*by, "n", "mae", "rmse", "bias", "p90", "max_abs", "smape")
 
 
 def interval_quality(rows: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -80,7 +88,7 @@ def diebold_mariano(rows: DataFrame, arm: str, reference: str, scope: Sequence[s
 def calibration_curve(rows: DataFrame, bins: int = 5, by: Sequence[str] = ("signal",)) -> DataFrame:
     """Coverage by quantile bins of interval width (the last bin closed), compared to nine digits; nothing for groups under four rows a bin."""
     widths = rows.filter("lo IS NOT NULL AND hi IS NOT NULL AND actual IS NOT NULL").withColumn("width", F.round(F.col("hi") - F.col("lo"), 9))
-    edges = widths.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile("width", [i / bins for i in range(1, bins)]).alias("_edges")).filter(F.col("_n") >= 4 * bins)
+    edges = order_stats.quantiles(widths, by, "width", [i / bins for i in range(1, bins)], order_stats.FEW).withColumnsRenamed({"n": "_n", "quantiles": "_edges"}).filter(F.col("_n") >= 4 * bins)
     part = F.aggregate("_edges", F.lit(0), lambda s, e: s + (F.col("width") >= e).cast("int"))
     inside = ((F.col("actual") >= F.col("lo")) & (F.col("actual") <= F.col("hi"))).cast("double")
     return widths.join(edges, list(by)).groupBy(*by, part.alias("bin")).agg(F.count("*").alias("n"), F.avg("width").alias("mean_width"), F.avg(inside).alias("coverage"))
@@ -138,5 +146,5 @@ def distinct_versions(version: Column | str) -> Column:
 
 
 def clipped_interval(predicted: Column, width: Column, lo: float, hi: float) -> tuple[Column, Column]:
-    """(low, high) of an interval held within the signal's range, without leaving the forecast out."""
-    return F.least(F.greatest(predicted - width, F.lit(lo)), predicted), F.greatest(F.least(predicted + width, F.lit(hi)), predicted)
+    """(low, high) of an interval, both held within the signal's range; a forecast outside the range lies outside its interval."""
+    return clip(predicted - width, lo, hi), clip(predicted + width, lo, hi)

@@ -160,9 +160,9 @@ def model_versions_used(spark, sf_dir):
     return rows.agg(F.array_join(reports.distinct_versions("o_orderstatus"), ",").alias("versions"), F.count("*").alias("n"))
 
 
-@query("interval_clip", f"WITH {WIDTH_SQL} SELECT signal, k, round(least(greatest(predicted - width, 0.0), predicted), 6) AS lo, round(greatest(least(predicted + width, 110.0), predicted), 6) AS hi FROM widths WHERE width IS NOT NULL")
+@query("interval_clip", f"WITH {WIDTH_SQL} SELECT signal, k, round(least(greatest(predicted - width, 0.0), 200.0), 6) AS lo, round(least(greatest(predicted + width, 0.0), 200.0), 6) AS hi FROM widths WHERE width IS NOT NULL")
 def interval_clip(spark, sf_dir):
-    lo, hi = reports.clipped_interval(F.col("predicted"), F.col("width"), 0.0, 110.0)
+    lo, hi = reports.clipped_interval(F.col("predicted"), F.col("width"), 0.0, 200.0)
     return widths(spark, sf_dir).filter("width IS NOT NULL").select("signal", "k", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
 
 

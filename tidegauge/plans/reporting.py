@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.functions.exprs import rounded
-from tidegauge.operators import baselines, evidence, learning, reports, store
+from tidegauge.operators import baselines, evidence, learning, order_stats, reports, store
 from tidegauge.plans.telemetry import BASE, EXAMPLES_SQL, GRID, HORIZON, HOUR, QUERIES, SETTLED_SQL, SIGNALS, SQL, WIDE_SQL, base_sql, examples, hourly, query, scored, settled, wide
 from tidegauge.sources.readings import READINGS_SQL, readings, table
 
@@ -69,10 +69,32 @@ c AS (SELECT signal, horizon, d - avg(d) OVER w AS c, row_number() OVER (PARTITI
 l AS (SELECT signal, horizon, k, 1 - k / (greatest(1, floor(power(any_value(a.n), 1 / 3.0))) + 1.0) AS weight, avg(a.c * b.c) AS gamma
       FROM c a JOIN c b USING (signal, horizon) JOIN (SELECT unnest(range(1, 1000)) AS k) g ON b.i = a.i + g.k WHERE g.k <= greatest(1, floor(power(a.n, 1 / 3.0))) GROUP BY signal, horizon, k),
 s AS (SELECT signal, horizon, count(*) AS n, any_value(m) AS m, avg(c * c) AS g0 FROM c GROUP BY ALL),
-f AS (SELECT s.*, g0 + coalesce((SELECT sum(2 * weight * gamma) FROM l WHERE l.signal = s.signal AND l.horizon = s.horizon), 0) AS var FROM s)
-SELECT signal, horizon, n, round(m, 6) + 0.0 AS mean_difference, round(CASE WHEN n >= 30 AND var > 0 THEN m / sqrt(var / n) END, 6) + 0.0 AS statistic FROM f""")
+f AS (SELECT s.*, g0 + coalesce((SELECT sum(2 * weight * gamma) FROM l WHERE l.signal = s.signal AND l.horizon = s.horizon), 0) AS var FROM s),
+z AS (SELECT *, CASE WHEN n >= 30 AND var > 0 THEN m / sqrt(var / n) END AS stat, abs(stat) / sqrt(2.0) AS x FROM f)
+SELECT signal, horizon, n, round(m, 6) + 0.0 AS mean_difference, round(stat, 6) + 0.0 AS statistic,
+round(CASE WHEN x > 4 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda i: power(-1.0, i) * power(x, 2 * i + 1) / (gamma(i + 1) * (2 * i + 1)))) END, 4) + 0.0 AS p_value FROM z""")
 def dm_test(spark, sf_dir):
-    return rounded(reports.diebold_mariano(scored(spark, sf_dir), "ewma", "persistence").drop("p_value"), ["mean_difference", "statistic"])
+    """The p value to four digits: the statement sums the series of the error function, the operator fits its complement."""
+    return rounded(rounded(reports.diebold_mariano(scored(spark, sf_dir), "ewma", "persistence"), ["mean_difference", "statistic"]), ["p_value"], 4)
+
+
+#: Values of a group, and bins of a round, in ``exact_quantiles`` and ``reservoir_sample``: few, so that groups of the small tables are refined too.
+QUERY_FEW, QUERY_BINS = 500, 256
+
+
+@query("exact_quantiles", """SELECT event_type AS signal, user_id % 3 AS part, count(*) AS n, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90,
+round(quantile_cont(value, 0.999), 6) AS p999 FROM events GROUP BY ALL""")
+def exact_quantiles(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("signal"), (F.col("user_id") % 3).alias("part"), "value")
+    found = order_stats.quantiles(rows, ["signal", "part"], "value", [0.1, 0.5, 0.9, 0.999], QUERY_FEW, QUERY_BINS)
+    return found.select("signal", "part", "n", *[F.round(F.col("quantiles")[i], 6).alias(c) for i, c in enumerate(("p10", "median", "p90", "p999"))])
+
+
+@query("reservoir_sample", """WITH p AS (SELECT event_type AS signal, event_id, ('0x' || substr(md5('1337:' || event_id), 1, 13))::BIGINT AS priority FROM events)
+SELECT signal, event_id, priority FROM (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY priority) AS i FROM p) WHERE i <= 120""")
+def reservoir_sample(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("signal"), "event_id")
+    return order_stats.reservoir(rows, ["signal"], 120, ["event_id"], 1337, QUERY_FEW, QUERY_BINS).select("signal", "event_id", F.col("_priority").alias("priority"))
 
 
 WIDTH_SQL = f"""{BASE}, e AS (SELECT *, list(abs_error) OVER (PARTITION BY signal, horizon ORDER BY ts_target ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING) AS pool FROM scored WHERE arm = 'persistence'),
