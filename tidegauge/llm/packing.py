@@ -8,8 +8,9 @@ remainder of ``s`` tokens in class ``j`` gives a piece of exactly
 goes on the same way until its own class wastes little. Whole capacities are
 cut first and fill class-1 bins exactly.
 
-Each worker packs its own partition and keeps one open bin a class, at most
-``MAX_CLASS`` of them with under ``j`` pieces. When its rows end, the open bins'
+Each worker packs its own partition and keeps one open bin a class, with under
+``j`` pieces: pieces are cut for classes up to ``MAX_CLASS``, remainders of higher
+classes keep their own, so at most ``capacity`` bins are open. When its rows end, their
 pieces are laid end to end and cut at sequence ends, so each worker leaves one
 part-filled sequence. Ids depend on partition and order alone, so a task that
 runs again gives the same rows.
