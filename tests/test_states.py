@@ -209,3 +209,22 @@ def test_what_is_open_after_the_last_round_is_streamed(spark, monkeypatch):
     want = sorted((x.ts_target, round(x.statistic, 6), x.alarm) for x in replay.drift(df, "page_hinkley").collect())
     found, rounds = scan.drift(df, block_rows=100)
     assert rounds == 2 and sorted((x.ts_target, round(x.statistic, 6), x.alarm) for x in found.collect()) == want
+
+
+def test_feature_alarms_wait_for_the_cooldown(spark):
+    """Against the kernels themselves: windows of ten, shifts all along, so that alarms follow each other within the cooldown."""
+    import numpy as np
+
+    from tidegauge.operators.sequential import Cooldown
+
+    r = random.Random(6)
+    rows = [("s", 10.0 * i, float(i // 10 * 7) + r.gauss(0, 1), r.gauss(0, 1)) for i in range(300)]
+    df = spark.createDataFrame(rows, "signal string, ts double, a double, b double")
+    got = {x.ts: x for x in replay.feature_drift(df, ["a", "b"], window=10, cooldown=300.0).collect()}
+    one, rest, events = FeatureShift(10, 4.0), Cooldown(300.0), []
+    for _, ts, a, b in rows:
+        alarm, shift, at = one.step(np.array([a, b]))
+        event = alarm and rest.step("feature", ts)
+        assert (got[ts].alarm, got[ts].event) == (alarm, event) and abs(got[ts].statistic - shift) < 1e-12
+        events += [ts] * event
+    assert sum(x.alarm for x in got.values()) > len(events) > 1 and all(b - a >= 300 for a, b in zip(events, events[1:]))

@@ -119,14 +119,15 @@ def drift(errors: DataFrame, detector: str, keys: Sequence[str] = ("signal",), o
                    ", ".join([*(f"{k} string" for k in keys), f"{order} double", "statistic double", "alarm boolean", "event boolean"]))
 
 
-def feature_drift(rows: DataFrame, features: Sequence[str], key: str = "signal", order: str = "ts", window: int = 120, threshold: float = 4.0) -> DataFrame:
-    """(signal, ts, statistic, alarm, feature) of the feature-shift detector."""
+def feature_drift(rows: DataFrame, features: Sequence[str], key: str = "signal", order: str = "ts", window: int = 120, threshold: float = 4.0, cooldown: float = 300.0) -> DataFrame:
+    """(signal, ts, statistic, alarm, feature, event) of the feature-shift detector; ``event`` is an alarm outside the cooldown, which all features share."""
 
-    def step(state: FeatureShift, row: dict) -> tuple:
-        alarm, shift, at = state.step(np.array([row[f] if row[f] is not None else 0.0 for f in features]))
-        return shift, alarm, features[at] if at >= 0 else None
+    def step(state: tuple, row: dict) -> tuple:
+        alarm, shift, at = state[0].step(np.array([row[f] if row[f] is not None else 0.0 for f in features]))
+        return shift, alarm, features[at] if at >= 0 else None, alarm and state[1].step("feature", row[order])
 
-    return stepped(rows.select(key, order, *features), [key], [order], [order], lambda _: FeatureShift(window, threshold), step, f"{key} string, {order} double, statistic double, alarm boolean, feature string")
+    return stepped(rows.select(key, order, *features), [key], [order], [order], lambda _: (FeatureShift(window, threshold), Cooldown(cooldown)), step,
+                   f"{key} string, {order} double, statistic double, alarm boolean, feature string, event boolean")
 
 
 def adaptive_intervals(scored: DataFrame, key: str = "signal", order: str = "ts_target", alpha: float = 0.1, rate: float = 0.02, pool: int = 400, least: int = 30) -> DataFrame:
