@@ -8,18 +8,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions import blocks
 from tidegauge.functions.exprs import clip, slope
 from tidegauge.operators.features import ROWS, anchor, span
 
 ARMS = ("persistence", "moving_average", "ewma", "linear_trend")
 
 
-def forecasts(rows: DataFrame, horizon: float, window_s: float, half_life: float, lo: float, hi: float, keys: Sequence[str] = ("signal",), order: str = "k") -> DataFrame:
+def forecasts(rows: DataFrame, horizon: float, window_s: float, half_life: float, lo: float, hi: float, keys: Sequence[str] = ("signal",), order: str = "k", block: int = blocks.ROWS) -> DataFrame:
     """(rows, anchor, one column for each of ARMS, ts_target): what each baseline expects ``horizon`` seconds on.
 
     The exponential weights run over the whole buffer, moving average and trend
-    over the last ``window_s`` seconds.
+    over the last ``window_s`` seconds. A series is worked on in blocks of ``block`` rows.
     """
+    return blocks.within(rows, keys, order, window_s, ROWS - 1, lambda r, by: _forecasts(r, horizon, window_s, half_life, lo, hi, by, order), block)
+
+
+def _forecasts(rows: DataFrame, horizon: float, window_s: float, half_life: float, lo: float, hi: float, keys: Sequence[str], order: str) -> DataFrame:
     frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - ROWS, 0)
     rate = math.log(2.0) / half_life
     base = rows.withColumns({"anchor": anchor(keys, order), "_n": F.count("value").over(frame)})
@@ -55,7 +60,7 @@ def seasonal_naive(rows: DataFrame, horizon: float, period: float = 86400.0, tol
     return joined.groupBy("_row", *rows.columns).agg(F.min("_d").alias("_d")).withColumn("seasonal_naive", F.col("_d.v")).drop("_d", "_row")
 
 
-def resolve(predictions: DataFrame, actuals: DataFrame, interval: float, keys: Sequence[str] = ("signal",)) -> DataFrame:
+def resolve(predictions: DataFrame, actuals: DataFrame, interval: float, keys: Sequence[str] = ("signal",), span: float = blocks.SPAN) -> DataFrame:
     """Add ``actual`` and ``resolved_ts`` to predictions with ``ts_target``.
 
     At the first tick at or after the target, the usable value nearest to it
@@ -66,8 +71,11 @@ def resolve(predictions: DataFrame, actuals: DataFrame, interval: float, keys: S
     A prediction whose target no tick has reached stays unresolved.
     """
     tolerance = max(1.5 * interval, 2.0)
-    following = F.lead("ts").over(Window.partitionBy(*keys).orderBy("ts"))
-    ticks = actuals.select(*keys, F.col("ts").alias("_ts"), F.col("value").alias("_value"), following.alias("_following"), F.floor(F.col("ts") / tolerance).alias("_bucket"))
+    # The tick that follows each: the one before it in falling time, from its own block or an earlier one.
+    falling = blocks.dealt(actuals.select(*keys, "ts", "value", (-F.col("ts")).alias("_back")), "_back", span)
+    carried = blocks.with_earlier(falling, keys, last={"_next": F.max_by("ts", "_back")})
+    following = F.coalesce(F.lag("ts").over(Window.partitionBy(*keys, blocks.BLOCK).orderBy("_back")), F.col("_next"))
+    ticks = carried.select(*keys, F.col("ts").alias("_ts"), F.col("value").alias("_value"), following.alias("_following"), F.floor(F.col("ts") / tolerance).alias("_bucket"))
     asked = predictions.withColumn("_row", F.monotonically_increasing_id()).withColumn("_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("ts_target") / tolerance) + d)))
     here = F.col("_ts").between(F.col("ts_target") - tolerance, F.col("ts_target") + tolerance)
     joined = asked.join(ticks, [*keys, "_bucket"], "left")

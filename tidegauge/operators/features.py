@@ -1,7 +1,10 @@
 """Feature windows over the last ``ROWS`` ticks of each series.
 
 A frame is bounded in rows and in seconds at once. Frames of one partitioning
-and order share a sort, so a select with many of them sorts once.
+and order share a sort, so a select with many of them sorts once. Each operator
+deals a series into blocks of ``block`` rows with what they look back on
+(``blocks.within``), so a long series is many tasks; those with a leading
+underscore work inside blocks that their caller has dealt.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidegauge.functions import blocks
 from tidegauge.functions.exprs import slope
 
 ROWS = 64
@@ -41,13 +45,17 @@ def fill(keys: Sequence[str], order: str = "k", value: str = "value") -> Column:
     return F.coalesce(F.avg(value).over(_rows(keys, order)), F.lit(0.5))
 
 
-def with_lags(rows: DataFrame, lags: Sequence[float], interval: float, keys: Sequence[str] = ("signal",), order: str = "k") -> DataFrame:
+def with_lags(rows: DataFrame, lags: Sequence[float], interval: float, keys: Sequence[str] = ("signal",), order: str = "k", block: int = blocks.ROWS) -> DataFrame:
     """Add ``lag_<seconds>``: the value so long ago.
 
     The nearest row within max(1.5 intervals, a quarter of the lag), the older
     of two; if it is null, the first usable of the six nearest within twice
     that; else the mean of the buffer. One collected frame serves all lags.
     """
+    return blocks.within(rows, keys, order, 0, ROWS - 1, lambda r, by: _with_lags(r, lags, interval, by, order), block)
+
+
+def _with_lags(rows: DataFrame, lags: Sequence[float], interval: float, keys: Sequence[str], order: str) -> DataFrame:
     buffer = rows.withColumns({"_buffer": F.collect_list(F.struct("ts", "value")).over(_rows(keys, order)), "_fill": fill(keys, order)})
 
     def lag_of(seconds: float) -> Column:
@@ -59,13 +67,27 @@ def with_lags(rows: DataFrame, lags: Sequence[float], interval: float, keys: Seq
     return buffer.withColumns({f"lag_{seconds:g}": F.coalesce(lag_of(seconds), F.col("_fill")) for seconds in lags}).drop("_buffer", "_fill")
 
 
-def with_delta(rows: DataFrame, lags: Sequence[float], interval: float, keys: Sequence[str] = ("signal",), order: str = "k") -> DataFrame:
+def _change(lags: Sequence[float]) -> Column:
+    return F.col(f"lag_{lags[0]:g}") - F.col(f"lag_{lags[-1]:g}")
+
+
+def with_delta(rows: DataFrame, lags: Sequence[float], interval: float, keys: Sequence[str] = ("signal",), order: str = "k", block: int = blocks.ROWS) -> DataFrame:
     """Add the lags and ``delta``, the present value less that of the longest lag."""
-    return with_lags(rows, lags, interval, keys, order).withColumn("delta", F.col(f"lag_{lags[0]:g}") - F.col(f"lag_{lags[-1]:g}"))
+    return with_lags(rows, lags, interval, keys, order, block).withColumn("delta", _change(lags))
 
 
-def span_stats(rows: DataFrame, seconds: float, keys: Sequence[str] = ("signal",), order: str = "k") -> DataFrame:
+def span_stats(rows: DataFrame, seconds: float, keys: Sequence[str] = ("signal",), order: str = "k", block: int = blocks.ROWS) -> DataFrame:
     """Add ``span_mean`` (else the fill), ``span_std`` (population; 0 of one or none) and ``span_slope`` (a minute; 0 of one or none)."""
+    return blocks.within(rows, keys, order, seconds, ROWS - 1, lambda r, by: _span_stats(r, seconds, by, order), block)
+
+
+def summary(rows: DataFrame, seconds: float, keys: Sequence[str] = ("signal",), order: str = "k", block: int = blocks.ROWS) -> DataFrame:
+    """Add the columns of ``span_stats``, ``fill`` and ``anchor`` at once."""
+    both = lambda by: {"fill": fill(by, order), "anchor": anchor(by, order)}
+    return blocks.within(rows, keys, order, seconds, ROWS - 1, lambda r, by: _span_stats(r, seconds, by, order).withColumns(both(by)), block)
+
+
+def _span_stats(rows: DataFrame, seconds: float, keys: Sequence[str], order: str) -> DataFrame:
     w = span(keys, seconds)
     return rows.withColumns({
         "span_mean": F.coalesce(F.avg("value").over(w), fill(keys, order)),
@@ -74,17 +96,19 @@ def span_stats(rows: DataFrame, seconds: float, keys: Sequence[str] = ("signal",
     })
 
 
-def coverage(rows: DataFrame, window_s: float, keys: Sequence[str] = ("signal",), order: str = "k") -> DataFrame:
+def coverage(rows: DataFrame, window_s: float, keys: Sequence[str] = ("signal",), order: str = "k", block: int = blocks.ROWS) -> DataFrame:
     """Add ``coverage``: usable share of the buffer's rows times the share of the window that they span."""
-    w = _rows(keys, order)
-    reach = F.max("ts").over(w) - F.min("ts").over(w)
-    return rows.withColumn("coverage", F.count("value").over(w) / F.count("*").over(w) * F.least(F.lit(1.0), reach / window_s))
+    def share(w: WindowSpec) -> Column:
+        reach = F.max("ts").over(w) - F.min("ts").over(w)
+        return F.count("value").over(w) / F.count("*").over(w) * F.least(F.lit(1.0), reach / window_s)
+
+    return blocks.within(rows, keys, order, 0, ROWS - 1, lambda r, by: r.withColumn("coverage", share(_rows(by, order))), block)
 
 
-def ready(rows: DataFrame, need_s: float, keys: Sequence[str] = ("signal",), order: str = "k") -> DataFrame:
+def ready(rows: DataFrame, need_s: float, keys: Sequence[str] = ("signal",), order: str = "k", block: int = blocks.ROWS) -> DataFrame:
     """Add ``ready``: at least three rows that reach ``need_s`` back."""
-    w = _rows(keys, order)
-    return rows.withColumn("ready", (F.count("*").over(w) >= 3) & (F.max("ts").over(w) - F.min("ts").over(w) >= need_s))
+    enough = lambda w: (F.count("*").over(w) >= 3) & (F.max("ts").over(w) - F.min("ts").over(w) >= need_s)
+    return blocks.within(rows, keys, order, 0, ROWS - 1, lambda r, by: r.withColumn("ready", enough(_rows(by, order))), block)
 
 
 def anchor(keys: Sequence[str] = ("signal",), order: str = "k", value: str = "value") -> Column:
@@ -92,10 +116,10 @@ def anchor(keys: Sequence[str] = ("signal",), order: str = "k", value: str = "va
     return F.last(value, ignorenulls=True).over(_rows(keys, order))
 
 
-def volatility(rows: DataFrame, seconds: float, floor: float, keys: Sequence[str] = ("signal",)) -> DataFrame:
+def volatility(rows: DataFrame, seconds: float, floor: float, keys: Sequence[str] = ("signal",), block: int = blocks.ROWS) -> DataFrame:
     """Add ``volatility``: population deviation of the span, 0 under three values, at least ``floor``."""
-    w = span(keys, seconds)
-    return rows.withColumn("volatility", F.greatest(F.when(F.count("value").over(w) >= 3, F.stddev_pop("value").over(w)).otherwise(0.0), F.lit(floor)))
+    spread = lambda w: F.greatest(F.when(F.count("value").over(w) >= 3, F.stddev_pop("value").over(w)).otherwise(0.0), F.lit(floor))
+    return blocks.within(rows, keys, "ts", seconds, 0, lambda r, by: r.withColumn("volatility", spread(span(by, seconds))), block)
 
 
 def time_features(ts: Column | str) -> list[Column]:
@@ -128,22 +152,27 @@ def schema_hash(names: Sequence[str], lags: Sequence[float], spans: Sequence[flo
     return hashlib.sha256(written.encode()).hexdigest()[:16]
 
 
-def vectors(rows: DataFrame, signals: Sequence[str], lags: Sequence[float], spans: Sequence[float], interval: float, window_s: float, regimes: DataFrame, labels: Sequence[str], order: str = "k", digits: int = 9) -> DataFrame:
+def vectors(rows: DataFrame, signals: Sequence[str], lags: Sequence[float], spans: Sequence[float], interval: float, window_s: float, regimes: DataFrame, labels: Sequence[str], order: str = "k", digits: int = 9, block: int = blocks.ROWS) -> DataFrame:
     """(k, vec): the vector of every tick over all ``signals`` (columns of ``vector_names``), of rows (signal, k, ts, value) and regimes (k, regime).
 
-    Each signal's features come from windows keyed by signal; one shuffle by
+    Each signal's features come from windows over its blocks; one shuffle by
     tick puts them together in the order of ``signals``.
     """
-    own = with_delta(rows, lags, interval).withColumn("_fill", fill(["signal"], order))
     lag_names = [f"lag_{x:g}" for x in lags]
-    stats = {f"_mean_{x:g}": F.coalesce(F.avg("value").over(span(["signal"], x)), F.col("_fill")) for x in spans}
-    stats |= {"_std": F.coalesce(F.stddev_pop("value").over(span(["signal"], spans[-1])), F.lit(0.0))}
-    stats |= {f"_slope_{x:g}": F.coalesce(slope("value", "ts", span(["signal"], x)), F.lit(0.0)) * 60.0 for x in spans[-2:]}
-    w = _rows(["signal"], order)
-    stats |= {"_held": F.count("value").over(w), "_slots": F.count("*").over(w), "_reach": F.max("ts").over(w) - F.min("ts").over(w)}
+
+    def series(dealt: DataFrame, by: Sequence[str]) -> DataFrame:
+        own = _with_lags(dealt, lags, interval, by, order).withColumns({"delta": _change(lags), "_fill": fill(by, order)})
+        stats = {f"_mean_{x:g}": F.coalesce(F.avg("value").over(span(by, x)), F.col("_fill")) for x in spans}
+        stats |= {"_std": F.coalesce(F.stddev_pop("value").over(span(by, spans[-1])), F.lit(0.0))}
+        stats |= {f"_slope_{x:g}": F.coalesce(slope("value", "ts", span(by, x)), F.lit(0.0)) * 60.0 for x in spans[-2:]}
+        w = _rows(by, order)
+        stats |= {"_held": F.count("value").over(w), "_slots": F.count("*").over(w), "_reach": F.max("ts").over(w) - F.min("ts").over(w)}
+        return own.withColumns(stats)
+
     part = F.array(*lag_names, *[f"_mean_{x:g}" for x in spans], "_std", *[f"_slope_{x:g}" for x in spans[-2:]], "delta")
     place = F.array_position(F.array(*map(F.lit, signals)), F.col("signal"))
-    wide = own.withColumns(stats).filter(F.col("signal").isin(*signals)).groupBy(order).agg(
+    own = blocks.within(rows.filter(F.col("signal").isin(*signals)), ["signal"], order, max(spans), ROWS - 1, series, block)
+    wide = own.groupBy(order).agg(
         F.sort_array(F.collect_list(F.struct(place.alias("place"), part.alias("part")))).alias("_parts"), F.first("ts").alias("ts"),
         (F.sum("_held") / F.sum("_slots") * F.least(F.lit(1.0), F.max("_reach") / window_s)).alias("_coverage"))
     label = F.col("regime")

@@ -7,16 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions import blocks
 from tidegauge.functions.exprs import clip
 
 
 def warmed_up(rows: DataFrame, columns: Sequence[str], first: int, by: Sequence[str] = ("signal",), order: str = "k", floor: float = 0.02, limit: float = 5.0) -> DataFrame:
     """Replace columns by z values against the mean and population deviation of the first ``first`` rows, held within ``limit``."""
-    w = Window.partitionBy(*by)
-    placed = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
-    early = lambda c: F.when(F.col("_i") <= first, F.col(c))
-    z = {c: clip((F.col(c) - F.avg(early(c)).over(w)) / F.greatest(F.stddev_pop(early(c)).over(w), F.lit(floor)), -limit, limit) for c in columns}
-    return placed.withColumns(z).drop("_i")
+    placed = blocks.numbered(rows, by, [order], name="_i")
+    early = lambda c: F.when(F.col("_i") < first, F.col(c))
+    sums = {f"_mean_{c}": F.avg(early(c)) for c in columns} | {f"_std_{c}": F.stddev_pop(early(c)) for c in columns}
+    known = blocks.with_totals(placed, by, **sums)
+    z = {c: clip((F.col(c) - F.col(f"_mean_{c}")) / F.greatest(F.col(f"_std_{c}"), F.lit(floor)), -limit, limit) for c in columns}
+    return known.withColumns(z).drop("_i", *sums)
 
 
 def target(actual: Column, anchor: Column, volatility: Column, limit: float = 8.0) -> Column:

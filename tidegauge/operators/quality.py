@@ -49,14 +49,15 @@ def counter_rate(rows: DataFrame, keys: Sequence[str] = ("signal",), order: str
     return before.withColumn("rate", F.when((dt > 0) & (dv >= 0), F.try_divide(dv, dt))).drop("_last", blocks.BLOCK)
 
 
-def normalise(rows: DataFrame, specs: DataFrame, interval: float, keys: Sequence[str] = (), order: str = "k", factor: float = GAP_FACTOR) -> DataFrame:
+def normalise(rows: DataFrame, specs: DataFrame, interval: float, keys: Sequence[str] = (), order: str = "k", factor: float = GAP_FACTOR, span: float = blocks.SPAN) -> DataFrame:
     """(keys, order, ts, gap_s, signal, value, quality) of every registered signal at every tick.
 
     ``rows`` has keys, order, ts, signal, value; ``specs`` has signal, lo, hi,
     max_rate, max_hold. Signals without a spec are dropped, missing ones added.
+    A block of ``span`` of ``order`` gets the last value held before it, so an unbroken run is many tasks.
     """
     at = [*keys, order]
-    times = gaps(rows.select(*at, "ts").distinct(), interval, keys, order, factor)
+    times = gaps(rows.select(*at, "ts").distinct(), interval, keys, order, factor, span)
     # The specs are a registered, small set: one row holds them.
     registry = specs.agg(F.collect_list(F.struct(*specs.columns)).alias("_specs"))
     whole = times.crossJoin(F.broadcast(registry)).select(*times.columns, F.inline("_specs")).join(rows.select(*at, "signal", "value"), [*at, "signal"], "left")
@@ -64,11 +65,12 @@ def normalise(rows: DataFrame, specs: DataFrame, interval: float, keys: Sequence
     held = clip(raw, F.col("lo"), F.col("hi"))
     over = F.greatest(F.coalesce(F.col("lo") - raw, F.lit(0.0)), F.coalesce(raw - F.col("hi"), F.lit(0.0)))
     whole = whole.withColumns({"_clipped": held, "_over": over})
-    w = Window.partitionBy(*keys, "signal", "segment").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    whole = whole.withColumns({
-        "_held": F.last("_clipped", ignorenulls=True).over(w),
-        "_held_ts": F.last(F.when(F.col("_clipped").isNotNull(), F.col("ts")), ignorenulls=True).over(w),
-    })
+    there = F.when(F.col("_clipped").isNotNull(), F.struct(F.col("_clipped").alias("value"), F.col("ts").alias("ts")))
+    run = [*keys, "signal", "segment"]
+    whole = blocks.with_earlier(blocks.dealt(whole, order, span), run, last={"_last": F.max_by(there, F.when(F.col("_clipped").isNotNull(), F.col(order)))})
+    w = Window.partitionBy(*run, blocks.BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.withColumn("_last", F.coalesce(F.last(there, ignorenulls=True).over(w), "_last"))
+    whole = whole.withColumns({"_held": F.col("_last")["value"], "_held_ts": F.col("_last")["ts"]})
     dt = F.col("ts") - F.col("_held_ts")
     spike = F.coalesce((dt > 0) & (F.try_divide(F.abs(F.col("_clipped") - F.col("_held")), dt) > F.col("max_rate")), F.lit(False))
     here = F.col("_clipped").isNotNull()

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions import blocks
 from tidegauge.functions.exprs import clip, erfc
 from tidegauge.operators import order_stats
 from tidegauge.session import materialised
@@ -72,8 +73,7 @@ def diebold_mariano(rows: DataFrame, arm: str, reference: str, scope: Sequence[s
     """
     loss = lambda a: rows.filter(F.col("arm") == a).groupBy(*scope, "ts_target").agg(F.max_by(F.abs("error"), "ts").alias(a))
     pairs = loss(arm).join(loss(reference), [*scope, "ts_target"]).withColumn("d", F.col(arm) - F.col(reference))
-    whole, order = Window.partitionBy(*scope), Window.partitionBy(*scope).orderBy("ts_target")
-    placed = pairs.withColumns({"_m": F.avg("d").over(whole), "_n": F.count("*").over(whole), "_i": F.row_number().over(order)})
+    placed = blocks.with_totals(blocks.numbered(pairs, scope, ["ts_target"], name="_i"), scope, _m=F.avg("d"), _n=F.count("*"))
     placed = placed.select(*scope, "_i", "_n", "_m", (F.col("d") - F.col("_m")).alias("_c"), F.greatest(F.lit(1), F.floor(F.pow(F.col("_n").cast("double"), 1 / 3))).alias("_l"))
     lagged = placed.select(*scope, "_n", "_l", F.explode(F.sequence(F.lit(1), F.col("_l").cast("int"))).alias("_k"), "_i", F.col("_c").alias("_before")).withColumn("_i", F.col("_i") + F.col("_k"))
     products = lagged.join(placed.select(*scope, "_i", "_c"), [*scope, "_i"]).groupBy(*scope, "_k").agg(
@@ -96,36 +96,33 @@ def calibration_curve(rows: DataFrame, bins: int = 5, by: Sequence[str] = ("sign
 
 def chronological_split(rows: DataFrame, horizon: float, by: Sequence[str] = ("signal",), shares: tuple[float, float] = (0.6, 0.2)) -> DataFrame:
     """Add ``part`` train, validation or test by row order; rows within ``horizon`` of the next part's start are dropped."""
-    order, whole = Window.partitionBy(*by).orderBy("ts", "k"), Window.partitionBy(*by)
-    place, n = F.row_number().over(order) - 1, F.count("*").over(whole)
+    place, n = F.col("_i"), F.col("_n")
     a, b = F.floor(n * shares[0] + 1e-9), F.floor(n * (shares[0] + shares[1]) + 1e-9)
-    parts = rows.withColumn("part", F.when(place < a, "train").when(place < b, "validation").otherwise("test"))
-    start = lambda p: F.min(F.when(F.col("part") == p, F.col("ts"))).over(whole)
-    parts = parts.withColumns({"_v": start("validation"), "_t": start("test")})
+    placed = blocks.with_totals(blocks.numbered(rows, by, ["ts", "k"], name="_i"), by, _n=F.count("*"))
+    parts = placed.withColumn("part", F.when(place < a, "train").when(place < b, "validation").otherwise("test")).drop("_i", "_n")
+    start = lambda p: F.min(F.when(F.col("part") == p, F.col("ts")))
+    parts = blocks.with_totals(parts, by, _v=start("validation"), _t=start("test"))
     late = ((F.col("part") == "train") & (F.col("ts") >= F.col("_v") - horizon)) | ((F.col("part") == "validation") & (F.col("ts") >= F.col("_t") - horizon))
     return parts.filter(~F.coalesce(late, F.lit(False))).drop("_v", "_t")
 
 
 def rolling_origin(rows: DataFrame, folds: int, horizon: float, by: Sequence[str] = ("signal",), least_share: float = 0.4) -> DataFrame:
     """(fold, part, n, first, last) of an expanding evaluation: fold f tests the f-th of ``folds`` equal parts after ``least_share`` and trains on all before its embargo."""
-    whole, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("ts", "k")
-    placed = rows.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count("*").over(whole)})
+    placed = blocks.with_totals(blocks.numbered(rows, by, ["ts", "k"], name="_i"), by, _n=F.count("*"))
     start = F.floor(F.col("_n") * least_share + 1e-9)
     step = F.floor((F.col("_n") - start) / folds)
     exploded = placed.withColumns({"_s": start, "_w": step}).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     first = F.col("_s") + F.col("fold") * F.col("_w")
     test = (F.col("_i") >= first) & (F.col("_i") < first + F.col("_w"))
-    opening = F.min(F.when(test, F.col("ts"))).over(Window.partitionBy(*by, "fold"))
-    marked = exploded.withColumns({"_test": test, "_open": opening})
+    marked = blocks.with_totals(exploded.withColumn("_test", test), [*by, "fold"], _open=F.min(F.when(F.col("_test"), F.col("ts"))))
     part = F.when(F.col("_test"), "test").when((F.col("_i") < first) & (F.col("ts") < F.col("_open") - horizon), "train")
     return marked.withColumn("part", part).filter("part IS NOT NULL").groupBy(*by, "fold", "part").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def rolling_quantile(rows: DataFrame, share: float, window: int, least: int, by: Sequence[str] = SCOPE, order: str = "ts_target") -> DataFrame:
+def rolling_quantile(rows: DataFrame, share: float, window: int, least: int, by: Sequence[str] = SCOPE, order: str = "ts_target", block: int = blocks.ROWS) -> DataFrame:
     """Add ``width``: the linear quantile of the last ``window`` absolute errors before each row; null under ``least`` of them."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-window, -1)
-    value = F.sort_array(F.collect_list("abs_error").over(w))
-    rows = rows.withColumn("_sorted", value)
+    before = lambda keys: F.collect_list("abs_error").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-window, -1))
+    rows = blocks.within(rows, by, order, 0, window, lambda r, keys: r.withColumn("_sorted", F.sort_array(before(keys))), block, ts=order)
     at = (F.size("_sorted") - 1) * share
     low = F.floor(at).cast("int")
     pick = lambda i: F.get("_sorted", i)

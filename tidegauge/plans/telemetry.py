@@ -182,8 +182,8 @@ def feature_delta(spark, sf_dir):
 @query("feature_vector", f"""WITH {GRID}, f AS (SELECT *, coalesce(avg(value) OVER {BUF}, 0.5) AS fill, avg(value) OVER {SPAN_W} AS m, stddev_pop(value) OVER {SPAN_W} AS s, last_value(value IGNORE NULLS) OVER {BUF} AS a FROM grid)
 SELECT signal, k, [1.0, round(coalesce(value, fill), 9), round(coalesce(m, fill), 9), round(coalesce(s, 0), 9), round(coalesce(a, 0), 9)]::DOUBLE[] AS vec FROM f""")
 def feature_vector(spark, sf_dir):
-    rows = features.span_stats(hourly(spark, sf_dir), SPAN).withColumns({"fill": features.fill(["signal"]), "a": features.anchor()})
-    vec = F.array(F.lit(1.0), F.round(F.coalesce("value", "fill"), 9), F.round("span_mean", 9), F.round("span_std", 9), F.round(F.coalesce("a", F.lit(0.0)), 9))
+    rows = features.summary(hourly(spark, sf_dir), SPAN)
+    vec = F.array(F.lit(1.0), F.round(F.coalesce("value", "fill"), 9), F.round("span_mean", 9), F.round("span_std", 9), F.round(F.coalesce("anchor", F.lit(0.0)), 9))
     return rows.select("signal", "k", vec.alias("vec"))
 
 
