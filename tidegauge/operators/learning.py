@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import blocks
 from tidegauge.functions.exprs import clip
+from tidegauge.session import materialised
 
 
 def warmed_up(rows: DataFrame, columns: Sequence[str], first: int, by: Sequence[str] = ("signal",), order: str = "k", floor: float = 0.02, limit: float = 5.0) -> DataFrame:
     """Replace columns by z values against the mean and population deviation of the first ``first`` rows, held within ``limit``."""
-    placed = blocks.numbered(rows, by, [order], name="_i")
+    placed = blocks.numbered(materialised(rows, "inputs"), by, [order], name="_i")
     early = lambda c: F.when(F.col("_i") < first, F.col(c))
     sums = {f"_mean_{c}": F.avg(early(c)) for c in columns} | {f"_std_{c}": F.stddev_pop(early(c)) for c in columns}
     known = blocks.with_totals(placed, by, **sums)

@@ -71,9 +71,13 @@ def diebold_mariano(rows: DataFrame, arm: str, reference: str, scope: Sequence[s
     least one; the covariance at lag k is the mean over n - k pairs. Null under
     ``least`` pairs or without variance. Lagged pairs meet by a join on places.
     """
-    loss = lambda a: rows.filter(F.col("arm") == a).groupBy(*scope, "ts_target").agg(F.max_by(F.abs("error"), "ts").alias(a))
-    pairs = loss(arm).join(loss(reference), [*scope, "ts_target"]).withColumn("d", F.col(arm) - F.col(reference))
-    placed = blocks.with_totals(blocks.numbered(pairs, scope, ["ts_target"], name="_i"), scope, _m=F.avg("d"), _n=F.count("*"))
+    both = rows.filter(F.col("arm").isin(arm, reference))
+    of = lambda a, c: F.when(F.col("arm") == a, c)
+    loss = {n: F.max_by(of(a, F.abs("error")), of(a, F.col("ts"))) for n, a in (("_a", arm), ("_b", reference))}
+    pairs = both.groupBy(*scope, "ts_target").agg(*[c.alias(n) for n, c in loss.items()]).filter("_a IS NOT NULL AND _b IS NOT NULL").withColumn("d", F.col("_a") - F.col("_b"))
+    # Written twice, as places, totals and lagged pairs each read it: the forecasts behind it are made once.
+    pairs = materialised(pairs.select(*scope, "ts_target", "d"), "losses")
+    placed = materialised(blocks.with_totals(blocks.numbered(pairs, scope, ["ts_target"], name="_i"), scope, _m=F.avg("d"), _n=F.count("*")), "placed")
     placed = placed.select(*scope, "_i", "_n", "_m", (F.col("d") - F.col("_m")).alias("_c"), F.greatest(F.lit(1), F.floor(F.pow(F.col("_n").cast("double"), 1 / 3))).alias("_l"))
     lagged = placed.select(*scope, "_n", "_l", F.explode(F.sequence(F.lit(1), F.col("_l").cast("int"))).alias("_k"), "_i", F.col("_c").alias("_before")).withColumn("_i", F.col("_i") + F.col("_k"))
     products = lagged.join(placed.select(*scope, "_i", "_c"), [*scope, "_i"]).groupBy(*scope, "_k").agg(
@@ -122,7 +126,8 @@ def rolling_origin(rows: DataFrame, folds: int, horizon: float, by: Sequence[str
 def rolling_quantile(rows: DataFrame, share: float, window: int, least: int, by: Sequence[str] = SCOPE, order: str = "ts_target", block: int = blocks.ROWS) -> DataFrame:
     """Add ``width``: the linear quantile of the last ``window`` absolute errors before each row; null under ``least`` of them."""
     before = lambda keys: F.collect_list("abs_error").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-window, -1))
-    rows = blocks.within(rows, by, order, 0, window, lambda r, keys: r.withColumn("_sorted", F.sort_array(before(keys))), block, ts=order)
+    # Written once: dealing into blocks reads it more than once, and scored forecasts are dear.
+    rows = blocks.within(materialised(rows, "errors"), by, order, 0, window, lambda r, keys: r.withColumn("_sorted", F.sort_array(before(keys))), block, ts=order)
     at = (F.size("_sorted") - 1) * share
     low = F.floor(at).cast("int")
     pick = lambda i: F.get("_sorted", i)
