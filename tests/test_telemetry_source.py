@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.sources import datasets, telemetry
-from tidegauge.session import ship
 
 HEAD = {"format": 1, "notes": "", "signals": [{"name": "a", "kind": "gauge"}, {"name": "b", "kind": "rate"}]}
 
@@ -28,7 +27,6 @@ def rows(df):
 
 @pytest.fixture
 def folder(tmp_path, spark):
-    ship(spark)
     telemetry.register(spark)
     at = tmp_path / "data"
     put(at, "000.jsonl", [json.dumps(HEAD), line(1.0, a=[5.0], b=[None, 5]), line(2.0, a=[7.5, 2]), line(3.0), "no sample", "[1]", line(None, a=[1.0]), ""])
@@ -44,6 +42,8 @@ def test_rows_are_those_of_the_dataset_reader(spark, folder):
     source = telemetry.TelemetrySource({"path": str(folder)})
     assert source.probe() and [s["name"] for s in source.signals()] == ["a", "b"] == sorted(r.name for r in signals.collect())
     assert not telemetry.TelemetrySource({"path": str(folder / "none")}).probe()
+    for uri in (f"file:{folder}", f"file://{folder}"):
+        assert spark.read.format("telemetry").load(uri).count() == 6
 
 
 def test_options_leave_rows_out(spark, folder):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidegauge.functions.exprs import rounded
@@ -9,7 +11,8 @@ from tidegauge.operators import answers, evidence, replies, store
 from tidegauge.plans.answering import _INTENT_SQL, FEEDBACK_SQL, _numbers_sql, feedback
 from tidegauge.plans.reporting import NOW
 from tidegauge.plans.telemetry import BASE, HORIZON, HOUR, QUERIES, SQL, VECTOR_NAMES, WIDE_SQL, feature_vector_all, hourly, query, resolved
-from tidegauge.sources import collect
+from tidegauge.session import shared_dir
+from tidegauge.sources import collect, datasets, telemetry
 from tidegauge.sources.readings import READINGS_SQL, readings, table
 
 _WEEK = 7 * 24 * HOUR
@@ -156,3 +159,19 @@ def persona(spark, sf_dir):
 
 
 __all__ = ["QUERIES", "SQL"]
+
+
+@query("telemetry_source", f"""WITH {READINGS_SQL}, q AS (SELECT signal, CASE WHEN seq % 5 <> 0 THEN value END AS value, CAST(CASE seq % 5 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 0 END AS INTEGER) AS quality, ts FROM readings)
+SELECT signal, quality, count(*) AS n, count(value) AS usable, round(sum(value), 4) AS total, min(ts) AS first_ts, max(ts) AS last_ts FROM q GROUP BY signal, quality""")
+def telemetry_source(spark, sf_dir):
+    """All readings written as a dataset and read again through the data source, by signal and quality."""
+    rows = readings(spark, sf_dir)
+    bad = F.col("seq") % 5
+    reading = F.struct(F.when(bad != 0, F.col("value")).alias("value"), F.when(bad == 0, 5).when(bad == 1, 2).otherwise(0).alias("quality"))
+    none = F.lit(None).cast("double")
+    samples = rows.select("ts", F.col("seq").cast("string").alias("origin"), none.alias("gap_s"), none.alias("collect_ms"), F.create_map("signal", reading).alias("readings"))
+    path = f"{shared_dir(spark)}/dataset-{uuid.uuid4().hex}"
+    datasets.write(samples, rows.select(F.col("signal").alias("name")).distinct(), path)
+    telemetry.register(spark)
+    found = spark.read.format("telemetry").load(path).groupBy("signal", "quality")
+    return found.agg(F.count("*").alias("n"), F.count("value").alias("usable"), F.round(F.sum("value"), 4).alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))

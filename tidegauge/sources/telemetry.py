@@ -31,6 +31,8 @@ from typing import Any
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from tidegauge.session import ship
+
 SCHEMA = "ts double, origin string, gap_s double, collect_ms double, signal string, value double, quality int"
 #: Rows that a task holds at once.
 BATCH = 4_096
@@ -43,11 +45,21 @@ class LateFile(RuntimeError):
     """A file appeared at or before a path that the stream had already passed."""
 
 
+def _system(path: str) -> tuple[Any, str]:
+    """(file system, path in it) of a path or URI; Spark writes local ones as ``file:/x`` too."""
+    from pyarrow import fs
+
+    local = not path.startswith("file:") and "://" not in path
+    if local or path.startswith("file:"):
+        return fs.LocalFileSystem(), path if local else "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
 def _listed(path: str) -> tuple[Any, list[str]]:
     """(file system, data files in the order of their paths) below a folder or of one file; hidden and marker files are left out."""
     from pyarrow import fs
 
-    system, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system, root = _system(path)
     info = system.get_file_info(root)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
@@ -58,9 +70,7 @@ def _listed(path: str) -> tuple[Any, list[str]]:
 
 
 def _lines(path: str, file: str) -> Iterator[dict]:
-    from pyarrow import fs
-
-    system = fs.FileSystem.from_uri(path)[0] if "://" in path else fs.LocalFileSystem()
+    system, _ = _system(path)
     with system.open_input_stream(file, compression="detect") as raw, io.TextIOWrapper(raw, encoding="utf-8", errors="replace") as text:
         for line in text:
             try:
@@ -192,5 +202,6 @@ class TelemetryStream(DataSourceStreamReader):
 
 
 def register(spark: SparkSession) -> None:
-    """Make format ``telemetry`` known to the session."""
+    """Make format ``telemetry`` known to the session and its Python workers."""
+    ship(spark)
     spark.dataSource.register(TelemetrySource)
