@@ -34,8 +34,12 @@ def duration(seconds: Column) -> Column:
             .when(s < 172_800, F.format_string("%.1f h", s / 3_600)).otherwise(F.format_string("%.1f days", s / 86_400)))
 
 
-def now_clause(label: str, value: Column, unit: str = "") -> Column:
-    return F.when(value.isNotNull(), F.concat(F.lit(f"{label} is "), one_decimal(value, unit), F.lit(" now.")))
+def _text(label: Column | str) -> Column:
+    return label if isinstance(label, Column) else F.lit(label)
+
+
+def now_clause(label: Column | str, value: Column, unit: str = "") -> Column:
+    return F.when(value.isNotNull(), F.concat(_text(label), F.lit(" is "), one_decimal(value, unit), F.lit(" now.")))
 
 
 def change_clause(change: Column, seconds: float, unit: str = "") -> Column:
@@ -43,11 +47,11 @@ def change_clause(change: Column, seconds: float, unit: str = "") -> Column:
     return F.when(change.isNotNull(), F.concat(F.lit("It went "), way, F.lit(" by "), one_decimal(F.abs(change), unit), F.lit(" in "), duration(F.lit(seconds)), F.lit(".")))
 
 
-def forecast_clause(label: str, horizon: float, value: Column, lo: Column | None = None, hi: Column | None = None, unit: str = "") -> Column:
+def forecast_clause(label: Column | str, horizon: Column | float, value: Column, lo: Column | None = None, hi: Column | None = None, unit: str = "") -> Column:
     """A forecast always names its signal, so that it can't be taken for another's; a range where there is one."""
     none = F.lit(", a range is not known yet")
     span = none if lo is None or hi is None else F.when(lo.isNotNull() & hi.isNotNull(), F.concat(F.lit(", likely "), one_decimal(lo, unit), F.lit(" to "), one_decimal(hi, unit))).otherwise(none)
-    return F.when(value.isNotNull(), F.concat(F.lit(f"{label} is expected at "), one_decimal(value, unit), F.lit(" in "), duration(F.lit(horizon)), span, F.lit(".")))
+    return F.when(value.isNotNull(), F.concat(_text(label), F.lit(" is expected at "), one_decimal(value, unit), F.lit(" in "), duration(horizon if isinstance(horizon, Column) else F.lit(horizon)), span, F.lit(".")))
 
 
 def driver_clause(label: Column, r: Column, lag_s: Column) -> Column:

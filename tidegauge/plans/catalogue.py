@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.plans import reporting, sequential, serving
+from tidegauge.plans import packs, reporting, sequential
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**serving.QUERIES, **sequential.QUERIES}
-SQL: dict[str, str] = {**serving.SQL, **sequential.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**packs.QUERIES, **sequential.QUERIES}
+SQL: dict[str, str] = {**packs.SQL, **sequential.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
