@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions import blocks
 from tidegauge.functions.exprs import safe_corr
 from tidegauge.operators import answers, order_stats, replies
+from tidegauge.session import materialised
 
 #: Cells of a window: more of them mean less raw rows at its ends and more summaries inside.
 CELLS = 16
@@ -196,10 +197,10 @@ def regimes(asks: DataFrame, forecasts: DataFrame, labels: Sequence[str], second
 
     ``forecasts`` (id, ts, ts_target, regime) are those of one arm and horizon. The regime is that of the newest one still open, else of the last
     that came due; the window takes the first ``limit`` that came due in it. Counts by label run over all rows, so a window of any length is two
-    looks at a running count; it reaches back no further than the window.
+    looks at a running count, which is written once; it reaches back no further than the window.
     """
     counts = {f"_c{i}": (F.col("regime") == x).cast("long") for i, x in enumerate(labels)}
-    placed = blocks.numbered(forecasts.select("id", "ts", "ts_target", "regime").withColumns(counts), (), ["ts_target", "id"], span)
+    placed = materialised(blocks.numbered(forecasts.select("id", "ts", "ts_target", "regime").withColumns(counts), (), ["ts_target", "id"], span), "placed")
     dealt = blocks.dealt(placed, "ts_target", span)
     w = Window.partitionBy(blocks.BLOCK).orderBy("_n")
     to_here = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -207,12 +208,12 @@ def regimes(asks: DataFrame, forecasts: DataFrame, labels: Sequence[str], second
     fresh = was.withColumn("_fresh", F.when(~F.col("regime").eqNullSafe(F.coalesce(F.lag("regime").over(w), "_was")), F.col("ts")))
     known = blocks.with_earlier(fresh, (), last={"_began": F.max("_fresh")})
     running = F.array(*[F.col(f"_t{i}") + F.sum(c).over(to_here) for i, c in enumerate(counts)])
-    rows = known.select("_n", "ts", "regime", F.coalesce(F.max("_fresh").over(to_here), "_began").alias("_since"), running.alias("_running"), F.array(*counts).alias("_own_counts"))
+    rows = materialised(known.select("_n", "ts", "regime", F.coalesce(F.max("_fresh").over(to_here), "_began").alias("_since"), running.alias("_running"), F.array(*counts).alias("_own_counts")), "running")
     place = {"_place": F.col("_n") + 1}
     low = newest(asks, placed, "ts_target", place, strictly=True, when=F.col("now") - seconds, span=span).select("ask", F.coalesce("_place", F.lit(0)).alias("_a"))
     high = newest(asks, placed, "ts_target", place, span=span).select("ask", F.coalesce("_place", F.lit(0)).alias("_b"))
     ends = low.join(high, "ask").select("ask", "_a", F.least("_b", F.col("_a") + limit).alias("_b"))
-    open_ = newest(asks, forecasts, "ts", {"_due": F.col("ts_target"), "_open": F.col("regime")}, span=span)
+    open_ = newest(asks, placed, "ts", {"_due": F.col("ts_target"), "_open": F.col("regime")}, span=span)
     held = ends.filter("_b > _a")
     first = held.join(rows.select(F.col("_n").alias("_a"), F.col("ts").alias("_from"), F.transform(F.arrays_zip("_running", "_own_counts"), lambda p: p["_running"] - p["_own_counts"]).alias("_before")), "_a").select("ask", "_from", "_before")
     last = held.join(rows.select((F.col("_n") + 1).alias("_b"), F.col("ts").alias("_last"), F.col("regime").alias("_last_regime"), "_since", "_running"), "_b").select("ask", (F.col("_b") - F.col("_a")).alias("_rows"), "_last", "_last_regime", "_since", "_running")
