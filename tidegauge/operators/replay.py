@@ -172,16 +172,17 @@ ARMS: dict[str, dict] = {
 
 def adaptation(
     examples: DataFrame, x: Sequence[str], baseline_x: Sequence[str] = (), arms: Sequence[str] = tuple(ARMS), lo: float = 0.0, hi: float = 200.0, train_share: float = 0.5, every: int = 240, gate: int = 120,
-    drifts: DataFrame | None = None, warmup: int = 0,
+    drifts: DataFrame | None = None, warmup: int = 0, boundary: DataFrame | None = None,
 ) -> DataFrame:
     """(arm, signal, ts_target, predicted, width, actual, decision, reason, trigger, version, held_out, and of each adaptation gate_n, n_train, metric_before, metric_after, floor) of the learning loop, every arm on the same rows.
 
     ``examples`` has signal, ts, ts_target, anchor, vol, actual, ``x`` (of which
     ``baseline_x`` are the baselines' inputs) and, for arms by regime, regime.
     Each arm and scope is a group of its own; drift alarms, which do not depend
-    on the learner, come in as rows of ``drifts`` (signal, ts_target).
+    on the learner, come in as rows of ``drifts`` (signal, ts_target). ``boundary``
+    (signal, boundary) says where the held-out part begins, unless at each signal's own share.
     """
-    return stepped(*_adaptation(examples, x, baseline_x, arms, lo, hi, train_share, every, gate, drifts, warmup, None)).filter("event = 0").drop("event")
+    return stepped(*_adaptation(examples, x, baseline_x, arms, lo, hi, train_share, every, gate, drifts, warmup, boundary)).filter("event = 0").drop("event")
 
 
 def resumed_adaptation(

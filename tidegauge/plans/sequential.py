@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions.exprs import rounded
-from tidegauge.operators import baselines, features, replay, reports, scan, states
+from tidegauge.operators import baselines, experiments, features, replay, reports, scan, states
 from tidegauge.plans.telemetry import BASE, EXAMPLES_SQL, HOUR, examples, forecasts, hourly, raw_regimes, scored
 from tidegauge.session import materialised, shared_dir
 from tidegauge.sources import scenarios
@@ -158,6 +158,13 @@ def experiment_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.with_skill(reports.metrics(both, ["arm", "signal"]), ["signal"]).withColumn("enough", F.col("n") >= LEAST_HELD_OUT)
 
 
+def experiment_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five suites from one replay of their arms: held-out accuracy and skill over all, by regime and over four spans of time."""
+    alarms = drift_page_hinkley(spark, sf_dir).filter("event")
+    found = experiments.run(_learnable(spark, sf_dir), hourly(spark, sf_dir), [*X, *TIME], X, drifts=alarms)
+    return found.select("suite", "arm", "part", "slice", "signal", "n", "mae", "rmse", "bias", "skill")
+
+
 def warmed_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The learning loop whose inputs are scaled first: no forecast before 120 inputs; each adaptation's log with gate size, errors before and after, floor and reason."""
     return _adapted(spark, sf_dir, arms=("online_periodic_drift",), warmup=120, every=60, gate=40)
@@ -212,5 +219,5 @@ def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.with_skill(reports.metrics(scored_, ["arm", "signal"]), ["signal"])
 
 
-QUERIES = {f.__name__: f for f in (resolve_stream, streaming_page_hinkley, scenario_metrics, drift_page_hinkley, page_hinkley_in_blocks, drift_adwin, drift_feature_shift, conformal_aci, rls_online, rls_in_blocks, replay_resumed, warmed_adaptation, adaptation_replay, experiment_core, gate_reasons)}
+QUERIES = {f.__name__: f for f in (resolve_stream, streaming_page_hinkley, scenario_metrics, drift_page_hinkley, page_hinkley_in_blocks, drift_adwin, drift_feature_shift, conformal_aci, rls_online, rls_in_blocks, replay_resumed, warmed_adaptation, adaptation_replay, experiment_core, experiment_suites, gate_reasons)}
 SQL = {"resolve_stream": f"WITH {BASE} SELECT signal, k, round(actual, 6) + 0.0 AS actual, resolved_ts FROM resolved WHERE resolved_ts IS NOT NULL", "page_hinkley_in_blocks": PAGE_HINKLEY_SQL, "streaming_page_hinkley": PAGE_HINKLEY_SQL, "drift_page_hinkley": PAGE_HINKLEY_SQL, "conformal_aci": ACI_SQL, "rls_online": RLS_SQL, "rls_in_blocks": RLS_SQL, "replay_resumed": RLS_SQL}
