@@ -121,6 +121,8 @@ def with_log(rows: DataFrame, log: DataFrame, key: str, order: Sequence[str], co
     return rows.join(newest, key, "left").select(*[c for c in rows.columns if c not in columns], *[F.col("_log")[c].alias(c) for c in columns])
 
 
-def reference_now(rows: DataFrame, otherwise: float) -> DataFrame:
-    """One row: the time of the newest reading, by which stored data are judged, or ``otherwise`` where there is none."""
-    return rows.agg(F.coalesce(F.max("ts"), F.lit(otherwise)).alias("now"))
+def reference_now(rows: DataFrame, clock: float, by: Sequence[str] = (), stale: float = 300.0) -> DataFrame:
+    """(by, now, live): the clock while readings come in or where there are none, the newest reading once it is over ``stale`` seconds old."""
+    newest = rows.groupBy(*by).agg(F.max("ts").alias("_newest"))
+    live = F.coalesce(F.lit(float(clock)) - F.col("_newest") <= stale, F.lit(True))
+    return newest.select(*by, F.when(live, F.lit(float(clock))).otherwise(F.col("_newest")).alias("now"), live.alias("live"))

@@ -166,9 +166,18 @@ def interval_clip(spark, sf_dir):
     return widths(spark, sf_dir).filter("width IS NOT NULL").select("signal", "k", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
 
 
-@query("reference_now", f"WITH {READINGS_SQL} SELECT coalesce(max(ts), 0.0) AS now FROM readings")
+#: A clock a day after the readings, and one by which only some signals' readings are fresh.
+_LATER, _AMONG = 1_706_745_600.0, 1_706_658_900.0
+
+
+@query("reference_now", f"WITH {READINGS_SQL} SELECT CASE WHEN {_LATER} - max(ts) > 300 THEN max(ts) ELSE {_LATER} END AS now, coalesce({_LATER} - max(ts) <= 300, true) AS live FROM readings")
 def reference_now(spark, sf_dir):
-    return store.reference_now(readings(spark, sf_dir), 0.0)
+    return store.reference_now(readings(spark, sf_dir), _LATER)
+
+
+@query("reference_now_by_signal", f"WITH {READINGS_SQL} SELECT signal, CASE WHEN {_AMONG} - max(ts) > 300 THEN max(ts) ELSE {_AMONG} END AS now, {_AMONG} - max(ts) <= 300 AS live FROM readings GROUP BY signal")
+def reference_now_by_signal(spark, sf_dir):
+    return store.reference_now(readings(spark, sf_dir), _AMONG, ["signal"])
 
 
 @query("current_facts", f"""WITH {GRID}, n AS (SELECT max(ts) AS ts FROM grid), p AS (SELECT unnest(['signup', 'view', 'click']) AS signal, unnest([1, 2, 3]) AS place)
