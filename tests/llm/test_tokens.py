@@ -63,6 +63,21 @@ def test_long_pieces_through_duckdb():
         assert made.memo[p] == (" ".join(map(str, ids)), len(ids), p.encode())
 
 
+def test_bpe_memo_keeps_what_is_asked_for_again(monkeypatch, encoding):
+    """Pieces of every text are contracted once, however often the memo fills."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 60)
+    monkeypatch.setattr(bpe, "_WORKER", {})
+    learned, learn = [], bpe.DuckBpe.learn
+    monkeypatch.setattr(bpe.DuckBpe, "learn", lambda self, pieces: (learned.extend(pieces), learn(self, pieces))[1])
+    texts = ["often comes this" + "".join(f" w{chr(97 + n % 26)}{chr(97 + n // 26)}x{chr(97 + k)}" for k in range(16)) for n in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], names=["doc_id", "text"])
+    got = [r["ids"] for b in bpe.encode_partition(iter([batch]), vocabulary_path(bpe.VOCABULARY), True) for r in b.to_pylist()]
+    assert got == [encoding.encode_ordinary(t) for t in texts]
+    assert [learned.count(p) for p in ("often", " comes", " this")] == [1, 1, 1] and len(learned) == 3 + 60 * 16
+
+
 def test_bpe_memo_overflow_changes_nothing(monkeypatch, encoding):
     import pyarrow as pa
 

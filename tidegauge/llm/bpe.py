@@ -4,9 +4,9 @@ A worker keeps an in-process DuckDB with two tables: ``merges`` (a pair of ids,
 merged id; a pair's rank is its merged id) and ``vocab`` (id, bytes). The
 distinct pieces of a block of texts become token-position rows; a recursive
 query contracts each word's leftmost minimum-rank pair until no pair of the
-word is in the merge table. An ordered aggregation over positions joins the
-ids, and another, through ``vocab``, decodes them. Pieces seen before come from
-a bounded memo of these same results.
+word is in the merge table. An ordered aggregation over positions decodes the
+ids through ``vocab``. Pieces seen before come from a bounded memo of these same
+results; when it is full, those that were asked for again stay.
 
 A word of n bytes takes up to n rounds over its rows. Pieces of more than
 ``LONG_PIECE`` bytes (rare: unbroken runs) therefore take a second recursion,
@@ -18,6 +18,7 @@ random letters: 30 s) take the same contraction from a heap (0.05 s).
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import tempfile
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import SLICE_ROWS, map_arrow, slices, table, text_or_empty
-from tidegauge.llm.pretokens import BoundedCache, ranks, splitter, vocabulary_path
+from tidegauge.llm.pretokens import ranks, splitter, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes above which a piece takes the recursion of long pieces, and above which the heap.
 LONG_PIECE, HUGE_PIECE = 96, 4_000
-#: Pieces a worker remembers; about 120 MB.
+#: Pieces a worker remembers (about 120 MB); more only if one text has more.
 CACHE_PIECES = 300_000
 DUCKDB_MEMORY = "256MB"
 
@@ -83,12 +84,13 @@ WITH RECURSIVE run(word, toks) USING KEY (word) AS (
 SELECT word, toks FROM run
 """
 
-#: Ordered aggregation: the ids of a word as text, and the bytes that they stand for (hexadecimal).
+#: The ids of a word as text, and by an ordered aggregation the bytes that they stand for (hexadecimal).
 COLLECT = """
-SELECT f.word, string_agg(CAST(f.tok AS VARCHAR), ' ' ORDER BY f.pos) AS ids,
-       count(*) AS n, string_agg(v.hex, '' ORDER BY f.pos) AS hex
-FROM (SELECT word, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM final) f
-JOIN vocab v ON v.id = f.tok GROUP BY f.word
+SELECT word, array_to_string(toks, ' ') AS ids, len(toks) AS n, hex
+FROM final JOIN (
+  SELECT f.word, string_agg(v.hex, '' ORDER BY f.pos) AS hex
+  FROM (SELECT word, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM final) f
+  JOIN vocab v ON v.id = f.tok GROUP BY f.word) USING (word)
 """
 
 
@@ -144,7 +146,9 @@ class DuckBpe:
         self.vocab = ranks(path)
         self.single = [self.vocab[bytes([b])] for b in range(256)]
         self.bytes_of = {i: t for t, i in self.vocab.items()}
-        self.memo = BoundedCache(CACHE_PIECES)
+        #: Results by piece, and the pieces that a later span of texts asked for again.
+        self.memo: dict[str, tuple[str, int, bytes]] = {}
+        self.again: set[str] = set()
         # What does not fit goes to the task's own scratch folder, and is of no use to any other.
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": tempfile.gettempdir()})
         merges = list(merge_rows(self.vocab))
@@ -159,6 +163,14 @@ class DuckBpe:
         self.con.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM incoming")
         self.con.unregister("incoming")
 
+    def make_room(self, used: set[str], fresh: set[str]) -> None:
+        """Forget, where ``fresh`` would not fit, the pieces that were asked for once only; if that is too little, all but the ``used`` ones."""
+        self.again |= used - fresh
+        if len(self.memo) + len(fresh) > CACHE_PIECES:
+            kept = self.again if len(self.again) + len(fresh) <= CACHE_PIECES * 3 // 4 else used - fresh
+            self.memo = {p: self.memo[p] for p in kept}
+            self.again = set()
+
     def learn(self, pieces: list[str]) -> None:
         """Put (ids as text, count, decoded bytes) of each piece into the memo."""
         coded = [p.encode() for p in pieces]
@@ -204,32 +216,43 @@ def _blocks(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterat
 
 def encode_partition(batches: Iterator[pa.RecordBatch], path: str, keep: bool) -> Iterator[pa.RecordBatch]:
     """Rows of (doc_id, n_tokens, digests), or with ``keep`` of (doc_id, ids, decoded)."""
+    # Nothing here makes cycles, and a collection walks through every piece of a block and of the memo.
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        yield from _encode_blocks(_blocks(batches), path, keep)
+    finally:
+        if collecting:
+            gc.enable()
+
+
+def _encode_blocks(blocks: Iterator[tuple[list, list]], path: str, keep: bool) -> Iterator[pa.RecordBatch]:
     bpe, split = _encoder(path), splitter()
-    memo = bpe.memo
-    for doc_ids, texts in _blocks(batches):
+    for doc_ids, texts in blocks:
         at = 0
         out: list[tuple] = []
         pieces = [split(t) for t in texts]
         while at < len(texts):
             # As many texts as the memo can serve at once.
+            used: set[str] = set()
             fresh: set[str] = set()
             upto = at
             while upto < len(texts) and (upto == at or len(fresh) < CACHE_PIECES // 4):
-                fresh.update([p for p in pieces[upto] if p not in memo])
+                here = set(pieces[upto]).difference(used)
+                fresh |= here.difference(bpe.memo)
+                used |= here
                 upto += 1
-            if len(memo) + len(fresh) > memo.limit:
-                memo.clear()
-                fresh = {p for k in range(at, upto) for p in pieces[k]}
+            bpe.make_room(used, fresh)
             if fresh:
                 bpe.learn(list(fresh))
+            find = bpe.memo.__getitem__
             for k in range(at, upto):
-                found = [memo[p] for p in pieces[k]]
-                ids = " ".join([f[0] for f in found])
-                decoded = b"".join([f[2] for f in found])
+                ids, counts, decoded = zip(*map(find, pieces[k]), strict=True) if pieces[k] else ((), (), ())
+                ids, decoded = " ".join(ids), b"".join(decoded)
                 if keep:
                     out.append((doc_ids[k], [int(x) for x in ids.split()], decoded))
                 else:
-                    out.append((doc_ids[k], sum([f[1] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                    out.append((doc_ids[k], sum(counts), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             at = upto
         cols = list(zip(*out, strict=True))
         if keep:
