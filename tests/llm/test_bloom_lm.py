@@ -38,6 +38,44 @@ def test_better_than_base_on_unseen_text(spark, sf_dir):
     assert all(r.score < 0 for r in rows)
 
 
+def exact_scores(rows):
+    """Each text's score by exact levels of every word and pair."""
+    def level(n):
+        return int(math.floor(math.log(n) / math.log(lm.BASE) + 1e-9)) + 1 if n else 0
+
+    seen = [tokens(x) for i, x in rows if not held_out(i)]
+    ones = collections.Counter(t for w in seen for t in w)
+    twos = collections.Counter(p for w in seen for p in zip([None, *w], w, strict=False))
+    mass = sum(float(lm.level_floor(level(n))) for n in ones.values())
+
+    def one(v, w):
+        floor, top = float(lm.level_floor(level(ones[v]))), max(float(lm.level_top(level(ones[v]))), 1.0)
+        k = lm.WEIGHT * floor / (floor + lm.KAPPA)
+        unigram = (float(lm.level_floor(level(ones[w]))) + 0.5) / (mass + 0.5 * (len(ones) + 1))
+        return math.log10((1 - k) * unigram + k * min(float(lm.level_floor(level(twos[v, w]))) / top, 1.0))
+
+    return [(str(i), round(sum(one(v, w) for v, w in zip([None, *tokens(x)], tokens(x), strict=False)), 5)) for i, x in rows]
+
+
+@pytest.mark.parametrize("bits", [0, 3_000, lm.MAX_FILTER_BITS])
+def test_what_the_filter_does_not_hold_is_scored_exactly(spark, docs, texts, bits, monkeypatch):
+    """Of no words and pairs, of the commonest or of all in the filter, every count reaches the score; so large an item has no false positives."""
+    if bits < lm.MAX_FILTER_BITS:
+        monkeypatch.setattr(lm, "BITS_PER_ITEM", 1_000)
+    rows = lm.score_documents(docs, max_filter_bits=max(bits * 1_000, lm.BLOCKS * 8)).collect()
+    got, want = (sorted(x) for x in ([(str(r.doc_id), round(r.score, 5)) for r in rows], exact_scores(texts)))
+    if bits < lm.MAX_FILTER_BITS:
+        assert got == want
+    else:
+        assert sum(a == b for a, b in zip(got, want, strict=True)) > 0.5 * len(want)
+
+
+def test_trained_tokens_outside_the_filter_were_seen_once():
+    level, trained = np.array([0, 0, 3], np.int16), np.array([True, False, False])
+    assert [lm.settled(level, trained, cut).tolist() for cut in (1, 2, 3)] == [[0, 0, 3], [1, -1, 3], [-1, -1, 3]]
+    assert lm.settled(level, trained, np.array([1, 2, 2])).tolist() == [0, -1, 3]
+
+
 def test_filter_is_never_too_low(spark, sf_dir):
     rows = lm.flagged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for bits in (lm.MAX_FILTER_BITS, lm.BLOCKS * 1024):

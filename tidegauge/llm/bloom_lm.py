@@ -4,22 +4,25 @@ Training counts all words (named by 128-bit hashes, of which no two words share
 one but with a chance of 2**-128) and adjacent pairs (64-bit) of the training
 texts, in blocks, summed by a shuffle. Long texts are taken in pieces. A count ``n`` is quantised to
 level ``q`` with ``1.5**(q-1) <= n < 1.5**q``; the filter holds the items
-(hash, 2) to (hash, q), so probing level after level until one is missing gives
-back the level, one-sided: never too low, too high with the filter's false
-positive rate. The level stands for the least count in it.
+(hash, 2) to (hash, q), or (hash, 1) of what is seen once, so probing level after
+level until one is missing gives back the level, one-sided: never too low, too high
+with the filter's false positive rate. The level stands for the least count in it.
 
 Smoothing: P(w | v) = (1 - k) P1(w) + k c(v, w) / C(v). P1 is the quantised
 unigram model with half a count added for each known word and one for the
 unknown; C(v) is the greatest count of v's level, so that the pair part sums to
-at most 1; k = WEIGHT * c(v) / (c(v) + KAPPA), 0 for a context not in the filter.
+at most 1; k = WEIGHT * c(v) / (c(v) + KAPPA), 0 for a context never seen.
 
 Bounds. The filter is broadcast and so has at most ``MAX_FILTER_BITS``; it has
 ``BITS_PER_ITEM`` bits for an item. Counts are gathered over all training text
-whatever its size; pairs (and, after them, words) enter by falling count level
-until the items fit, pairs and words seen once never do. What the filter does
-not hold is scored by the lower order. Exact word counts are needed for the
-base score: those of at most ``HEAD_WORDS`` commonest words are broadcast, all
-others reach the documents that hold them by a join.
+whatever its size; words and pairs enter by falling count level until the items
+fit, the last level's pairs for as many of the filter's blocks as there is room. All others keep their exact counts: a token of which the filter does not
+tell everything leaves the worker with what it does tell, and joins of these
+tokens with the counts below the filter's levels give the rest. (What a training
+text holds and the filter does not was seen once where all else is in the filter,
+and needs no join.) Exact word counts are needed for the base score: those of at
+most ``HEAD_WORDS`` commonest words are broadcast, all others reach the documents
+that hold them by a join.
 
 The filter is built in ``BLOCKS`` blocks by hash prefix, each by one task; only
 finished blocks come to the driver.
@@ -34,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import map_arrow, materialise, slices, table, text_or_empty
@@ -69,6 +72,16 @@ def _level_column(n: str):
     return F.floor(F.ln(F.col(n).cast("double")) / F.lit(float(np.log(BASE))) + F.lit(1e-9)).cast("int") + 1
 
 
+def _floor_column(q: Column) -> Column:
+    """As ``level_floor``."""
+    return F.when(q > 0, F.ceil(F.pow(F.lit(BASE), q - 1) - 1e-9)).otherwise(0).cast("double")
+
+
+def _top_column(q: Column) -> Column:
+    """As ``level_top``."""
+    return F.greatest(_floor_column(q + 1) - 1, _floor_column(q))
+
+
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return finalise(first * np.uint64(0x9E3779B97F4A7C15) + (second ^ (second >> np.uint64(32))) + np.uint64(0x632BE59BD9B4E019))
@@ -181,8 +194,8 @@ def build_blocks(batches: Iterator[pa.RecordBatch], block_bits: int) -> Iterator
             for o in (1, 2):
                 held = (blocks == b) & (order == o)
                 hashes, levels = h[held], level[held]
-                for q in range(2, int(levels.max(initial=0)) + 1):
-                    chosen = hashes[levels >= q]
+                for q in range(1, int(levels.max(initial=0)) + 1):
+                    chosen = hashes[levels >= q if q > 1 else levels == 1]
                     g, step = item_seeds(chosen, o, q)
                     for i in range(PROBES):
                         bits[probe(g, step, i, block_bits)] = True
@@ -191,43 +204,65 @@ def build_blocks(batches: Iterator[pa.RecordBatch], block_bits: int) -> Iterator
 
 
 class LogFrequencyFilter:
-    """Levels of n-grams by repeated membership probes."""
+    """Levels of n-grams by repeated membership probes; ``cut`` has the least level held, by order, but one level more of pairs is held in the first ``part`` blocks."""
 
-    def __init__(self, data: bytes, block_bits: int, max_level: int):
+    def __init__(self, data: bytes, block_bits: int, max_level: int, cut: dict[int, int] | None = None, part: int = 0):
         self.bits = np.frombuffer(data, np.uint8)
-        self.block_bits, self.max_level = block_bits, max_level
+        self.block_bits, self.max_level, self.cut, self.part = block_bits, max_level, cut or {1: 1, 2: 1}, part
+
+    def least(self, h: np.ndarray, order: int) -> np.ndarray:
+        """The least level that is held where ``h`` belongs."""
+        return self.cut[order] - (block_of(h) < self.part) if order == 2 else np.full(len(h), self.cut[order])
+
+    def _hits(self, h: np.ndarray, start: np.ndarray, left: np.ndarray, order: int, q: int) -> np.ndarray:
+        """Those of the places ``left`` whose item of level ``q`` is held."""
+        g, step = item_seeds(h[left], order, q)
+        for i in range(PROBES):
+            places = probe(g, step, i, self.block_bits) + start[left]
+            hit = (self.bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+            left, g, step = left[hit], g[hit], step[hit]
+        return left
 
     def levels(self, h: np.ndarray, order: int) -> np.ndarray:
         out = np.zeros(len(h), np.int16)
         left, start = np.arange(len(h)), block_of(h) * self.block_bits
         for q in range(2, self.max_level + 1):
-            g, step = item_seeds(h[left], order, q)
-            for i in range(PROBES):
-                places = probe(g, step, i, self.block_bits) + start[left]
-                hit = (self.bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
-                left, g, step = left[hit], g[hit], step[hit]
+            left = self._hits(h, start, left, order, q)
             if not len(left):
                 break
             out[left] = q
+        out[self._hits(h, start, np.flatnonzero((out == 0) & (self.least(h, order) == 1)), order, 1)] = 1
         return out
 
 
-def bit_probabilities(model: dict, filter_: LogFrequencyFilter, tokens: np.ndarray, before: np.ndarray, words: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """log10 P of each token; ``words``/``place`` are the distinct tokens and where each token is among them."""
+def token_levels(filter_: LogFrequencyFilter, tokens: np.ndarray, before: np.ndarray, words: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Levels in the filter of each token, its context and their pair; ``words``/``place`` are the distinct tokens and where each token is among them."""
     # The context of a token is the token before it, which only at the begin of a block may be none of ``words``.
-    held = np.r_[words, before[:1]]
-    level = filter_.levels(held, 1)
-    floor, top = level_floor(level), level_top(level)
-    unigram = (floor + 0.5) / (model["mass"] + 0.5 * (model["types"] + 1))
-    weight = np.where(level > 0, model["weight"] * floor / (floor + model["kappa"]), 0.0)
+    level = filter_.levels(np.r_[words, before[:1]], 1)
     at = np.searchsorted(words, before)
     at[:1] = len(words)
-    pairs = level_floor(filter_.levels(pair_hash(before, tokens), 2))
-    k = weight[at]
-    return np.log10((1 - k) * unigram[place] + k * np.minimum(pairs / np.maximum(top[at], 1), 1.0))
+    return level[place], level[at], filter_.levels(pair_hash(before, tokens), 2)
+
+
+def probabilities(model: dict, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """log10 P of tokens by their level, that of the context and that of the pair."""
+    floor = level_floor(context)
+    unigram = (level_floor(word) + 0.5) / (model["mass"] + 0.5 * (model["types"] + 1))
+    k = np.where(context > 0, model["weight"] * floor / (floor + model["kappa"]), 0.0)
+    return np.log10((1 - k) * unigram + k * np.minimum(level_floor(pair) / np.maximum(level_top(context), 1), 1.0))
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, tail_g array<long>, tail_n array<long>"
+def bit_probabilities(model: dict, filter_: LogFrequencyFilter, tokens: np.ndarray, before: np.ndarray, words: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """log10 P of each token by the filter alone."""
+    return probabilities(model, *token_levels(filter_, tokens, before, words, place))
+
+
+def settled(level: np.ndarray, trained: np.ndarray, least: np.ndarray | int) -> np.ndarray:
+    """Levels with -1 for those that the filter leaves open: not held, where not all is; what was trained on and is below level 2 was seen once."""
+    return np.where((level > 0) | (np.asarray(least) == 1), level, np.where(trained & (np.asarray(least) == 2), 1, -1)).astype(np.int16)
+
+
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, tail_g array<long>, tail_n array<long>, open array<long>, open_w array<long>, open_v array<long>, level_w array<short>, level_v array<short>, level_p array<short>"
 
 
 def in_head(words: np.ndarray, second: np.ndarray, head: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -250,9 +285,9 @@ def in_head(words: np.ndarray, second: np.ndarray, head: tuple[np.ndarray, np.nd
 
 
 def score_partition(batches: Iterator[pa.RecordBatch], model: dict, shared) -> Iterator[pa.RecordBatch]:
-    """A row for each text; of a text in pieces one for each piece, of which the last has the sums and the others only their rare words."""
+    """A row for each text; of a text in pieces one for each piece, of which the last has the sums and the others only their rare words and open tokens (pair, word and context where they are open, levels or -1)."""
     data, *head = shared.value
-    filter_ = LogFrequencyFilter(data, model["block_bits"], model["max_level"])
+    filter_ = LogFrequencyFilter(data, model["block_bits"], model["max_level"], model["cut"], model["part"])
     head = tuple(np.frombuffer(x, t) for x, t in zip(head, (np.uint64, np.uint64, np.int64), strict=True))
     divisor = model["tokens"] + 0.5 * (model["types"] + 1)
     tokens_of, rid = Tokens(), TaskContext.get().partitionId() << 33
@@ -264,7 +299,16 @@ def score_partition(batches: Iterator[pa.RecordBatch], model: dict, shared) -> I
         doc = np.repeat(np.arange(len(block.texts)), counts)
         is_known = known[place]
         base = np.where(is_known, np.log10((n[place] + 0.5) / divisor), 0.0)
-        score = bit_probabilities(model, filter_, tokens, before, words, place)
+        trained = ~np.array(block.flags, bool)[doc]
+        level_w, level_v, level_p = token_levels(filter_, tokens, before, words, place)
+        level_w, level_v = (settled(x, trained, model["cut"][1]) for x in (level_w, level_v))
+        both = pair_hash(before, tokens)
+        level_p = settled(level_p, trained, filter_.least(both, 2))
+        is_open = (level_w < 0) | (level_v < 0) | (level_p < 0)
+        score = np.where(is_open, 0.0, probabilities(model, level_w, level_v, level_p))
+        left = np.flatnonzero(is_open)
+        left_at = pa.array(np.r_[0, np.cumsum(np.bincount(doc[left], minlength=len(block.texts)))].astype(np.int32))
+        left_columns = (both[left], np.where(level_w[left] < 0, tokens[left], np.uint64(0)), np.where(level_v[left] < 0, before[left], np.uint64(0)))
         total = lambda x: np.bincount(doc, x, len(block.texts))  # noqa: B023, E731
         sums = np.stack([counts.astype(np.float64), total(is_known), total(base), total(score)])
         if not block.opened:
@@ -281,30 +325,40 @@ def score_partition(batches: Iterator[pa.RecordBatch], model: dict, shared) -> I
             pa.array(np.arange(rid, rid + len(block.texts))), pa.array(block.ids, pa.int64()), pa.array(block.flags, pa.bool_()), pa.array(sums[0].astype(np.int64), mask=~done),
             pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3]),
             *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (words[word].view(np.int64), words_g[word].view(np.int64), times.astype(np.int64))),
+            *(pa.ListArray.from_arrays(left_at, pa.array(x.view(np.int64))) for x in left_columns),
+            *(pa.ListArray.from_arrays(left_at, pa.array(x[left])) for x in (level_w, level_v, level_p)),
         ]
         rid += len(block.texts) - (not block.ended)
         yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCORED.split(", ")])
 
 
+def _in_filter(cut: dict[int, int], part: int) -> Column:
+    """Whether a row of the counts belongs into the filter."""
+    more = (F.shiftrightunsigned("h", 56) < part).cast("int")
+    return F.col("level") >= F.when(F.col("ord") == 1, cut[1]).otherwise(F.lit(cut[2]) - more)
+
+
 def train(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, head_words: int = HEAD_WORDS, weight: float = WEIGHT, kappa: float = KAPPA) -> tuple[dict, DataFrame, tuple]:
     """(model figures, n-gram counts, what is broadcast) from rows (doc_id, held_out, text), all of them training rows."""
     partial = map_arrow(docs, count_partition, "ord tinyint, h long, g long, n long").repartition("ord", "h", "g")
-    summed = partial.groupBy("ord", "h", "g").agg(F.sum("n").alias("n")).filter("ord = 1 OR n > 1")
+    summed = partial.groupBy("ord", "h", "g").agg(F.sum("n").alias("n"))
     counts = materialise(summed.withColumn("level", _level_column("n")), "ngrams")
     levels = counts.groupBy("ord", "level").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.min("n").alias("low")).collect()
     tokens, types = sum(r.n for r in levels if r.ord == 1), sum(r.k for r in levels if r.ord == 1)
-    cut = {1: 2, 2: 2}
+    cut = {1: 1, 2: 1}
     top = max([r.level for r in levels], default=1)
-    items = lambda: sum(r.k * (r.level - 1) for r in levels if r.level >= cut[r.ord])
-    for order in (2, 1):
-        while items() * BITS_PER_ITEM > max_filter_bits and cut[order] <= top:
-            cut[order] += 1
+    items = lambda: sum(r.k * max(r.level - 1, 1) for r in levels if r.level >= cut[r.ord])
+    while items() * BITS_PER_ITEM > max_filter_bits and cut[1] <= top:
+        cut[2 if cut[2] <= cut[1] else 1] += 1
+    # The room that is left goes to the pairs of the next level, in whole blocks.
+    below = sum(r.k * max(r.level - 1, 1) for r in levels if r.ord == 2 and r.level == cut[2] - 1)
+    part = min(int(max(max_filter_bits / BITS_PER_ITEM - items(), 0) * BLOCKS // below), BLOCKS) if below else 0
     bits = BLOCKS * 64
     while bits < min(items() * BITS_PER_ITEM, max_filter_bits):
         bits *= 2
     block_bits = min(bits, max_filter_bits) // BLOCKS
-    held = counts.filter(f"(ord = 1 AND level >= {cut[1]}) OR (ord = 2 AND level >= {cut[2]})").select("ord", "h", "level")
     block = F.shiftrightunsigned("h", 56)
+    held = counts.filter(_in_filter(cut, part)).select("ord", "h", "level")
     blocks = map_arrow(held.repartition(block), lambda b: build_blocks(b, block_bits), "block int, bits binary").collect()
     empty = bytes(block_bits // 8)
     by_block = {r.block: bytes(r.bits) for r in blocks}
@@ -318,11 +372,34 @@ def train(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, head_words: i
     common = counts.filter(f"ord = 1 AND level >= {low}").select("h", "g", "n").toArrow()
     h, g, n = common.column(0).to_numpy().view(np.uint64), common.column(1).to_numpy().view(np.uint64), common.column(2).to_numpy()
     sort = np.lexsort((g, h))
-    mass = sum(float(level_floor(r.level)) * r.k for r in levels if r.ord == 1 and r.level >= cut[1])
-    model = {"tokens": int(tokens), "types": int(types), "mass": mass, "block_bits": block_bits, "max_level": int(top), "weight": weight, "kappa": kappa, "head_level": low, "cut": cut, "items": items()}
+    mass = sum(float(level_floor(r.level)) * r.k for r in levels if r.ord == 1)
+    model = {"tokens": int(tokens), "types": int(types), "mass": mass, "block_bits": block_bits, "max_level": int(top), "weight": weight, "kappa": kappa, "head_level": low, "cut": cut, "part": part, "items": items()}
     return model, counts, (data, h[sort].tobytes(), g[sort].tobytes(), n[sort].astype(np.int64).tobytes())
 
 
+def open_scores(scored: DataFrame, counts: DataFrame, model: dict) -> DataFrame:
+    """(rid, open_score): log10 P of the tokens that the filter left open, summed by text; the levels that it does not hold are joined."""
+    names = ["open", "open_w", "open_v", "level_w", "level_v", "level_p"]
+    tokens = scored.select("rid", F.inline(F.arrays_zip(*names)))
+    low = counts.filter(f"level < {model['cut'][1]} AND ord = 1").groupBy("h").agg(F.max("level").alias("low"))
+    some_word = (F.col("level_w") < 0) | (F.col("level_v") < 0)
+    words = tokens.filter(some_word)
+    for slot in ("w", "v"):
+        level, word = F.col(f"level_{slot}"), F.col(f"open_{slot}")
+        # A word that is known goes by the pair instead, so that such rows do not meet in one task.
+        found = words.withColumn("h", F.when(level < 0, word).otherwise(F.col("open"))).join(low, "h", "left")
+        words = found.withColumn(f"level_{slot}", F.when(level < 0, F.coalesce("low", F.lit(0))).otherwise(level)).drop("h", "low")
+    pairs = counts.filter("ord = 2").filter(~_in_filter(model["cut"], model["part"])).select(F.col("h").alias("open"), F.col("level").alias("low"))
+    kept = ["rid", "open", "level_w", "level_v", "level_p"]
+    found = tokens.filter(~some_word).select(kept).union(words.select(kept)).join(pairs, "open", "left")
+    level_p = F.when(F.col("level_p") < 0, F.coalesce("low", F.lit(0))).otherwise(F.col("level_p"))
+    floor = _floor_column(F.col("level_v"))
+    unigram = (_floor_column(F.col("level_w")) + 0.5) / F.lit(model["mass"] + 0.5 * (model["types"] + 1))
+    k = F.lit(model["weight"]) * floor / (floor + F.lit(model["kappa"]))
+    pair = F.least(_floor_column(level_p) / F.greatest(_top_column(F.col("level_v")), F.lit(1.0)), F.lit(1.0))
+    return found.groupBy("rid").agg(F.sum(F.log10((1 - k) * unigram + k * pair)).alias("open_score"))
+
+
 def flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, text): held out where crc32 of the id as text leaves 1 modulo 5 (a null id counts as empty text)."""
     crc = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
@@ -349,10 +426,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = F.coalesce("n", F.lit(0))
     rest = tail.join(known, ["h", "g"], "left").groupBy("rid").agg(
         F.sum(F.col("m") * F.log10((n + 0.5) / F.lit(divisor))).alias("rest"), F.sum(F.when(n > 0, F.col("m")).otherwise(0)).alias("rest_known"))
-    whole = scored.filter("n_tokens IS NOT NULL").drop("tail", "tail_g", "tail_n").join(rest, "rid", "left")
+    whole = scored.filter("n_tokens IS NOT NULL").select("rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(rest, "rid", "left")
+    if max(model["cut"].values()) > 1:
+        whole = whole.join(open_scores(scored, counts, model), "rid", "left")
+    else:
+        whole = whole.withColumn("open_score", F.lit(0.0))
     return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"), F.lit(model["tokens"]).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("open_score", F.lit(0.0))).alias("score"))
 
 
 def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
