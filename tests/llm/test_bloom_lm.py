@@ -3,11 +3,13 @@
 import collections
 import math
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.llm import bloom_lm as lm
 from tidegauge.llm import word_hash
@@ -76,6 +78,87 @@ def test_trained_tokens_outside_the_filter_were_seen_once():
     assert lm.settled(level, trained, np.array([1, 2, 2])).tolist() == [0, -1, 3]
 
 
+def counted(texts):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array(texts)], names=["doc_id", "held_out", "text"])
+    rows = [r for b in lm.count_partition(iter([batch])) for r in b.to_pylist()]
+    return [r | {"ord": r["bucket"] >> lm.BUCKET_BITS, "bucket": r["bucket"] % (1 << lm.BUCKET_BITS)} for r in rows]
+
+
+def test_a_worker_sends_each_count_once(spark, monkeypatch):
+    """However many blocks hold an item, it leaves the worker once, unless more tokens are held than a worker may."""
+    texts = ["a b c a", "b c d", "a b"] * 20
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 10)
+    rows = counted(texts)
+    items = [(r["ord"], h, g) for r in rows for h, g in zip(r["h"], r["g"] or [0] * len(r["h"]), strict=True)]
+    assert len(items) == len(set(items)) == 5 + 9
+    assert sum(n for r in rows if r["ord"] == 1 for n in r["n"]) == sum(n for r in rows if r["ord"] == 2 for n in r["n"]) == 20 * 12
+    assert all(np.uint64(h % 2**64) >> np.uint64(64 - lm.BUCKET_BITS) == r["bucket"] for r in rows for h in r["h"])
+    monkeypatch.setattr(lm, "HELD_TOKENS", 10)
+    assert len(counted(texts)) > len(rows)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "false AS held_out", "text").repartition(3)
+    got = {(r.ord, r.h, r.g): r.n for r in lm.summed_counts(docs).collect()}
+    want = collections.Counter()
+    for r in rows:
+        for h, g, n in zip(r["h"], r["g"] or [0] * len(r["h"]), r["n"], strict=True):
+            want[r["ord"], h, g] += n
+    assert got == want
+
+
+def test_counts_of_no_texts():
+    assert counted([]) == []
+
+
+def shuffle_files(spark):
+    return sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+
+
+def test_files_of_a_shuffle_go_with_its_step(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, there = spark.conf.get(key, None), shuffle_files(spark)
+    one = spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count()
+    held = lm.released(one, "seven")
+    for _ in range(100):
+        if shuffle_files(spark) <= there:
+            break
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= there and held.count() == 7 and spark.conf.get(key, None) == before
+
+
+def test_open_tokens_are_joined_in_rounds(spark, docs, monkeypatch):
+    """A round moves no more rows than the counts have; all rounds together give each text's score."""
+    monkeypatch.setattr(lm, "BITS_PER_ITEM", 1_000)
+    steps = []
+    monkeypatch.setattr(lm, "released", lambda df, name, real=lm.released: steps.append(name) or real(df, name))
+    scores = {}
+    for rows in (None, 10**9):
+        train = lm.train
+        with monkeypatch.context() as patch:
+            if rows:
+                patch.setattr(lm, "train", lambda *a, **k: ((made := train(*a, **k))[0].update(rows=rows), made)[1])
+            steps.clear()
+            scores[rows] = sorted((str(r.doc_id), round(r.score, 6)) for r in lm.score_documents(docs, max_filter_bits=lm.BLOCKS * 8).collect())
+            assert (steps.count("open") > 1) == (rows is None)
+    assert scores[None] == scores[10**9]
+
+
+def test_words_outside_the_filter_are_told_by_the_broadcast_counts(spark, docs):
+    """With all words in the head and none in the filter, no token waits for the count of a word."""
+    rows = lm.flagged(docs)
+    model, _, shared = lm.train(rows.filter("NOT held_out"), max_filter_bits=lm.BLOCKS * 8)
+    assert model["cut"][1] > 1 and model["head_level"] == 1
+    batches = rows.toArrow().to_batches()
+    import types
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lm, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+        out = pa.Table.from_batches(list(lm.score_partition(iter(batches), model, types.SimpleNamespace(value=shared)))).to_pylist()
+    assert sum(len(r["open"]) for r in out) > 0
+    ones = np.arange(1, 5_000)
+    assert (lm.level_floor(lm.level_of(ones)) <= ones).all() and (ones <= lm.level_top(lm.level_of(ones))).all()
+    known = sum(r["n_known"] for r in out)
+    assert sum(len(r["rare"]) for r in out) <= 2 * (sum(r["n_tokens"] for r in out) - known)
+
+
 def test_filter_is_never_too_low(spark, sf_dir):
     rows = lm.flagged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for bits in (lm.MAX_FILTER_BITS, lm.BLOCKS * 1024):

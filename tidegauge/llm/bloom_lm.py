@@ -18,7 +18,8 @@ Bounds. The filter is broadcast and so has at most ``MAX_FILTER_BITS``; it has
 whatever its size; words and pairs enter by falling count level until the items
 fit, the last level's pairs for as many of the filter's blocks as there is room. All others keep their exact counts: a token of which the filter does not
 tell everything leaves the worker with what it does tell, and joins of these
-tokens with the counts below the filter's levels give the rest. (What a training
+tokens with the counts below the filter's levels give the rest, a share of the
+pairs at a time; each share's sums are written before the next is shuffled. (What a training
 text holds and the filter does not was seen once where all else is in the filter,
 and needs no join.) Exact word counts are needed for the base score: those of at
 most ``HEAD_WORDS`` commonest words are broadcast, all others reach the documents
@@ -30,6 +31,7 @@ finished blocks come to the driver.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -51,6 +53,10 @@ BLOCKS = 256
 HEAD_WORDS = 1 << 20
 #: Characters of text that a worker counts or scores at once.
 BLOCK_CHARS = 6_000_000
+#: Tokens over which a worker sums its counts before they are shuffled.
+HELD_TOKENS = 1 << 22
+#: Counts are shuffled as one array for each value of the first so many bits of their hashes.
+BUCKET_BITS = 12
 _GAP = re.compile(r"[\x20\x09-\x0D]")
 WEIGHT = 0.35
 KAPPA = 8.0
@@ -68,6 +74,15 @@ def level_top(q: np.ndarray) -> np.ndarray:
     return np.maximum(level_floor(np.asarray(q) + 1) - 1, level_floor(q))
 
 
+#: Both of all levels that a 64-bit count can have.
+FLOORS, TOPS = level_floor(np.arange(128)), level_top(np.arange(128))
+
+
+def level_of(n: np.ndarray) -> np.ndarray:
+    """The level of counts of 1 or more."""
+    return (np.floor(np.log(n) / np.log(BASE) + 1e-9) + 1).astype(np.int16)
+
+
 def _level_column(n: str):
     return F.floor(F.ln(F.col(n).cast("double")) / F.lit(float(np.log(BASE))) + F.lit(1e-9)).cast("int") + 1
 
@@ -152,17 +167,51 @@ class Tokens:
         return h, g, before, counts
 
 
+COUNTED = "bucket int, h array<long>, g array<long>, n array<int>"
+
+
+def count_rows(order: int, h: np.ndarray, g: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of distinct items, sorted by hash, as one row for each bucket that has any; words and pairs have buckets of their own."""
+    edges = np.searchsorted(h, np.arange(1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS))
+    edges = np.r_[edges, len(h)]
+    filled = np.flatnonzero(np.diff(edges))
+    for at in range(0, len(filled), 256):
+        bucket = filled[at : at + 256]
+        low, high = edges[bucket[0]], edges[bucket[-1] + 1]
+        offsets = pa.array((np.r_[edges[bucket], high] - low).astype(np.int32))
+        arrays = lambda x, kind: pa.ListArray.from_arrays(offsets, pa.array(x[low:high].astype(kind, copy=False)))  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays(
+            [pa.array((bucket + (order << BUCKET_BITS)).astype(np.int32)), arrays(h.view(np.int64), np.int64),
+             pa.nulls(len(bucket), pa.list_(pa.int64())) if g is None else arrays(g.view(np.int64), np.int64), arrays(n, np.int32)], names=["bucket", "h", "g", "n"])
+
+
 def count_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens_of = Tokens()
+    """Counts of words (ord 1) and pairs (ord 2), summed over ``HELD_TOKENS`` tokens and the block that passes them."""
+    tokens_of, pairs, words, held = Tokens(), [], [], 0
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        # In place, as this is the most that a worker holds.
+        h = np.concatenate(pairs)
+        pairs.clear()
+        h.sort()
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        yield from count_rows(2, h[first], None, np.diff(np.r_[first, len(h)]))
+        h, g, n = (np.concatenate(x) for x in zip(*words, strict=True))
+        words.clear()
+        h, g, place = distinct(h, g)
+        yield from count_rows(1, h, g, np.bincount(place, n, len(h)))
+
     for block in _blocks(batches):
         h, g, before, _ = tokens_of(block)
-        words, second, place = distinct(h, g)
-        pairs, times = np.unique(pair_hash(before, h), return_counts=True)
-        for order, first, other, n in ((1, words, second, np.bincount(place, minlength=len(words))), (2, pairs, np.zeros(len(pairs), np.uint64), times)):
-            for at in range(0, len(first), 50_000):
-                part = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(first[part]), order, np.int8)), pa.array(first[part].view(np.int64)), pa.array(other[part].view(np.int64)), pa.array(n[part].astype(np.int64))], names=["ord", "h", "g", "n"])
+        first, second, place = distinct(h, g)
+        pairs.append(pair_hash(before, h))
+        words.append((first, second, np.bincount(place, minlength=len(first))))
+        held += len(h)
+        if held >= HELD_TOKENS:
+            yield from summed()
+            held = 0
+    if held:
+        yield from summed()
 
 
 def block_of(h: np.ndarray) -> np.ndarray:
@@ -239,17 +288,17 @@ def token_levels(filter_: LogFrequencyFilter, tokens: np.ndarray, before: np.nda
     """Levels in the filter of each token, its context and their pair; ``words``/``place`` are the distinct tokens and where each token is among them."""
     # The context of a token is the token before it, which only at the begin of a block may be none of ``words``.
     level = filter_.levels(np.r_[words, before[:1]], 1)
-    at = np.searchsorted(words, before)
+    follows = np.array_equal(before[1:], tokens[:-1])
+    at = np.r_[len(words), place[:-1]] if follows and len(place) else np.searchsorted(words, before)
     at[:1] = len(words)
     return level[place], level[at], filter_.levels(pair_hash(before, tokens), 2)
 
 
 def probabilities(model: dict, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """log10 P of tokens by their level, that of the context and that of the pair."""
-    floor = level_floor(context)
-    unigram = (level_floor(word) + 0.5) / (model["mass"] + 0.5 * (model["types"] + 1))
-    k = np.where(context > 0, model["weight"] * floor / (floor + model["kappa"]), 0.0)
-    return np.log10((1 - k) * unigram + k * np.minimum(level_floor(pair) / np.maximum(level_top(context), 1), 1.0))
+    """log10 P of tokens by their level, that of the context and that of the pair; of no meaning where one is -1."""
+    unigram = ((FLOORS + 0.5) / (model["mass"] + 0.5 * (model["types"] + 1)))[word]
+    k = (model["weight"] * FLOORS / (FLOORS + model["kappa"]))[context]
+    return np.log10((1 - k) * unigram + k * np.minimum(FLOORS[pair] / np.maximum(TOPS[context], 1), 1.0))
 
 
 def bit_probabilities(model: dict, filter_: LogFrequencyFilter, tokens: np.ndarray, before: np.ndarray, words: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -262,7 +311,17 @@ def settled(level: np.ndarray, trained: np.ndarray, least: np.ndarray | int) ->
     return np.where((level > 0) | (np.asarray(least) == 1), level, np.where(trained & (np.asarray(least) == 2), 1, -1)).astype(np.int16)
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, tail_g array<long>, tail_n array<long>, open array<long>, open_w array<long>, open_v array<long>, level_w array<short>, level_v array<short>, level_p array<short>"
+def code_of(word, context, pair):
+    """Three levels, each -1 to 126, as one number; of arrays or columns."""
+    return (word + 1) + (context + 1) * 128 + (pair + 1) * 16_384
+
+
+def _levels_of(code: Column) -> list[Column]:
+    """The levels of word, context and pair in a code."""
+    return [F.shiftright(code, at).bitwiseAND(127) - 1 for at in (0, 7, 14)]
+
+
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, tail_g array<long>, tail_n array<long>, open array<long>, code array<int>, rare array<long>, rare_code array<int>, rare_w array<long>, rare_v array<long>"
 
 
 def in_head(words: np.ndarray, second: np.ndarray, head: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -285,7 +344,7 @@ def in_head(words: np.ndarray, second: np.ndarray, head: tuple[np.ndarray, np.nd
 
 
 def score_partition(batches: Iterator[pa.RecordBatch], model: dict, shared) -> Iterator[pa.RecordBatch]:
-    """A row for each text; of a text in pieces one for each piece, of which the last has the sums and the others only their rare words and open tokens (pair, word and context where they are open, levels or -1)."""
+    """A row for each text; of a text in pieces one for each piece, of which the last has the sums and the others only their rare words and open tokens: ``open`` has those of which only the pair is open, ``rare`` those of which the word or its context is (0 where it is not)."""
     data, *head = shared.value
     filter_ = LogFrequencyFilter(data, model["block_bits"], model["max_level"], model["cut"], model["part"])
     head = tuple(np.frombuffer(x, t) for x, t in zip(head, (np.uint64, np.uint64, np.int64), strict=True))
@@ -302,13 +361,22 @@ def score_partition(batches: Iterator[pa.RecordBatch], model: dict, shared) -> I
         trained = ~np.array(block.flags, bool)[doc]
         level_w, level_v, level_p = token_levels(filter_, tokens, before, words, place)
         level_w, level_v = (settled(x, trained, model["cut"][1]) for x in (level_w, level_v))
+        # A word that the filter leaves open may be among the broadcast ones; a context is the word before it, but for the block's first.
+        exact = np.where(is_known, level_of(np.maximum(n, 1))[place], -1)
+        level_w = np.where(level_w < 0, exact, level_w)
+        level_v[1:] = np.where((level_v[1:] < 0) & (before[1:] == tokens[:-1]), exact[:-1], level_v[1:])
         both = pair_hash(before, tokens)
         level_p = settled(level_p, trained, filter_.least(both, 2))
-        is_open = (level_w < 0) | (level_v < 0) | (level_p < 0)
-        score = np.where(is_open, 0.0, probabilities(model, level_w, level_v, level_p))
-        left = np.flatnonzero(is_open)
-        left_at = pa.array(np.r_[0, np.cumsum(np.bincount(doc[left], minlength=len(block.texts)))].astype(np.int32))
-        left_columns = (both[left], np.where(level_w[left] < 0, tokens[left], np.uint64(0)), np.where(level_v[left] < 0, before[left], np.uint64(0)))
+        rare = (level_w < 0) | (level_v < 0)
+        is_open = rare | (level_p < 0)
+        score = probabilities(model, level_w, level_v, level_p)
+        score[is_open] = 0.0
+        code = code_of(level_w.astype(np.int32), level_v.astype(np.int32), level_p.astype(np.int32))
+        left = []
+        for chosen, columns in ((is_open & ~rare, (both, code)), (rare, (both, code, np.where(level_w < 0, tokens, np.uint64(0)), np.where(level_v < 0, before, np.uint64(0))))):
+            at = np.flatnonzero(chosen)
+            offsets = pa.array(np.r_[0, np.cumsum(np.bincount(doc[at], minlength=len(block.texts)))].astype(np.int32))
+            left += [pa.ListArray.from_arrays(offsets, pa.array(x[at].view(np.int64) if x.dtype == np.uint64 else x[at])) for x in columns]
         total = lambda x: np.bincount(doc, x, len(block.texts))  # noqa: B023, E731
         sums = np.stack([counts.astype(np.float64), total(is_known), total(base), total(score)])
         if not block.opened:
@@ -325,8 +393,7 @@ def score_partition(batches: Iterator[pa.RecordBatch], model: dict, shared) -> I
             pa.array(np.arange(rid, rid + len(block.texts))), pa.array(block.ids, pa.int64()), pa.array(block.flags, pa.bool_()), pa.array(sums[0].astype(np.int64), mask=~done),
             pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3]),
             *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (words[word].view(np.int64), words_g[word].view(np.int64), times.astype(np.int64))),
-            *(pa.ListArray.from_arrays(left_at, pa.array(x.view(np.int64))) for x in left_columns),
-            *(pa.ListArray.from_arrays(left_at, pa.array(x[left])) for x in (level_w, level_v, level_p)),
+            *left,
         ]
         rid += len(block.texts) - (not block.ended)
         yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCORED.split(", ")])
@@ -338,11 +405,17 @@ def _in_filter(cut: dict[int, int], part: int) -> Column:
     return F.col("level") >= F.when(F.col("ord") == 1, cut[1]).otherwise(F.lit(cut[2]) - more)
 
 
+def summed_counts(docs: DataFrame) -> DataFrame:
+    """(ord, h, g, n) of all words and pairs of the texts; arrays are shuffled by bucket and taken apart only where they are added up."""
+    partial = map_arrow(docs, count_partition, COUNTED).repartition("bucket")
+    rows = partial.select("bucket", "g", "n", F.posexplode("h").alias("at", "one"))
+    rows = rows.select("bucket", F.col("one").alias("h"), F.coalesce(F.get("g", F.col("at")), F.lit(0)).alias("g"), F.get("n", F.col("at")).alias("n"))
+    return rows.groupBy("bucket", "h", "g").agg(F.sum("n").alias("n")).select(F.shiftright("bucket", BUCKET_BITS).cast("tinyint").alias("ord"), "h", "g", "n")
+
+
 def train(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, head_words: int = HEAD_WORDS, weight: float = WEIGHT, kappa: float = KAPPA) -> tuple[dict, DataFrame, tuple]:
     """(model figures, n-gram counts, what is broadcast) from rows (doc_id, held_out, text), all of them training rows."""
-    partial = map_arrow(docs, count_partition, "ord tinyint, h long, g long, n long").repartition("ord", "h", "g")
-    summed = partial.groupBy("ord", "h", "g").agg(F.sum("n").alias("n"))
-    counts = materialise(summed.withColumn("level", _level_column("n")), "ngrams")
+    counts = released(summed_counts(docs).withColumn("level", _level_column("n")), "ngrams")
     levels = counts.groupBy("ord", "level").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.min("n").alias("low")).collect()
     tokens, types = sum(r.n for r in levels if r.ord == 1), sum(r.k for r in levels if r.ord == 1)
     cut = {1: 1, 2: 1}
@@ -358,6 +431,7 @@ def train(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, head_words: i
         bits *= 2
     block_bits = min(bits, max_filter_bits) // BLOCKS
     block = F.shiftrightunsigned("h", 56)
+    below_filter = sum(r.k for r in levels if r.ord == 2 and r.level < cut[2])
     held = counts.filter(_in_filter(cut, part)).select("ord", "h", "level")
     blocks = map_arrow(held.repartition(block), lambda b: build_blocks(b, block_bits), "block int, bits binary").collect()
     empty = bytes(block_bits // 8)
@@ -373,31 +447,57 @@ def train(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, head_words: i
     h, g, n = common.column(0).to_numpy().view(np.uint64), common.column(1).to_numpy().view(np.uint64), common.column(2).to_numpy()
     sort = np.lexsort((g, h))
     mass = sum(float(level_floor(r.level)) * r.k for r in levels if r.ord == 1)
-    model = {"tokens": int(tokens), "types": int(types), "mass": mass, "block_bits": block_bits, "max_level": int(top), "weight": weight, "kappa": kappa, "head_level": low, "cut": cut, "part": part, "items": items()}
+    model = {"tokens": int(tokens), "types": int(types), "mass": mass, "block_bits": block_bits, "max_level": int(top), "weight": weight, "kappa": kappa, "head_level": low, "cut": cut, "part": part, "items": items(), "rows": sum(r.k for r in levels), "below": below_filter}
     return model, counts, (data, h[sort].tobytes(), g[sort].tobytes(), n[sort].astype(np.int64).tobytes())
 
 
-def open_scores(scored: DataFrame, counts: DataFrame, model: dict) -> DataFrame:
-    """(rid, open_score): log10 P of the tokens that the filter left open, summed by text; the levels that it does not hold are joined."""
-    names = ["open", "open_w", "open_v", "level_w", "level_v", "level_p"]
-    tokens = scored.select("rid", F.inline(F.arrays_zip(*names)))
+def released(df: DataFrame, name: str) -> DataFrame:
+    """``df`` materialised; the shuffle files that it took go at once, not when the driver next collects garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return materialise(df, name)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
+def _rare_tokens(scored: DataFrame, counts: DataFrame, model: dict) -> DataFrame:
+    """(rid, open, code) of the tokens of which the word or its context was open, with the levels of both."""
+    tokens = scored.select("rid", F.inline(F.arrays_zip("rare", "rare_code", "rare_w", "rare_v"))).select("rid", F.col("rare").alias("open"), *(x.alias(f"level_{n}") for x, n in zip(_levels_of(F.col("rare_code")), "wvp", strict=True)), "rare_w", "rare_v")
     low = counts.filter(f"level < {model['cut'][1]} AND ord = 1").groupBy("h").agg(F.max("level").alias("low"))
-    some_word = (F.col("level_w") < 0) | (F.col("level_v") < 0)
-    words = tokens.filter(some_word)
     for slot in ("w", "v"):
-        level, word = F.col(f"level_{slot}"), F.col(f"open_{slot}")
+        level, word = F.col(f"level_{slot}"), F.col(f"rare_{slot}")
         # A word that is known goes by the pair instead, so that such rows do not meet in one task.
-        found = words.withColumn("h", F.when(level < 0, word).otherwise(F.col("open"))).join(low, "h", "left")
-        words = found.withColumn(f"level_{slot}", F.when(level < 0, F.coalesce("low", F.lit(0))).otherwise(level)).drop("h", "low")
+        found = tokens.withColumn("h", F.when(level < 0, word).otherwise(F.col("open"))).join(low, "h", "left")
+        tokens = found.withColumn(f"level_{slot}", F.when(level < 0, F.coalesce("low", F.lit(0))).otherwise(level)).drop("h", "low")
+    return tokens.select("rid", "open", code_of(*(F.col(f"level_{n}") for n in "wvp")).cast("int").alias("code"))
+
+
+def open_scores(scored: DataFrame, counts: DataFrame, model: dict) -> DataFrame:
+    """(rid, open_score): log10 P of the tokens that the filter left open, summed by text; the levels that it does not hold are joined.
+
+    The joins are made in rounds, each of a share of the pairs, so that the files of
+    one round's shuffle hold no more rows than the counts do.
+    """
+    rare = released(_rare_tokens(scored, counts, model), "rare") if model["cut"][1] > 1 else None
+    tokens = scored.select("rid", F.inline(F.arrays_zip("open", "code")))
+    tokens = tokens.union(rare) if rare is not None else tokens
     pairs = counts.filter("ord = 2").filter(~_in_filter(model["cut"], model["part"])).select(F.col("h").alias("open"), F.col("level").alias("low"))
-    kept = ["rid", "open", "level_w", "level_v", "level_p"]
-    found = tokens.filter(~some_word).select(kept).union(words.select(kept)).join(pairs, "open", "left")
-    level_p = F.when(F.col("level_p") < 0, F.coalesce("low", F.lit(0))).otherwise(F.col("level_p"))
-    floor = _floor_column(F.col("level_v"))
-    unigram = (_floor_column(F.col("level_w")) + 0.5) / F.lit(model["mass"] + 0.5 * (model["types"] + 1))
+    moved = scored.agg(F.coalesce(F.sum(F.size("open") + F.size("rare")), F.lit(0))).first()[0] + model["below"]
+    rounds = max(1, -(-moved // max(model["rows"], 1)))
+    code_w, code_v, code_p = _levels_of(F.col("code"))
+    level_p = F.when(code_p < 0, F.coalesce("low", F.lit(0))).otherwise(code_p)
+    floor = _floor_column(code_v)
+    unigram = (_floor_column(code_w) + 0.5) / F.lit(model["mass"] + 0.5 * (model["types"] + 1))
     k = F.lit(model["weight"]) * floor / (floor + F.lit(model["kappa"]))
-    pair = F.least(_floor_column(level_p) / F.greatest(_top_column(F.col("level_v")), F.lit(1.0)), F.lit(1.0))
-    return found.groupBy("rid").agg(F.sum(F.log10((1 - k) * unigram + k * pair)).alias("open_score"))
+    pair = F.least(_floor_column(level_p) / F.greatest(_top_column(code_v), F.lit(1.0)), F.lit(1.0))
+    done = []
+    for turn in range(rounds):
+        share = F.pmod("open", F.lit(rounds)) == turn
+        found = tokens.filter(share).join(pairs.filter(share), "open", "left")
+        done.append(released(found.groupBy("rid").agg(F.sum(F.log10((1 - k) * unigram + k * pair)).alias("open_score")), "open"))
+    return functools.reduce(DataFrame.union, done).groupBy("rid").agg(F.sum("open_score").alias("open_score"))
 
 
 def flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
